@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import components, contamination, merkle, quantiles, top_n
+from pathloom.llm import abuse, canonical, components, contamination, merkle, mixing, quantiles, top_n
 from pathloom.sources.tables import table
 
 
@@ -39,6 +39,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return components.protein_groups(table(spark, sf, "interactions")).where("group_protein < protein")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    d = canonical.map_column(table(spark, sf, "creeds_signatures"), "record_id", "disease_name", table(spark, sf, "disease_ref"), "disease_id", "disease")
+    c = canonical.map_column(table(spark, sf, "lincs_metadata"), "row_id", "pert_iname", table(spark, sf, "compound_ref"), "compound_id", "compound")
+    return d.unionByName(c)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_passages(spark, sf).select("doc_id", "item_id").distinct()
 
@@ -48,7 +54,29 @@ def p7_passages(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.leaked_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p3_found, p4_percentiles, p4_daily, p5_found, p7_found, p7_passages)}
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixed set: a row for each use of a document."""
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of each source of the mix."""
+    return mixing.mix_report(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_scores(spark, sf).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.source_rates(p9_scores(spark, sf))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p3_found, p4_percentiles, p4_daily, p5_found, p6_found, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 _KEY = "lower(regexp_replace({}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g'))"
 _PROTEIN = "upper(regexp_replace({}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g'))"
