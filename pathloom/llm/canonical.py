@@ -32,6 +32,9 @@ from pathloom.storage import Scratch
 
 THRESHOLD = 0.9
 
+#: Shorthand that shares no letters with what it stands for.
+SHORTHAND = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "1ry": "primary", "2ry": "secondary", "3ry": "tertiary"}
+
 #: Accented letters and what they are folded to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
@@ -134,10 +137,13 @@ def map_values(values: DataFrame, names: DataFrame, threshold: float = THRESHOLD
     near = near.where((F.col("d") == 0) | ((F.col("d") <= _allowed("vocab")) & ~F.col("token").rlike(r"\d")))
     repairs = near.select("token", "vocab", (1 - 0.03 * F.col("d")).alias("sim"))
     # An abbreviation stands for the one word that begins with it.
-    dotted = v_tok.where("span = 1 and dot and length(token) between 2 and 5").select("token").distinct()
-    heads = words.where(~F.col("vocab").rlike(r"\d")).join(vocab.groupBy("vocab").agg(F.countDistinct("name_id").alias("names")), "vocab").where("names > 1")
-    heads = heads.select("vocab", F.explode(F.sequence(F.lit(2), F.least(F.lit(5), F.length("vocab") - 1))).alias("n")).select("vocab", F.expr("substring(vocab, 1, n)").alias("token"))
+    dotted = v_tok.where("span = 1 and dot and length(token) between 2 and 7").select("token").distinct()
+    heads = n_tok.groupBy(F.col("token").alias("vocab")).agg(F.countDistinct("name_id").alias("names")).where((F.col("names") > 1) & (F.length("vocab") > 2) & ~F.col("vocab").rlike(r"\d"))
+    heads = heads.select("vocab", F.explode(F.sequence(F.lit(2), F.least(F.lit(7), F.length("vocab") - 1))).alias("n")).select("vocab", F.expr("substring(vocab, 1, n)").alias("token"))
     short = dotted.join(heads, "token").groupBy("token").agg(F.min("vocab").alias("vocab"), F.max("vocab").alias("last")).where("vocab = last").select("token", "vocab", F.lit(0.97).alias("sim"))
+    meant = F.create_map(*(F.lit(x) for pair in SHORTHAND.items() for x in pair))
+    spelled = seen.where(F.col("token").isin(*SHORTHAND)).select("token", meant[F.col("token")].alias("vocab"))
+    short = short.unionByName(spelled.join(words, "vocab").select("token", "vocab", F.lit(0.97).alias("sim")))
     repairs = scratch.cut(repairs.unionByName(short).groupBy("token", "vocab").agg(F.max("sim").alias("sim")), "repairs")
 
     # What each value's tokens weigh in the list, and what each entry gets of them.
