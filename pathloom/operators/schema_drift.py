@@ -239,10 +239,11 @@ def field_changes(ingested: DataFrame, series: str = "series", file_no: str = "f
     after = cat.join(files.select("series", (F.col("file_no") + 1).alias("file_no")), ["series", "file_no"], "left_semi").withColumnRenamed("kind", "new_kind")
     both = before.withColumn("was", F.lit(True)).join(after.withColumn("is", F.lit(True)), ["series", "file_no", "name"], "full_outer")
     state = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("old_kind") != F.col("new_kind"), "retyped")
-    diff = both.select("series", "file_no", "name", state.alias("change"), F.col("was").isNotNull().alias("was"))
+    diff = scratch.cut(both.select("series", "file_no", "name", state.alias("change")).where("change is not null"), "diff")
 
     # Files in which something vanished and something appeared may hold renames.
-    swaps = diff.groupBy("series", "file_no").agg(F.max(F.col("change") == "removed").alias("r"), F.max(F.col("change") == "added").alias("a")).where("r and a").select("series", "file_no")
+    swaps = diff.groupBy("series", "file_no").agg(F.max(F.col("change") == "removed").alias("r"), F.max(F.col("change") == "added").alias("a")).where("r and a")
+    swaps = scratch.cut(swaps.select("series", "file_no"), "swaps")
     values = values.where("hash is not null").select("series", "file_no", "rec", "name", "hash")
     changed = diff.where("change in ('removed','added')").select("series", "file_no", "name", "change")
 
@@ -255,24 +256,25 @@ def field_changes(ingested: DataFrame, series: str = "series", file_no: str = "f
         g = v.groupBy("series", "file_no", "name", "hash", "moved").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo = hi")
         return g.select("series", "file_no", "hash", F.col("name").alias(name), F.col("moved").alias(f"{name}_moved"), F.col("lo").alias(rec))
 
-    old, new = side(1, "removed"), side(0, "added")
+    old, new = scratch.cut(side(1, "removed"), "old"), scratch.cut(side(0, "added"), "new")
     same = (F.col("old_name") == F.col("new_name")) | (F.col("old_name_moved") & F.col("new_name_moved"))
     votes = single(old, "a", "old_name").join(single(new, "b", "new_name"), ["series", "file_no", "hash"]).where(same).groupBy("series", "file_no", "a", "b").agg(F.countDistinct("new_name").alias("n"))
+    votes = scratch.cut(votes, "votes")
     keys = ["series", "file_no"]
     top_a = votes.groupBy(*keys, "a").agg(F.max(F.struct("n", "b")).alias("t")).select(*keys, "a", F.col("t.b").alias("b"))
     top_b = votes.groupBy(*keys, "b").agg(F.max(F.struct("n", "a")).alias("t")).select(*keys, F.col("t.a").alias("a"), "b")
-    links = top_a.join(top_b, [*keys, "a", "b"], "left_semi")
-
+    links = scratch.cut(top_a.join(top_b, [*keys, "a", "b"], "left_semi"), "links")
     gone = old.where("moved").select(*keys, F.col("rec").alias("a"), F.col("name").alias("old_field"), F.col("hash").alias("x")).distinct()
     come = new.where("moved").select(*keys, F.col("rec").alias("b"), F.col("name").alias("new_field"), F.col("hash").alias("y")).distinct()
     pairs = links.join(gone, [*keys, "a"]).join(come, [*keys, "b"]).groupBy(*keys, "old_field", "new_field").agg(F.count("*").alias("n"), F.sum((F.col("x") == F.col("y")).cast("long")).alias("eq")).where("2 * eq > n")
+    pairs = scratch.cut(pairs, "pairs")
     by = F.struct("eq", -F.col("n"))
     best_new = pairs.groupBy(*keys, "old_field").agg(F.max_by("new_field", F.struct("eq", -F.col("n"), "new_field")).alias("new_field"))
     best_old = pairs.groupBy(*keys, "new_field").agg(F.max_by("old_field", F.struct("eq", -F.col("n"), "old_field")).alias("old_field"))
-    renamed = best_new.join(best_old, [*keys, "old_field", "new_field"], "left_semi")
+    renamed = scratch.cut(best_new.join(best_old, [*keys, "old_field", "new_field"], "left_semi"), "renamed")
 
     taken = renamed.select(*keys, F.explode(F.array("old_field", "new_field")).alias("name")).withColumn("taken", F.lit(True))
-    rest = diff.where(F.col("change").isNotNull()).join(taken, [*keys, "name"], "left").where("taken is null")
+    rest = diff.join(taken, [*keys, "name"], "left").where("taken is null")
     empty = F.lit("")
     rest = rest.select(
         *keys,
