@@ -226,8 +226,8 @@ def field_changes(ingested: DataFrame, series: str = "series", file_no: str = "f
     ``ingested`` comes from ``ingest(..., provenance=True)``. A field that vanished
     and one that appeared are one ``renamed`` field if the records re-issued in both
     files hold the same values in them. Re-issued records are found by content: a
-    value held by one record only in either file links the two, and of several links
-    the one with most values in common holds. Field values are written once, as
+    value held by one record only in either file links the two, of several links the
+    one with most values in common holds, and half of the common fields must agree. Field values are written once, as
     hashes, to the shared folder; the report is computed from that table.
     """
     scratch = Scratch(ingested.sparkSession, "field-changes")
@@ -264,6 +264,12 @@ def field_changes(ingested: DataFrame, series: str = "series", file_no: str = "f
     top_a = votes.groupBy(*keys, "a").agg(F.max(F.struct("n", "b")).alias("t")).select(*keys, "a", F.col("t.b").alias("b"))
     top_b = votes.groupBy(*keys, "b").agg(F.max(F.struct("n", "a")).alias("t")).select(*keys, F.col("t.a").alias("a"), "b")
     links = scratch.cut(top_a.join(top_b, [*keys, "a", "b"], "left_semi"), "links")
+    # One value in common may be chance: a re-issued record agrees in at least half of the fields that kept their name.
+    was = old.where("not moved").select(*keys, F.col("rec").alias("a"), "name", F.col("hash").alias("x")).distinct()
+    now = new.where("not moved").select(*keys, F.col("rec").alias("b"), "name", F.col("hash").alias("y")).distinct()
+    kept = links.join(was, [*keys, "a"]).join(now, [*keys, "b", "name"]).groupBy(*keys, "a", "b").agg(F.avg((F.col("x") == F.col("y")).cast("double")).alias("same"))
+    links = links.join(kept, [*keys, "a", "b"], "left").where("same is null or same >= 0.5").drop("same")
+
     gone = old.where("moved").select(*keys, F.col("rec").alias("a"), F.col("name").alias("old_field"), F.col("hash").alias("x")).distinct()
     come = new.where("moved").select(*keys, F.col("rec").alias("b"), F.col("name").alias("new_field"), F.col("hash").alias("y")).distinct()
     pairs = links.join(gone, [*keys, "a"]).join(come, [*keys, "b"]).groupBy(*keys, "old_field", "new_field").agg(F.count("*").alias("n"), F.sum((F.col("x") == F.col("y")).cast("long")).alias("eq")).where("2 * eq > n")
