@@ -150,8 +150,10 @@ def map_values(values: DataFrame, names: DataFrame, threshold: float = THRESHOLD
     weight = vocab.groupBy("vocab", "name_id").agg(F.sum("w").alias("w")).groupBy("vocab").agg(F.max("w").alias("w"))
     known = repairs.where("sim >= 0.97").join(weight, "vocab").groupBy("token").agg(F.max("w").alias("w"))
     known = v_tok.where("span = 1").join(known, "token").groupBy("value").agg(F.collect_list(F.struct("pos", "w")).alias("known"))
+    known = scratch.cut(known, "known")
     hits = v_tok.join(repairs, "token").join(vocab, "vocab")
     best = hits.groupBy("value", "name_id", "etok").agg(F.max_by(F.struct("w", "sim", "pos", "span"), F.struct(F.col("sim"), -F.col("span"), -F.col("pos"))).alias("m"))
+    best = scratch.cut(best, "best")
     got = best.groupBy("value", "name_id").agg(F.sum(F.col("m.w") * F.col("m.sim")).alias("dot"), F.sum("m.w").alias("matched"), F.collect_list("m").alias("ms"))
     got = got.join(n_norm, "name_id").where("dot >= 0.5 * norm").join(known, "value", "left")
     used = F.transform("ms", lambda m: m["pos"])
@@ -160,7 +162,7 @@ def map_values(values: DataFrame, names: DataFrame, threshold: float = THRESHOLD
     got = got.withColumn("used", F.array_union(used, also)).withColumn("spare", spare)
     score = F.col("dot") / F.sqrt(F.col("norm") * (F.col("matched") + F.col("spare")))
     top = got.select("value", "ref_id", score.alias("score")).groupBy("value").agg(F.max_by(F.struct("ref_id", "score"), F.struct("score", -F.col("ref_id"))).alias("t"))
-    out = v.select("value").join(top, "value", "left")
+    out = v.select("value").join(scratch.cut(top, "top"), "value", "left")
     return out.select("value", F.when(F.col("t.score") >= threshold, F.col("t.ref_id")).otherwise(F.lit(0)).cast("bigint").alias("ref_id"), F.col("t.score").alias("score"))
 
 
