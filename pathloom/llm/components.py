@@ -21,6 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.components import min_label_components
 from pathloom.storage import Scratch
 
 
@@ -64,7 +65,7 @@ def connected_groups(links: DataFrame, a: str, b: str, max_levels: int = 24) ->
         rest = rest.where("a_in is null or b_in is null").crossJoin(F.broadcast(root))  # root is one row
         rest = rest.select(F.when(F.col("a_in"), F.col("root")).otherwise(F.col("lo")).alias("x"), F.when(F.col("b_in"), F.col("root")).otherwise(F.col("hi")).alias("y"))
         rest = rest.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
-    small = _propagate_minimum(rest, scratch)
+    small = min_label_components(rest, scratch)
     giant = peeled.crossJoin(F.broadcast(peeled.agg(F.min("node").alias("group")))).select("group", F.col("node").alias("member"))
     if deep:  # the contracted vertex stands for all of the peeled part
         home = small.join(root, small.member == root.root).select(F.col("group").alias("home"))
@@ -75,33 +76,6 @@ def connected_groups(links: DataFrame, a: str, b: str, max_levels: int = 24) ->
     return known.unionByName(lone)
 
 
-def _propagate_minimum(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(group, member) of the components of ``edges`` (lo < hi)."""
-    now = scratch.cut(edges.select(F.col("hi").alias("u"), F.col("lo").alias("m")), "round")
-    seen = _state(now)
-    while seen[0]:
-        # To larger neighbours: each vertex hands the minimum of its neighbourhood to those above it.
-        both = now.select("u", F.col("m").alias("v")).unionByName(now.select(F.col("m").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v0")).select("u", F.least("u", "v0").alias("m"))
-        up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), "m").distinct()
-        # To smaller ones: a vertex hands the minimum to its smaller neighbours, and keeps it.
-        least = up.groupBy("u").agg(F.min("m").alias("m0"))
-        down = up.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m0").alias("m")), F.struct(F.col("m").alias("u"), F.col("m0").alias("m")))).alias("e"))
-        new = scratch.cut(down.select("e.*").where("u > m").distinct(), "round")
-        scratch.drop(now)
-        now, before, seen = new, seen, _state(new)
-        if seen == before:
-            break
-    return now.select(F.col("m").alias("group"), F.col("u").alias("member")).unionByName(now.select(F.col("m").alias("group"), F.col("m").alias("member")).distinct())
-
-
-def _state(edges: DataFrame) -> tuple[int, int, int]:
-    """Size and two order-free checksums of an edge set."""
-    h = edges.select(F.xxhash64("u", "m").alias("x"), F.xxhash64("m", F.lit(1), "u").alias("y"))
-    r = h.agg(F.count("*"), F.sum(F.col("x").cast("decimal(38,0)")), F.sum(F.col("y").cast("decimal(38,0)"))).first()
-    return int(r[0]), int(r[1] or 0), int(r[2] or 0)
-
-
 def protein_key(column: str):
     """A protein written with its letters in upper case and its digits, without anything else."""
     return F.regexp_replace(F.upper(F.col(column)), r"[^\p{L}\p{Nd}]+", "")
