@@ -136,15 +136,18 @@ def fit_documents(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs:
     if not len(texts) or toxic.min() == toxic.max():
         return None
     docs = [[terms(s) for s in sentences(t)] for t in texts]
-    clean: dict[bytes, np.ndarray] = {}
+    seen: dict[bytes, list] = {}
     for d, t in zip(docs, toxic):
-        if not t:
-            clean.update((r.tobytes(), r) for r in d)
-    # A sentence that clean documents have, too, is not what got a document its label.
+        for r in {r.tobytes(): r for r in d}.items():
+            seen.setdefault(r[0], [r[1], 0, 0])[1 + int(t)] += 1
+    # A sentence that clean documents have as often is not what got a document its label. Counts
+    # decide, not mere presence, since annotators err.
+    clean = {k: r for k, (r, n, p) in seen.items() if n >= p}
     suspect = [u for d, t in zip(docs, toxic) if t and (u := [r for r in d if r.tobytes() not in clean])]
     if not suspect or not clean:
         return None
     negatives = list(clean.values())
+    often = np.log2(1 + np.asarray([seen[k][1] for k in clean], np.float32))
     machine = None
     for _ in range(rounds):
         if machine is None:
@@ -156,13 +159,17 @@ def fit_documents(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs:
                 if p.max() < 0.3:  # nothing in it looks abusive: an annotator's error
                     continue
                 chosen += [(r, 1.0) for r, q in zip(d, p) if q >= max(0.8, p.max() - 1e-6) or q == p.max()]
+        bag: dict[bytes, list] = {}
+        for r, w in chosen:
+            bag.setdefault(r.tobytes(), [r, 0.0])[1] += w
+        chosen = list(bag.values())
         rows = [r for r, _ in chosen] + negatives
         y = np.r_[np.ones(len(chosen), np.float32), np.zeros(len(negatives), np.float32)]
-        balance = max(1.0, len(negatives) / max(len(suspect), 1) / 4)
-        weight = np.r_[np.asarray([w for _, w in chosen], np.float32) * balance ** 0.5, np.ones(len(negatives), np.float32)]
+        some = np.log2(1 + np.asarray([w for _, w in chosen], np.float32))
+        weight = np.r_[some * np.sqrt(max(1.0, often.sum() / some.sum() / 4)), often].astype(np.float32)
         if machine is not None:  # annotators err: a clean sentence that looks abusive counts less
             q = machine.score(negatives)
-            weight[len(chosen) :][q > 0.8] = 0.1
+            weight[len(chosen) :][q > 0.8] *= 0.1
         machine = Machine()
         machine.fit(rows, y, weight, epochs, rate, l2)
     return machine
