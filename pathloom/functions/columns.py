@@ -42,9 +42,14 @@ def hash32(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")
 
 
+#: Means of hop counts are rationals; what differs by less is rounding, which depends on the order of summation.
+DUST = 9
+
+
 def zscore(observed: Column, mean: Column, std: Column) -> Column:
-    """(observed - mean) / std, and 0 where there is no null value or no spread."""
-    return F.when(mean.isNull() | (std == 0), F.lit(0.0)).otherwise((observed - mean) / F.nullif(std, F.lit(0.0)))
+    """(observed - mean) / std to ``DUST`` digits, and 0 where there is no null value or no spread."""
+    flat = mean.isNull() | (std < 10.0**-DUST)
+    return F.when(flat, F.lit(0.0)).otherwise(F.round((observed - mean) / F.nullif(std, F.lit(0.0)), DUST) + F.lit(0.0))
 
 
 AGGREGATES = {"median": F.median, "mean": F.avg, "max": F.max}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.columns import INFINITY
+from pathloom.functions.columns import DUST, INFINITY
 from pathloom.operators.graph import adjacency, degrees
 from pathloom.storage import Scratch
 
@@ -98,7 +98,7 @@ def separations(edges: DataFrame, modules: DataFrame, pairs: DataFrame) -> DataF
         p = p.join(own.withColumnsRenamed({"module": f"module_{side}", "d": f"d{side}"}), f"module_{side}", "left")
     inf = F.lit(INFINITY)
     s = (F.coalesce("ab", inf) + F.coalesce("ba", inf)) / 2 - (F.coalesce("da", inf) + F.coalesce("db", inf)) / 2
-    return p.select("module_a", "module_b", s.alias("s_ab"))
+    return p.select("module_a", "module_b", (F.round(s, DUST) + F.lit(0.0)).alias("s_ab"))
 
 
 def pairwise_distances(edges: DataFrame, genes: DataFrame) -> DataFrame:

@@ -256,7 +256,7 @@ z as materialized (select o.disease, o.drug, any_value(o.d) observed, avg(nd.d)
 zz as materialized (select *, case when null_std < 1e-9 then 0.0::double else (observed - null_mean) / null_std end z from z)"""
 
 
-@query(f"with recursive {_Z} select disease, drug, {r6('observed')} as observed, {r6('null_mean')} as null_mean, {r6('null_std')} as null_std, {r6('z')} as z, {r6('p_value')} as p_value from zz")
+@query(f"with recursive {_Z} select disease, drug, {r6('observed')} as observed, {r6('null_mean')} as null_mean, {r6('null_std')} as null_std, {r6('round(z, 9)')} as z, {r6('p_value')} as p_value from zz")
 def null_zscore(spark, sf):
     z = scoring.proximity(domain.network(spark, sf), domain.disease_modules(spark, sf), domain.drug_modules(spark, sf), domain.DRAWS, domain.SEED)
     return z.select("disease", "drug", *(tidy(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_std", "z", "p_value")))
