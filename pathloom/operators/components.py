@@ -1,13 +1,60 @@
-"""Connected components by alternating minimum propagation."""
+"""Connected components: the reach of the highest-degree vertex, and alternating minimum propagation.
+
+A hub may hold a third of all edges. Each vertex's edges are therefore split by a
+salt of their far end, and what a vertex hands on goes to all of its splits.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.storage import Scratch
 
 
+SALTS = 8
+
+
+def _salt(far_end: str) -> Column:
+    return F.pmod(F.xxhash64(far_end), F.lit(SALTS)).cast("int")
+
+
+def _splits() -> Column:
+    return F.explode(F.array(*(F.lit(i) for i in range(SALTS))))
+
+
+def reach_from_hub(edges: DataFrame, scratch: Scratch, max_levels: int | None = None) -> tuple[DataFrame, bool]:
+    """Vertices (node) reached from the highest-degree one of ``edges(lo, hi)``, and whether all are.
+
+    Of several highest-degree vertices the smallest starts. A level is compared with the
+    two before it, which suffices in an undirected graph; each is a table in the shared
+    folder. No edges give no vertices; after ``max_levels`` levels the search stops short.
+    """
+    ends = F.array(F.struct(F.col("lo").alias("src"), F.col("hi").alias("dst")), F.struct(F.col("hi").alias("src"), F.col("lo").alias("dst")))
+    both = edges.select(F.explode(ends).alias("e")).select("e.*")
+    adjacent = both.withColumn("salt", _salt("dst")).repartition("src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        seed = both.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).select(F.col("src").alias("node"))
+        levels = [scratch.cut(seed, "level")]
+        complete = False
+        while not complete and (max_levels is None or len(levels) <= max_levels):
+            frontier = levels[-1].select(F.col("node").alias("src"), _splits().alias("salt"))
+            step = adjacent.join(frontier, ["src", "salt"]).select(F.col("dst").alias("node")).distinct()
+            for near in levels[-2:]:
+                step = step.join(near, "node", "left_anti")
+            step = scratch.cut(step, "level")
+            complete = step.isEmpty()
+            if not complete:
+                levels.append(step)
+    finally:
+        adjacent.unpersist()
+    reached = levels[0]
+    for level in levels[1:]:
+        reached = reached.unionByName(level)
+    return scratch.cut(reached, "reached"), complete
+
+
 def min_label_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(group, member) over ``edges(lo, hi)`` with lo < hi; group is the smallest member.
 
@@ -20,9 +67,9 @@ def min_label_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while seen[0]:
         both = now.select("u", F.col("m").alias("v")).unionByName(now.select(F.col("m").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("v0")).select("u", F.least("u", "v0").alias("m"))
-        up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), "m").distinct()
+        up = both.where("v > u").withColumn("salt", _salt("v")).join(least.withColumn("salt", _splits()), ["u", "salt"]).select(F.col("v").alias("u"), "m").distinct()
         least = up.groupBy("u").agg(F.min("m").alias("m0"))
-        down = up.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m0").alias("m")), F.struct(F.col("m").alias("u"), F.col("m0").alias("m")))).alias("e"))
+        down = up.withColumn("salt", _salt("m")).join(least.withColumn("salt", _splits()), ["u", "salt"]).select(F.explode(F.array(F.struct("u", F.col("m0").alias("m")), F.struct(F.col("m").alias("u"), F.col("m0").alias("m")))).alias("e"))
         new = scratch.cut(down.select("e.*").where("u > m").distinct(), "round")
         scratch.drop(now)
         now, before, seen = new, seen, _state(new)
@@ -33,6 +80,6 @@ def min_label_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _state(edges: DataFrame) -> tuple[int, int, int]:
     """Size and two order-free checksums of an edge set."""
-    h = edges.select(F.xxhash64("u", "m").alias("x"), F.xxhash64("m", F.lit(1), "u").alias("y"))
-    r = h.agg(F.count("*"), F.sum(F.col("x").cast("decimal(38,0)")), F.sum(F.col("y").cast("decimal(38,0)"))).first()
-    return int(r[0]), int(r[1] or 0), int(r[2] or 0)
+    x, y = F.xxhash64("u", "m"), F.xxhash64("m", F.lit(1), "u")
+    r = edges.agg(F.count("*"), F.bit_xor(x), F.bit_xor(y)).first()  # the edges are distinct
+    return r[0], r[1] or 0, r[2] or 0
