@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS, FACTORS, WINDOW, OVERLAP = 18, 8, 40, 12
-MAX_LABELLED, THRESHOLD, SEED = 6_000, 0.4, 7
+MAX_LABELLED, THRESHOLD, SEED = 6_000, 0.5, 7
 
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'»)\]]*\s+|\n+|</?\w+>")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){3,}\w(?!\w)")

@@ -10,18 +10,17 @@ If the first component is too deep for ``max_levels`` levels, the part reached
 is contracted into one vertex and the minimum propagation joins the rest to it.
 
 Each level and round is a table in the shared folder; nothing but counts reaches
-the driver. Degrees and minima are pre-aggregated, and joins on a hub are split
-by AQE. Links with a NULL or empty end join nothing; a link of an item with
+the driver. Degrees and minima are pre-aggregated, and a hub's links are split by
+salt. Links with a NULL or empty end join nothing; a link of an item with
 itself makes that item a group of its own.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.components import min_label_components
+from pathloom.operators.components import min_label_components, reach_from_hub
 from pathloom.storage import Scratch
 
 
@@ -34,27 +33,8 @@ def connected_groups(links: DataFrame, a: str, b: str, max_levels: int = 24) ->
     loops = edges.where("lo = hi").select(F.col("lo").alias("group"), F.col("lo").alias("member"))
     edges = edges.where("lo < hi")
 
-    both = edges.select(F.explode(F.array(F.struct(F.col("lo").alias("src"), F.col("hi").alias("dst")), F.struct(F.col("hi").alias("src"), F.col("lo").alias("dst")))).alias("e")).select("e.*")
-    adjacent = both.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        seed = adjacent.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).select(F.col("src").alias("node"))
-        levels = [scratch.cut(seed, "level")]
-        while len(levels) <= max_levels:
-            step = adjacent.join(levels[-1].withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-            for near in levels[-2:]:
-                step = step.join(near, "node", "left_anti")
-            step = scratch.cut(step, "level")
-            if step.isEmpty():
-                break
-            levels.append(step)
-        deep = len(levels) > max_levels
-    finally:
-        adjacent.unpersist()
-
-    peeled = levels[0]
-    for level in levels[1:]:
-        peeled = peeled.unionByName(level)
-    peeled = scratch.cut(peeled, "peeled")
+    peeled, complete = reach_from_hub(edges, scratch, max_levels)
+    deep = not complete
     if not deep:
         rest = edges.join(peeled.withColumnRenamed("node", "lo"), "lo", "left_anti")
         root = None

@@ -4,9 +4,9 @@ A record is a small tree: leaves are columns, inner nodes are ordered or
 unordered. Leaves are normalised and hashed, an unordered node hashes its
 children's digests in sorted order, and rows group by the root digest. Within a
 digest the normalised values themselves are compared, so a hash collision never
-merges two records. Groups are pre-aggregated before the shuffle; where copies
-are listed, the rows of a hot group are spread by AQE's skew join, and one row
-per group is all that a task has to hold.
+merges two records. Groups are pre-aggregated before the shuffle. Where copies
+are listed, the repeated groups are a table of their own, so that the join with
+the rows is one that AQE splits, however large a group is.
 
 Rows whose required leaves are NULL, or empty once normalised, belong to no
 record. Extra columns are ignored; an empty table gives an empty result.
@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.storage import Scratch
+
 
 @dataclass(frozen=True)
 class Node:
@@ -93,7 +95,7 @@ def copies(df: DataFrame, tree: Node, record_id: str) -> DataFrame:
     """(kept_id, copy_id) for each row that repeats a record with a smaller id."""
     rows = fingerprints(df, tree, record_id)
     groups = rows.groupBy("digest", "record").agg(F.min("record_id").alias("kept_id"), F.max("record_id").alias("last_id"))
-    repeated = groups.where("kept_id < last_id").select("digest", "record", "kept_id")
+    repeated = Scratch(df.sparkSession, "copies").cut(groups.where("kept_id < last_id").select("digest", "record", "kept_id"), "repeated")
     pairs = rows.join(repeated, ["digest", "record"])
     return pairs.where("record_id > kept_id").select("kept_id", F.col("record_id").alias("copy_id"))
 

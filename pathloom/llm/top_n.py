@@ -2,7 +2,7 @@
 
 ``cluster_scores`` writes the scores once, clustered: range partitions over
 (group, item), so that one group of any size spreads over as many files as it
-needs while all repeats of an item meet in one, each file sorted by group and
+needs (repeats of an item are merged map-side before), each file sorted by group and
 descending score and cut into small row groups. ``top_n`` then reads the row
 groups of a file in descending order of their maximum score, and skips those
 that lie strictly below the current N-th score of every group they contain. A
@@ -37,8 +37,8 @@ def cluster_scores(df: DataFrame, group: Sequence[str], items: Sequence[str], sc
     for k in keys:
         ok = ok.where(F.col(k).isNotNull())
     ok = ok.select(*keys, (F.col(score).cast("double") + F.lit(0.0)).alias("score"))
-    once = ok.repartitionByRange(*keys).groupBy(*keys).agg(F.max("score").alias("score"))
-    ordered = once.sortWithinPartitions(*group, F.desc("score"), *items)
+    once = ok.groupBy(*keys).agg(F.max("score").alias("score"))  # repeats go before the shuffles, however many
+    ordered = once.repartitionByRange(*keys).sortWithinPartitions(*group, F.desc("score"), *items)
     ordered.write.option("parquet.block.row.count.limit", rows_per_group).parquet(path)
 
 
