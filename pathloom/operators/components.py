@@ -1,7 +1,7 @@
 """Connected components: the reach of the highest-degree vertex, and alternating minimum propagation.
 
-A hub may hold a third of all edges. Each vertex's edges are therefore split by a
-salt of their far end, and what a vertex hands on goes to all of its splits.
+A hub may hold a third of all edges. The search therefore splits each vertex's
+edges by a salt of their far end, and hands a frontier vertex to all its splits.
 """
 
 from __future__ import annotations
@@ -67,9 +67,9 @@ def min_label_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while seen[0]:
         both = now.select("u", F.col("m").alias("v")).unionByName(now.select(F.col("m").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("v0")).select("u", F.least("u", "v0").alias("m"))
-        up = both.where("v > u").withColumn("salt", _salt("v")).join(least.withColumn("salt", _splits()), ["u", "salt"]).select(F.col("v").alias("u"), "m").distinct()
+        up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), "m").distinct()
         least = up.groupBy("u").agg(F.min("m").alias("m0"))
-        down = up.withColumn("salt", _salt("m")).join(least.withColumn("salt", _splits()), ["u", "salt"]).select(F.explode(F.array(F.struct("u", F.col("m0").alias("m")), F.struct(F.col("m").alias("u"), F.col("m0").alias("m")))).alias("e"))
+        down = up.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m0").alias("m")), F.struct(F.col("m").alias("u"), F.col("m0").alias("m")))).alias("e"))
         new = scratch.cut(down.select("e.*").where("u > m").distinct(), "round")
         scratch.drop(now)
         now, before, seen = new, seen, _state(new)

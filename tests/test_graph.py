@@ -41,21 +41,6 @@ def test_components_against_union_find(spark):
     assert got == union_find(pairs)
 
 
-def test_largest_component_need_not_hold_the_hub(spark):
-    star = [("s", f"s{i}") for i in range(5)]
-    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)]
-    e = frame(spark, star + chain)
-    assert {tuple(r) for r in graph.largest_component(e).collect()} == set(chain)
-    big = [("s", f"s{i:02d}") for i in range(60)]
-    assert graph.largest_component(frame(spark, big + chain)).count() == 60
-
-
-def test_components_with_a_hub_and_chains(spark):
-    pairs = [("hub", f"leaf{i:03d}") for i in range(300)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(90)] + [("leaf007", "zz1"), ("zz1", "zz2")]
-    got = {r["gene"]: r["component"] for r in graph.components(frame(spark, pairs)).collect()}
-    assert got == union_find(pairs)
-
-
 def test_reach_from_hub_stops_at_max_levels(spark):
     chain = frame(spark, [(f"c{i}", f"c{i + 1}") for i in range(6)]).toDF("lo", "hi")
     scratch = Scratch(spark, "test")
