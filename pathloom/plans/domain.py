@@ -27,35 +27,40 @@ def network(spark: SparkSession, sf: str) -> DataFrame:
     return Scratch(spark, "network").cut(graph.largest_component(edges(spark, sf)), "edges")
 
 
-def disease_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """(disease, gene, direction) of names spelled like a canonical one but for case and surrounding space."""
+def disease_reports(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """(disease, gene, direction) of names spelled like a canonical one but for case and surrounding space; ``whole``: of every name that is not blank."""
+    reports = profiles.creeds_genes(table(spark, sf, "creeds_signatures"))
+    if whole:
+        return reports
     ref = table(spark, sf, "disease_ref").select(name_key("disease").alias("disease")).distinct()
-    return profiles.creeds_genes(table(spark, sf, "creeds_signatures")).join(ref, "disease", "left_semi")
+    return reports.join(ref, "disease", "left_semi")
 
 
-def disease_modules(spark: SparkSession, sf: str) -> DataFrame:
-    return profiles.disease_modules(disease_reports(spark, sf))
+def disease_modules(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return profiles.disease_modules(disease_reports(spark, sf, whole))
 
 
-def disease_signatures(spark: SparkSession, sf: str) -> DataFrame:
-    return profiles.direction_signature(disease_reports(spark, sf))
+def disease_signatures(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return profiles.direction_signature(disease_reports(spark, sf, whole))
 
 
-def compound_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Values of signatures with a compound spelled like a canonical one but for case and surrounding space."""
-    ref = table(spark, sf, "compound_ref").select(name_key("compound").alias("compound")).distinct()
+def compound_values(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Values of signatures with a compound spelled like a canonical one but for case and surrounding space; ``whole``: with any name that is not blank."""
     v = table(spark, sf, "lincs_values").select("sig_id", symbol_key("gene").alias("gene"), "fold_change")
     j = profiles.join_metadata(v, table(spark, sf, "lincs_metadata")).withColumn("compound", name_key("compound"))
+    if whole:
+        return j.where("compound <> ''")
+    ref = table(spark, sf, "compound_ref").select(name_key("compound").alias("compound")).distinct()
     return j.join(ref, "compound", "left_semi")
 
 
-def drug_genes(spark: SparkSession, sf: str, top_pct: float = TOP_PCT) -> DataFrame:
-    p = profiles.profiles(compound_values(spark, sf))
+def drug_genes(spark: SparkSession, sf: str, whole: bool = False, top_pct: float = TOP_PCT) -> DataFrame:
+    p = profiles.profiles(compound_values(spark, sf, whole))
     return profiles.top_fraction(p, top_pct=top_pct).withColumnRenamed("compound", "drug")
 
 
-def drug_modules(spark: SparkSession, sf: str) -> DataFrame:
-    return profiles.drug_union(drug_genes(spark, sf))
+def drug_modules(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return profiles.drug_union(drug_genes(spark, sf, whole))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,36 +149,36 @@ def unmatched_signatures(spark, sf):
 
 
 @query(f"with {DRUGS} select compound, gene, {r6('fold_change')} as fold_change from prof")
-def median_profile(spark, sf):
-    return profiles.profiles(domain.compound_values(spark, sf), "median").select("compound", "gene", tidy(F.col("fold_change")).alias("fold_change"))
+def median_profile(spark, sf, whole=False):
+    return profiles.profiles(domain.compound_values(spark, sf, whole), "median").select("compound", "gene", tidy(F.col("fold_change")).alias("fold_change"))
 
 
 @query(f"with {DRUGS} select compound, gene, {r6('avg(fold_change)')} as fold_change from vals where fold_change is not null and not isnan(fold_change) and gene is not null group by compound, gene")
-def mean_profile(spark, sf):
-    return profiles.profiles(domain.compound_values(spark, sf), "mean").select("compound", "gene", tidy(F.col("fold_change")).alias("fold_change"))
+def mean_profile(spark, sf, whole=False):
+    return profiles.profiles(domain.compound_values(spark, sf, whole), "mean").select("compound", "gene", tidy(F.col("fold_change")).alias("fold_change"))
 
 
 @query(f"with {DRUGS} select drug, gene, direction from xg")
-def drug_modules(spark, sf):
-    return domain.drug_genes(spark, sf)
+def drug_modules(spark, sf, whole=False):
+    return domain.drug_genes(spark, sf, whole)
 
 
 @query(f"with {DISEASES} select disease, gene from dm")
-def disease_modules(spark, sf):
-    return domain.disease_modules(spark, sf)
+def disease_modules(spark, sf, whole=False):
+    return domain.disease_modules(spark, sf, whole)
 
 
 @query(f"with {DISEASES} select disease, gene, fold_change from dsig")
-def disease_signature(spark, sf):
-    return domain.disease_signatures(spark, sf)
+def disease_signature(spark, sf, whole=False):
+    return domain.disease_signatures(spark, sf, whole)
 
 
 # ---- Distances -----------------------------------------------------------------
 
 
 @query(f"with recursive {NET}, {DISEASES}, {QG}, {bfs_sql('b', 'disease', 'q')} select disease as module, node, hops from b")
-def bfs_module_dist(spark, sf):
-    m = domain.disease_modules(spark, sf).withColumnRenamed("disease", "module")
+def bfs_module_dist(spark, sf, whole=False):
+    m = domain.disease_modules(spark, sf, whole).withColumnRenamed("disease", "module")
     return distances.bfs(domain.network(spark, sf), m).select("module", "node", "hops")
 
 
@@ -186,8 +187,8 @@ qx as materialized (select q.disease, b.drug, (sum(b.hops) + 1000.0::double * (a
 
 
 @query(f"with recursive {_PROX} select disease as source, drug as target, {r6('d')} as d from qx")
-def avg_shortest_path(spark, sf):
-    q, x = domain.disease_modules(spark, sf), domain.drug_modules(spark, sf)
+def avg_shortest_path(spark, sf, whole=False):
+    q, x = domain.disease_modules(spark, sf, whole), domain.drug_modules(spark, sf, whole)
     d = distances.module_distances(domain.network(spark, sf), q.withColumnRenamed("disease", "source"), x.withColumnRenamed("drug", "target"))
     return d.select("source", "target", tidy(F.col("d")).alias("d"))
 
@@ -196,8 +197,8 @@ def avg_shortest_path(spark, sf):
     f"""with recursive {_PROX}, xq as (select x.drug, b.disease, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from x join bq b on b.node = x.gene join (select drug, count(*) n from x group by drug) n on n.drug = x.drug group by x.drug, b.disease)
 select disease, drug, {r6('qx.d')} as d_qx, {r6('xq.d')} as d_xq from qx join xq using (disease, drug)"""
 )
-def module_proximity(spark, sf):
-    net, q, x = domain.network(spark, sf), domain.disease_modules(spark, sf), domain.drug_modules(spark, sf)
+def module_proximity(spark, sf, whole=False):
+    net, q, x = domain.network(spark, sf), domain.disease_modules(spark, sf, whole), domain.drug_modules(spark, sf, whole)
     a = distances.module_distances(net, q.withColumnRenamed("disease", "source"), x.withColumnRenamed("drug", "target")).select(F.col("source").alias("disease"), F.col("target").alias("drug"), tidy(F.col("d")).alias("d_qx"))
     b = distances.module_distances(net, x.withColumnRenamed("drug", "source"), q.withColumnRenamed("disease", "target")).select(F.col("target").alias("disease"), F.col("source").alias("drug"), tidy(F.col("d")).alias("d_xq"))
     return a.join(b, ["disease", "drug"])
@@ -212,15 +213,15 @@ sep as materialized (select p.drug drug_a, r.drug drug_b, (coalesce(u.d, 1000.0:
 
 
 @query(f"with recursive {_SEP} select drug_a as module_a, drug_b as module_b, {r6('s')} as s_ab from sep")
-def separation(spark, sf):
-    x = domain.drug_modules(spark, sf)
+def separation(spark, sf, whole=False):
+    x = domain.drug_modules(spark, sf, whole)
     p = scoring.drug_pairs(x).withColumnsRenamed({"drug_a": "module_a", "drug_b": "module_b"})
     return distances.separations(domain.network(spark, sf), x.withColumnRenamed("drug", "module"), p).select("module_a", "module_b", tidy(F.col("s_ab")).alias("s_ab"))
 
 
 @query(f"with recursive {NET}, {DRUGS}, {XG}, xgenes as materialized (select distinct gene s, gene from x), {bfs_sql('bg', 's', 'xgenes')} select s as gene_a, node as gene_b, hops from bg where node in (select gene from xgenes)")
-def pairwise_dist(spark, sf):
-    return distances.pairwise_distances(domain.network(spark, sf), domain.drug_modules(spark, sf))
+def pairwise_dist(spark, sf, whole=False):
+    return distances.pairwise_distances(domain.network(spark, sf), domain.drug_modules(spark, sf, whole))
 
 
 # ---- Null model ----------------------------------------------------------------
@@ -239,14 +240,14 @@ def degree_bins(spark, sf):
 
 
 @query(f"with recursive {NET}, {DRUGS}, {XG}, {_SEEDS} select drug as module, module_seed from seeds")
-def module_seed_hash(spark, sf):
-    m = distances.in_network(domain.drug_modules(spark, sf), domain.network(spark, sf))
+def module_seed_hash(spark, sf, whole=False):
+    m = distances.in_network(domain.drug_modules(spark, sf, whole), domain.network(spark, sf))
     return nulls.module_seeds(m.withColumnRenamed("drug", "module"), domain.SEED)
 
 
 @query(f"with recursive {NET}, {DRUGS}, {XG}, {_NULLS} select drug as module, draw::int as draw, gene from nul")
-def null_modules(spark, sf):
-    return nulls.null_modules(domain.network(spark, sf), domain.drug_modules(spark, sf).withColumnRenamed("drug", "module"), domain.DRAWS, domain.SEED)
+def null_modules(spark, sf, whole=False):
+    return nulls.null_modules(domain.network(spark, sf), domain.drug_modules(spark, sf, whole).withColumnRenamed("drug", "module"), domain.DRAWS, domain.SEED)
 
 
 _Z = f"""{_PROX}, qgenes as materialized (select distinct gene s, gene from q), {bfs_sql('bg', 's', 'qgenes')}, {_NULLS},
@@ -257,8 +258,8 @@ zz as materialized (select *, case when null_std < 1e-9 then 0.0::double else (o
 
 
 @query(f"with recursive {_Z} select disease, drug, {r6('observed')} as observed, {r6('null_mean')} as null_mean, {r6('null_std')} as null_std, {r6('round(z, 9)')} as z, {r6('p_value')} as p_value from zz")
-def null_zscore(spark, sf):
-    z = scoring.proximity(domain.network(spark, sf), domain.disease_modules(spark, sf), domain.drug_modules(spark, sf), domain.DRAWS, domain.SEED)
+def null_zscore(spark, sf, whole=False):
+    z = scoring.proximity(domain.network(spark, sf), domain.disease_modules(spark, sf, whole), domain.drug_modules(spark, sf, whole), domain.DRAWS, domain.SEED)
     return z.select("disease", "drug", *(tidy(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_std", "z", "p_value")))
 
 
@@ -274,32 +275,32 @@ _PAIRS = "pr as materialized (select d.disease, p.compound, d.gene, d.fold_chang
 _RANKED = "rk as materialized (select disease, {k}, rank() over (partition by disease, {k} order by a) + (count(*) over (partition by disease, {k}, a) - 1) / 2.0::double x, rank() over (partition by disease, {k} order by b) + (count(*) over (partition by disease, {k}, b) - 1) / 2.0::double y from {t})"
 
 
-def _signature_pairs(spark, sf) -> DataFrame:
-    p = profiles.profiles(domain.compound_values(spark, sf)).withColumnRenamed("fold_change", "b")
-    return domain.disease_signatures(spark, sf).withColumnRenamed("fold_change", "a").join(p, "gene")
+def _signature_pairs(spark, sf, whole=False) -> DataFrame:
+    p = profiles.profiles(domain.compound_values(spark, sf, whole)).withColumnRenamed("fold_change", "b")
+    return domain.disease_signatures(spark, sf, whole).withColumnRenamed("fold_change", "a").join(p, "gene")
 
 
-def _correlation(spark, sf, method: str) -> DataFrame:
-    c = correlation.correlate(_signature_pairs(spark, sf), ["disease", "compound"], "a", "b", method)
+def _correlation(spark, sf, method: str, whole: bool) -> DataFrame:
+    c = correlation.correlate(_signature_pairs(spark, sf, whole), ["disease", "compound"], "a", "b", method)
     return c.select("disease", "compound", "n_common", tidy(F.col("correlation")).alias("correlation"))
 
 
 @query(f"with {DISEASES}, {DRUGS}, {_PAIRS}, {_RANKED.format(k='compound', t='pr')} select disease, compound, count(*) as n_common, {r6(_corr('x', 'y'))} as correlation from rk group by disease, compound")
-def spearman(spark, sf):
-    return _correlation(spark, sf, "spearman")
+def spearman(spark, sf, whole=False):
+    return _correlation(spark, sf, "spearman", whole)
 
 
 @query(f"with {DISEASES}, {DRUGS}, {_PAIRS} select disease, compound, count(*) as n_common, {r6(_corr('a', 'b'))} as correlation from pr group by disease, compound")
-def pearson(spark, sf):
-    return _correlation(spark, sf, "pearson")
+def pearson(spark, sf, whole=False):
+    return _correlation(spark, sf, "pearson", whole)
 
 
 _REV = f"sg as materialized (select drug, gene, min(case when direction = 'down' then -1.0::double else 1.0::double end) b from xg group by drug, gene), ps as materialized (select d.disease, s.drug, d.fold_change a, s.b from dsig d join sg s using (gene)), {_RANKED.format(k='drug', t='ps')}, rv as materialized (select disease, drug, -1.0::double * ({_corr('x', 'y')}) c from rk group by disease, drug)"
 
 
 @query(f"with {DISEASES}, {DRUGS}, {_REV} select disease, drug, {r6('c')} as c from rv")
-def reversal(spark, sf):
-    return correlation.reversal(domain.disease_signatures(spark, sf), domain.drug_genes(spark, sf)).select("disease", "drug", tidy(F.col("c")).alias("c"))
+def reversal(spark, sf, whole=False):
+    return correlation.reversal(domain.disease_signatures(spark, sf, whole), domain.drug_genes(spark, sf, whole)).select("disease", "drug", tidy(F.col("c")).alias("c"))
 
 
 # ---- Scoring -------------------------------------------------------------------
@@ -318,9 +319,9 @@ cls as materialized (select *, case when pqa < 0 and pqb < 0 then (case when s >
 pred as materialized (select disease, drug_a, drug_b, case when topology_class = 'complementary_exposure' then 2.0::double else 0.0::double end tqab, -(pqa + pqb) / 2 pqab, (cqa + cqb) / 2 cqab, topology_class, pqa, pqb, cqa, cqb from cls)"""
 
 
-def _predictor(spark, sf) -> scoring.Predictor:
+def _predictor(spark, sf, whole=False) -> scoring.Predictor:
     p = scoring.Predictor(domain.network(spark, sf), domain.DRAWS, domain.SEED)
-    return p.set_disease_modules(domain.disease_modules(spark, sf)).set_drug_modules(domain.drug_genes(spark, sf)).set_disease_signatures(domain.disease_signatures(spark, sf))
+    return p.set_disease_modules(domain.disease_modules(spark, sf, whole)).set_drug_modules(domain.drug_genes(spark, sf, whole)).set_disease_signatures(domain.disease_signatures(spark, sf, whole))
 
 
 _SCORES = ("tqab", "pqab", "cqab", "prediction_score", "pqa", "pqb", "cqa", "cqb")
@@ -331,13 +332,13 @@ def _tidy_scores(p: DataFrame, digits: int) -> DataFrame:
 
 
 @query(f"with recursive {_PRED} select disease, drug_a, drug_b, topology_class, {', '.join(f'round({e}, 4) + 0.0 as {c}' for c, e in (('tqab', 'tqab'), ('pqab', 'pqab'), ('cqab', 'cqab'), ('prediction_score', '(tqab + pqab + cqab)'), ('pqa', 'pqa'), ('pqb', 'pqb'), ('cqa', 'cqa'), ('cqb', 'cqb')))} from pred")
-def predict_all(spark, sf):
-    return _tidy_scores(_predictor(spark, sf).predict(), 4)
+def predict_all(spark, sf, whole=False):
+    return _tidy_scores(_predictor(spark, sf, whole).predict(), 4)
 
 
 @query(f"with recursive {_PRED} select disease, topology_class, count(*) as n_pairs from pred group by disease, topology_class")
-def topology_classes(spark, sf):
-    return _predictor(spark, sf).predict().groupBy("disease", "topology_class").agg(F.count("*").alias("n_pairs"))
+def topology_classes(spark, sf, whole=False):
+    return _predictor(spark, sf, whole).predict().groupBy("disease", "topology_class").agg(F.count("*").alias("n_pairs"))
 
 
 @query("select prediction_id, prediction_score from predictions where prediction_score is not null and not isnan(prediction_score) order by prediction_score desc, prediction_id limit 20")
@@ -411,19 +412,19 @@ def _set_sql(expr: str) -> str:
 select a.disease as module_i, b.disease as module_j, {r6(expr)} as sim from n a join n b on a.disease < b.disease left join k on k.i = a.disease and k.j = b.disease"""
 
 
-def _set_similarity(spark, sf, method: str) -> DataFrame:
-    s = similarity.set_similarity(domain.disease_modules(spark, sf).withColumnRenamed("disease", "module"), method)
+def _set_similarity(spark, sf, method: str, whole: bool) -> DataFrame:
+    s = similarity.set_similarity(domain.disease_modules(spark, sf, whole).withColumnRenamed("disease", "module"), method)
     return s.select("module_i", "module_j", tidy(F.col("sim")).alias("sim"))
 
 
 @query(_set_sql("coalesce(k.k, 0) / (a.n + b.n - coalesce(k.k, 0))::double"))
-def jaccard(spark, sf):
-    return _set_similarity(spark, sf, "jaccard")
+def jaccard(spark, sf, whole=False):
+    return _set_similarity(spark, sf, "jaccard", whole)
 
 
 @query(_set_sql("coalesce(k.k, 0) / least(a.n, b.n)::double"))
-def overlap(spark, sf):
-    return _set_similarity(spark, sf, "overlap")
+def overlap(spark, sf, whole=False):
+    return _set_similarity(spark, sf, "overlap", whole)
 
 
 def _fingerprints(spark, sf) -> DataFrame:
@@ -445,9 +446,9 @@ def cosine(spark, sf):
 
 
 @query(f"with {DISEASES}, n as materialized (select disease, count(*) n from dm group by disease) select a.disease as i, b.disease as j, {r6('least(a.n, b.n) / greatest(a.n, b.n)::double')} as sim from n a join n b on a.disease < b.disease")
-def pair_matrix(spark, sf):
+def pair_matrix(spark, sf, whole=False):
     """Any Column builder as the similarity: here the ratio of module sizes."""
-    n = domain.disease_modules(spark, sf).groupBy("disease").agg(F.count("*").alias("n"))
+    n = domain.disease_modules(spark, sf, whole).groupBy("disease").agg(F.count("*").alias("n"))
     p = similarity.pair_matrix(n, "disease", lambda a, b: F.least(a, b) / F.greatest(a, b), "n")
     return p.select("i", "j", tidy(F.col("sim")).alias("sim"))
 
@@ -464,8 +465,8 @@ def _walk_sql(weight: str) -> str:
     return f"{NET}, {DISEASES}, {QG}, {', '.join(steps)}"
 
 
-def _walk(spark, sf, mode: str) -> DataFrame:
-    seeds = domain.disease_modules(spark, sf).withColumnRenamed("disease", "module")
+def _walk(spark, sf, mode: str, whole: bool) -> DataFrame:
+    seeds = domain.disease_modules(spark, sf, whole).withColumnRenamed("disease", "module")
     return propagation.walk(domain.network(spark, sf), seeds, mode, fixed=STEPS)
 
 
@@ -477,30 +478,42 @@ _OUT = f"select disease as module, gene, round(s, 9) + 0.0 as score from s{STEPS
 
 
 @query(f"with recursive {_walk_sql('1.0::double / d.degree')} {_OUT}")
-def rwr_column(spark, sf):
-    return _scores(_walk(spark, sf, "column"))
+def rwr_column(spark, sf, whole=False):
+    return _scores(_walk(spark, sf, "column", whole))
 
 
 @query(f"with recursive {_walk_sql('1.0::double / e.degree')} {_OUT}")
-def rwr_row(spark, sf):
-    return _scores(_walk(spark, sf, "row"))
+def rwr_row(spark, sf, whole=False):
+    return _scores(_walk(spark, sf, "row", whole))
 
 
 @query(f"with recursive {_walk_sql('1.0::double / sqrt(d.degree::double * e.degree)')} {_OUT}")
-def rwr_symmetric(spark, sf):
-    return _scores(_walk(spark, sf, "symmetric"))
+def rwr_symmetric(spark, sf, whole=False):
+    return _scores(_walk(spark, sf, "symmetric", whole))
 
 
 @query()
 def rwr_converged(spark, sf):
-    """Until no module moves by 1e-6; tested against dense linear algebra."""
-    seeds = domain.disease_modules(spark, sf).withColumnRenamed("disease", "module")
+    """Over every name, until no module moves by 1e-6; tested against dense linear algebra."""
+    seeds = domain.disease_modules(spark, sf, whole=True).withColumnRenamed("disease", "module")
     return _scores(propagation.walk(domain.network(spark, sf), seeds))
 
 
 @query(f"with recursive {_walk_sql('1.0::double / d.degree')} select disease as module, gene, rk::int as rank from (select disease, gene, row_number() over (partition by disease order by round(s, 9) desc, gene) rk from s{STEPS}) where rk <= 100")
-def rwr_topk(spark, sf):
-    return propagation.top_genes(_scores(_walk(spark, sf, "column")), 100).select("module", "gene", "rank")
+def rwr_topk(spark, sf, whole=False):
+    return propagation.top_genes(_scores(_walk(spark, sf, "column", whole)), 100).select("module", "gene", "rank")
+
+
+# ---- The same over every name -----------------------------------------------------------
+
+
+#: Over the rows of every name that is not blank, as the reference groups them. The SQL keeps to canonical spellings, so these have none.
+WHOLE = (
+    disease_modules, disease_signature, median_profile, mean_profile, drug_modules, bfs_module_dist, avg_shortest_path, module_proximity, separation, pairwise_dist,
+    module_seed_hash, null_modules, null_zscore, spearman, pearson, reversal, predict_all, topology_classes, jaccard, overlap, pair_matrix,
+    rwr_column, rwr_row, rwr_symmetric, rwr_topk,
+)
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in WHOLE}
 
 
 # ---- Figures -------------------------------------------------------------------------

@@ -1,0 +1,40 @@
+import numpy as np
+import pandas as pd
+import pytest
+
+import __spark_entry__ as entry
+
+
+@pytest.fixture(scope="module")
+def small(tmp_path_factory):
+    """Tables of a ring of 24 genes with chords; every other name is in no reference list."""
+    d = tmp_path_factory.mktemp("small")
+    genes = [f"G{i:02d}" for i in range(24)]
+    ends = [(genes[i], genes[(i + 1) % 24]) for i in range(24)] + [(genes[0], genes[i]) for i in (5, 9, 14)]
+    tables = {
+        "interactions": [(i, a, b, "s", "t", None) for i, (a, b) in enumerate(ends)],
+        "creeds_signatures": [(i, n, x, g) for i, (n, x, g) in enumerate([("Asthma ", "up", "G01"), ("asthma", "down", "G03"), ("astma", "up", "G05"), ("wheezing", "down", "G08"), ("wheezing", "up", "G09"), ("wheezing", "up", "G01"), (" ", "up", "G02"), (None, "up", "G02")])],
+        "disease_ref": [(1, "asthma", "wheezing")],
+        "compound_ref": [(1, "aspirin", "asa")],
+        "lincs_metadata": [(1, "s1", "Aspirin"), (2, "s2", "asa"), (3, "s3", "aspirn hcl"), (4, "s4", "  "), (5, "s5", None)],
+        "lincs_values": [(i, f"s{1 + i % 5}", genes[(7 * i) % 24], float(i % 11) - 5) for i in range(60)],
+    }
+    columns = {"interactions": "interaction_id protein_a protein_b source interaction_type complex_id", "creeds_signatures": "record_id disease_name direction gene_symbol", "disease_ref": "disease_id disease synonyms", "compound_ref": "compound_id compound synonyms", "lincs_metadata": "row_id sig_id pert_iname", "lincs_values": "value_id sig_id gene fold_change"}
+    for t, rows in tables.items():
+        df = pd.DataFrame(rows, columns=columns[t].split())
+        (df.astype({"complex_id": "string"}) if t == "interactions" else df).to_parquet(d / f"{t}.parquet")
+    return str(d)
+
+
+def run(spark, name, sf):
+    return entry.queries()[name](spark, sf).toPandas()
+
+
+def test_every_name_counts(spark, small):
+    got = {(r.disease, r.gene) for r in run(spark, "disease_modules_whole", small).itertuples()}
+    assert got == {("asthma", "G01"), ("asthma", "G03"), ("astma", "G05"), ("wheezing", "G08"), ("wheezing", "G09"), ("wheezing", "G01")}
+    v = pd.read_parquet(f"{small}/lincs_values.parquet").merge(pd.DataFrame({"sig_id": ["s1", "s2", "s3"], "compound": ["aspirin", "asa", "aspirn hcl"]}))
+    want = v.groupby(["compound", "gene"]).fold_change.median().to_dict()
+    assert {(r.compound, r.gene): r.fold_change for r in run(spark, "median_profile_whole", small).itertuples()} == want
+    assert set(run(spark, "drug_modules_whole", small).drug) == {"aspirin", "asa", "aspirn hcl"}
+    assert set(run(spark, "jaccard_whole", small).module_j) == {"astma", "wheezing"}
