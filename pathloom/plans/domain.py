@@ -11,6 +11,13 @@ from pathloom.sources.tables import table
 
 TOP_PCT, DRAWS, SEED = 0.05, 10, 42
 
+#: Draws of the queries without SQL: the default of the operator.
+ALL_DRAWS = 1000
+
+
+def draws(whole: bool) -> int:
+    return ALL_DRAWS if whole else DRAWS
+
 
 def ends(spark: SparkSession, sf: str) -> DataFrame:
     return graph.harmonize_ends(table(spark, sf, "interactions")).withColumn("seq", F.col("interaction_id"))

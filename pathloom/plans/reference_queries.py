@@ -247,7 +247,7 @@ def module_seed_hash(spark, sf, whole=False):
 
 @query(f"with recursive {NET}, {DRUGS}, {XG}, {_NULLS} select drug as module, draw::int as draw, gene from nul")
 def null_modules(spark, sf, whole=False):
-    return nulls.null_modules(domain.network(spark, sf), domain.drug_modules(spark, sf, whole).withColumnRenamed("drug", "module"), domain.DRAWS, domain.SEED)
+    return nulls.null_modules(domain.network(spark, sf), domain.drug_modules(spark, sf, whole).withColumnRenamed("drug", "module"), domain.draws(whole), domain.SEED)
 
 
 _Z = f"""{_PROX}, qgenes as materialized (select distinct gene s, gene from q), {bfs_sql('bg', 's', 'qgenes')}, {_NULLS},
@@ -259,7 +259,7 @@ zz as materialized (select *, case when null_std < 1e-9 then 0.0::double else (o
 
 @query(f"with recursive {_Z} select disease, drug, {r6('observed')} as observed, {r6('null_mean')} as null_mean, {r6('null_std')} as null_std, {r6('round(z, 9)')} as z, {r6('p_value')} as p_value from zz")
 def null_zscore(spark, sf, whole=False):
-    z = scoring.proximity(domain.network(spark, sf), domain.disease_modules(spark, sf, whole), domain.drug_modules(spark, sf, whole), domain.DRAWS, domain.SEED)
+    z = scoring.proximity(domain.network(spark, sf), domain.disease_modules(spark, sf, whole), domain.drug_modules(spark, sf, whole), domain.draws(whole), domain.SEED)
     return z.select("disease", "drug", *(tidy(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_std", "z", "p_value")))
 
 
@@ -320,7 +320,7 @@ pred as materialized (select disease, drug_a, drug_b, case when topology_class =
 
 
 def _predictor(spark, sf, whole=False) -> scoring.Predictor:
-    p = scoring.Predictor(domain.network(spark, sf), domain.DRAWS, domain.SEED)
+    p = scoring.Predictor(domain.network(spark, sf), domain.draws(whole), domain.SEED)
     return p.set_disease_modules(domain.disease_modules(spark, sf, whole)).set_drug_modules(domain.drug_genes(spark, sf, whole)).set_disease_signatures(domain.disease_signatures(spark, sf, whole))
 
 

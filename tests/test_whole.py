@@ -1,8 +1,8 @@
-import numpy as np
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from pathloom.operators import distances, nulls, scoring
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,25 @@ def test_every_name_counts(spark, small):
     assert {(r.compound, r.gene): r.fold_change for r in run(spark, "median_profile_whole", small).itertuples()} == want
     assert set(run(spark, "drug_modules_whole", small).drug) == {"aspirin", "asa", "aspirn hcl"}
     assert set(run(spark, "jaccard_whole", small).module_j) == {"astma", "wheezing"}
+
+
+def test_all_draws(spark, small):
+    n = run(spark, "null_modules_whole", small)
+    assert set(n.draw) == set(range(1000)) and n.module.nunique() == 3
+    z = run(spark, "null_zscore_whole", small)
+    assert len(z) == 3 * 3 and all(abs(p * 1000 - round(p * 1000)) < 1e-6 for p in z.p_value) and any(round(p * 1000) % 100 for p in z.p_value)
+    assert len(run(spark, "predict_all_whole", small)) == 3 * 3
+
+
+def test_ensemble_equals_draw_rows(spark, chain_edges, chain_disease, chain_drugs, monkeypatch):
+    monkeypatch.setattr(nulls, "CELLS", 50)
+    apart = chain_edges.union(spark.createDataFrame([("ALONE0", "ALONE1")], chain_edges.schema))
+    q = chain_disease.union(spark.createDataFrame([("r", "DISEASE1"), ("r", "ALONE0"), ("s", "NOWHERE"), ("t", "ALONE1")], chain_disease.schema))
+    x = chain_drugs.select("drug", "gene")
+    obs = distances.module_distances(apart, q.withColumnRenamed("disease", "source"), x.withColumnRenamed("drug", "target")).withColumnsRenamed({"source": "disease", "target": "drug"})
+    drawn = nulls.null_modules(apart, x.withColumnRenamed("drug", "module"), 40).withColumnRenamed("module", "drug")
+    want = {(r["disease"], r["drug"]): r for r in nulls.zscores(obs, nulls.null_distances(apart, q, drawn)).collect()}
+    got = {(r["disease"], r["drug"]): r for r in scoring.proximity(apart, q, x, 40).collect()}
+    assert set(got) == set(want) and len(got) >= 8
+    for k, r in want.items():
+        assert [got[k][c] for c in ("observed", "null_mean", "null_std", "z", "p_value")] == pytest.approx([r[c] for c in ("observed", "null_mean", "null_std", "z", "p_value")])
