@@ -466,8 +466,9 @@ def _walk_sql(weight: str) -> str:
 
 
 def _walk(spark, sf, mode: str, whole: bool) -> DataFrame:
+    """``STEPS`` steps, which SQL can unroll; ``whole``: until no module moves by 1e-6."""
     seeds = domain.disease_modules(spark, sf, whole).withColumnRenamed("disease", "module")
-    return propagation.walk(domain.network(spark, sf), seeds, mode, fixed=STEPS)
+    return propagation.walk(domain.network(spark, sf), seeds, mode, fixed=None if whole else STEPS)
 
 
 def _scores(df: DataFrame) -> DataFrame:

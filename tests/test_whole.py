@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -60,3 +61,22 @@ def test_ensemble_equals_draw_rows(spark, chain_edges, chain_disease, chain_drug
     assert set(got) == set(want) and len(got) >= 8
     for k, r in want.items():
         assert [got[k][c] for c in ("observed", "null_mean", "null_std", "z", "p_value")] == pytest.approx([r[c] for c in ("observed", "null_mean", "null_std", "z", "p_value")])
+
+
+@pytest.mark.parametrize("mode", ["column", "row", "symmetric"])
+def test_walks_converge(spark, small, mode):
+    i = pd.read_parquet(f"{small}/interactions.parquet")
+    genes = sorted({*i.protein_a, *i.protein_b})
+    a = np.zeros((24, 24))
+    for x, y in zip(i.protein_a, i.protein_b):
+        a[genes.index(x), genes.index(y)] = a[genes.index(y), genes.index(x)] = 1
+    d = a.sum(0)
+    w = {"column": a / d, "row": a / d[:, None], "symmetric": a / np.sqrt(d * d[:, None])}[mode]
+    f = np.zeros(24)
+    f[genes.index("G05")] = 1
+    want = np.linalg.solve(np.eye(24) - 0.5 * w, 0.5 * f)
+    s = run(spark, f"rwr_{mode}_whole", small).query("module == 'astma'").set_index("gene").score
+    assert len(s) == 24 and s[genes].to_numpy() == pytest.approx(want, abs=4e-6)
+    if mode == "column":
+        t = run(spark, "rwr_topk_whole", small).query("module == 'astma'").set_index("gene")["rank"]
+        assert len(t) == 24 and [t[g] for g in genes] == list(s[genes].rank(ascending=False, method="first").astype(int))
