@@ -32,6 +32,16 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[
     return d.select(*df.columns, *((F.sum(v).over(win) + F.col(f"b_{v}")).alias(f"c_{v}") for v in values))
 
 
+def medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, median): exact, from the counts of the distinct values. NULL is a key like any other; NULL and NaN values don't count."""
+    n = df.where(valid(value)).select(F.struct(*keys).alias("k"), F.col(value).cast("double").alias("v")).groupBy("k", "v").agg(F.count("*").alias("n"))
+    c = cumulative(Scratch(df.sparkSession, "medians").cut(n, "counts"), ["k"], "v", ["n"])
+    total = c.groupBy("k").agg(F.sum("n").alias("total"))
+    at = lambda p: F.max(F.when((F.col("c_n") >= p) & (F.col("c_n") - F.col("n") < p), F.col("v")))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    return c.join(total, "k").groupBy("k").agg((at(low) / 2 + at(high) / 2).alias("median")).select("k.*", "median")
+
+
 def thresholds(scored: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
     """(keys, score, tp, fp, c_tp, c_fp): counts at and above each distinct score."""
     ok = scored.where(valid(score) & F.col(label).isNotNull())

@@ -352,7 +352,9 @@ def score_aggregate(spark, sf):
     from pathloom.functions.columns import aggregate
 
     p = table(spark, sf, "predictions").where("prediction_score is not null and not isnan(prediction_score)")
-    return p.groupBy("disease").agg(*(tidy(aggregate(m, "prediction_score")).alias(f"{m}_score") for m in ("mean", "median", "max")))
+    rest = p.groupBy("disease").agg(*(tidy(aggregate(m, "prediction_score")).alias(f"{m}_score") for m in ("mean", "max")))
+    middle = evaluation.medians(p, ["disease"], "prediction_score").withColumnRenamed("disease", "d")
+    return rest.join(middle, F.col("disease").eqNullSafe(F.col("d"))).select("disease", "mean_score", tidy(F.col("median")).alias("median_score"), "max_score")
 
 
 # ---- Evaluation ------------------------------------------------------------------

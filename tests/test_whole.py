@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from pathloom.operators import distances, nulls, scoring
+from pathloom.operators import distances, evaluation, nulls, scoring
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,13 @@ def test_walks_converge(spark, small, mode):
     if mode == "column":
         t = run(spark, "rwr_topk_whole", small).query("module == 'astma'").set_index("gene")["rank"]
         assert len(t) == 24 and [t[g] for g in genes] == list(s[genes].rank(ascending=False, method="first").astype(int))
+
+
+def test_median_in_one_task_per_range(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(x)) for k, n in (("a", 301), ("b", 40), (None, 7), ("one", 1)) for x in rng.integers(-9, 60, n)] + [("a", float("nan")), ("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    m = evaluation.medians(df, ["k"], "v")
+    want = {k: float(np.median([v for kk, v in rows if kk == k and v is not None and v == v])) for k in ("a", "b", None, "one")}
+    assert {r["k"]: r["median"] for r in m.collect()} == want
+    assert "median(" not in m._jdf.queryExecution().optimizedPlan().toString() and "percentile(" not in m._jdf.queryExecution().optimizedPlan().toString()
