@@ -120,13 +120,17 @@ def _sketch_partitions(keys: Sequence[str], arrow: Sequence[pa.DataType], value:
 
         for b in batches:
             df = b.to_pandas()
-            code, uniques = pd.factorize(pd.MultiIndex.from_frame(df[list(keys)])) if len(keys) > 1 else pd.factorize(df[keys[0]])
+            code, uniques = np.zeros(len(df), dtype=np.int64), [()]
+            for c in keys:  # NULL is a key like any other
+                own, found = pd.factorize(df[c])
+                found = [*found, None]
+                code, pairs = pd.factorize(code * len(found) + np.where(own < 0, len(found) - 1, own))
+                uniques = [(*uniques[x // len(found)], found[x % len(found)]) for x in pairs]
             order = np.argsort(code, kind="stable")
             values = df[value].to_numpy()[order]
             cuts = np.flatnonzero(np.diff(code[order])) + 1
             for c, part in zip(code[order][np.r_[0, cuts]] if len(code) else [], np.split(values, cuts)):
-                key = uniques[c] if len(keys) > 1 else (uniques[c],)
-                open_.setdefault(key, Sketch(k)).update(part)
+                open_.setdefault(uniques[c], Sketch(k)).update(part)
             held += len(values)
             if held > 2_000_000:  # bounds a task's memory; sketches merge later
                 yield from flush()
@@ -142,8 +146,8 @@ def _chunks(rows: list, size: int) -> Iterator[list]:
 
 
 def day_sketches(values: DataFrame, group: str, day: str, value: str, k: int = K) -> DataFrame:
-    """(group, day, n, variance, sizes, items): one sketch per group and day."""
-    df = values.select(F.col(group), F.col(day), F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(group).isNotNull() & F.col(day).isNotNull())
+    """(group, day, n, variance, sizes, items): one sketch per group and day; values without a day have one of their own, of day NULL."""
+    df = values.select(F.col(group), F.col(day), F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(group).isNotNull())
     schema = T.StructType([df.schema[group], df.schema[day], *_STATE])
     partial = df.mapInArrow(_sketch_partitions([group, day], [pa.string(), pa.date32()], value, k), schema)
     return merge_sketches(partial, [group, day], k)

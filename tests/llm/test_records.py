@@ -186,3 +186,13 @@ def test_canonical_values(spark):
     want = {i: w for i, w in enumerate(cases.values()) if w is not None} | {901: 1}
     assert got == want
     assert canonical.map_column(df.where("false"), "record_id", "disease_name", ref, "disease_id", "disease").count() == 0
+
+
+def test_values_without_a_day_count(spark):
+    values = spark.createDataFrame([("s", None if i % 3 else f"2024-01-0{1 + i % 2} 00:00:00", float(i)) for i in range(90)], "sig_id string, measured_at string, fold_change double")
+    values = values.selectExpr("sig_id", "cast(measured_at as timestamp) measured_at", "fold_change").repartition(3)
+    meta = spark.createDataFrame([(1, "s", "x")], "row_id bigint, sig_id string, pert_iname string")
+    r = quantiles.compound_percentiles(values, meta).first()
+    assert r["n_values"] == 90 and r["median"] == 44.0 and r["p99"] == 89.0
+    days = quantiles.percentiles(quantiles.compound_sketches(values, meta), ["pert_iname", "day"], quantiles.PERCENTILES).collect()
+    assert sorted((str(r["day"]), r["n_values"]) for r in days) == [("2024-01-01", 15), ("2024-01-02", 15), ("None", 60)]
