@@ -3,8 +3,8 @@
 Distinct values are cut into tokens; each distinct token is repaired once: it is
 joined to the tokens of the reference list by edit distance (insertions,
 deletions, substitutions, swaps of neighbours), through the strings that remain
-when up to two letters are deleted from either, so the join is an equi-join and
-finds every pair within the distance. Split and glued words are repaired through
+when up to two letters are deleted from either, or for words over ``LONG`` letters through one of five pieces,
+so the join is an equi-join and finds every pair within the distance. Split and glued words are repaired through
 joined neighbours on either side, and an abbreviation with a full stop through
 the one word that it begins. Corrected tokens are combined by soft TF-IDF:
 
@@ -32,6 +32,9 @@ from pathloom.storage import Scratch
 
 THRESHOLD = 0.9
 
+#: Longer words, whose deletions are too many, are found by pieces.
+LONG, PIECES = 64, 5
+
 #: Shorthand that shares no letters with what it stands for.
 SHORTHAND = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "1ry": "primary", "2ry": "secondary", "3ry": "tertiary"}
 
@@ -76,10 +79,37 @@ def deletions(word: str, n: int) -> list[str]:
     return sorted(found)
 
 
+def _cuts(length: int) -> list[tuple[int, int]]:
+    return [(length * i // PIECES, length * (i + 1) // PIECES) for i in range(PIECES)]
+
+
+def pieces(word: str, shifted: bool) -> list[str]:
+    """Keys of a long word: its pieces; ``shifted``: what may be the piece of a word up to two edits away.
+
+    An edit spoils one piece, a swap of neighbours two at most, so two edits leave one of
+    five as it was, at a place shifted by up to two.
+    """
+    if not shifted:
+        return [f"{len(word)}:{i}:{word[a:b]}" for i, (a, b) in enumerate(_cuts(len(word)))]
+    found = {f"{n}:{i}:{word[a + d : b + d]}" for n in range(max(LONG - 1, len(word) - 2), len(word) + 3) for i, (a, b) in enumerate(_cuts(n)) for d in range(-2, 3) if 0 <= a + d and b + d <= len(word)}
+    return sorted(found)
+
+
+def _keys(word: str, shifted: bool) -> list[str]:
+    """Strings that a token and a word within the distance have in common; words of about ``LONG`` letters have both kinds."""
+    if any(c.isdigit() for c in word):
+        return [word]
+    return ([word] if len(word) > LONG else deletions(word, 1 if len(word) < 6 else 2)) + (pieces(word, shifted) if len(word) > LONG - 2 else [])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _token_keys(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: _keys(w, True))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _deletions(words: pd.Series) -> pd.Series:
-    # A word longer than any of the list could match is left as it is: 64 letters.
-    return words.map(lambda w: [w] if len(w) > 64 or any(c.isdigit() for c in w) else deletions(w, 1 if len(w) < 6 else 2))
+def _word_keys(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: _keys(w, False))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -130,8 +160,8 @@ def map_values(values: DataFrame, names: DataFrame, threshold: float = THRESHOLD
     v = v.select("value", fold(F.col("value")).alias("text"))
     v_tok = scratch.cut(_spans(v, "value", "text", ["text"]).select("value", "pos", "span", "token", (F.instr(F.col("text"), F.concat("token", F.lit("."))) > 0).alias("dot")), "value-tokens")
     seen = v_tok.select("token").distinct()
-    keys = seen.select("token", F.explode(_deletions("token")).alias("key"))
-    vocab_keys = words.select("vocab", F.explode(_deletions("vocab")).alias("key"))
+    keys = seen.select("token", F.explode(_token_keys("token")).alias("key"))
+    vocab_keys = words.select("vocab", F.explode(_word_keys("vocab")).alias("key"))
     near = keys.join(vocab_keys, "key").select("token", "vocab").distinct()
     near = near.withColumn("d", F.when(F.col("token") == F.col("vocab"), 0).otherwise(_distance("token", "vocab")))
     near = near.where((F.col("d") == 0) | ((F.col("d") <= _allowed("vocab")) & ~F.col("token").rlike(r"\d")))

@@ -196,3 +196,30 @@ def test_values_without_a_day_count(spark):
     assert r["n_values"] == 90 and r["median"] == 44.0 and r["p99"] == 89.0
     days = quantiles.percentiles(quantiles.compound_sketches(values, meta), ["pert_iname", "day"], quantiles.PERCENTILES).collect()
     assert sorted((str(r["day"]), r["n_values"]) for r in days) == [("2024-01-01", 15), ("2024-01-02", 15), ("None", 60)]
+
+
+def test_long_words_share_a_key():
+    rng = np.random.default_rng(8)
+    for _ in range(3_000):
+        w = list(rng.choice(list("abcd"), rng.integers(60, 90)))
+        x = w.copy()
+        for kind in rng.integers(0, 4, rng.integers(0, 3)):
+            i = int(rng.integers(0, len(x) - 1))
+            if kind == 0:
+                del x[i]
+            elif kind == 1:
+                x.insert(i, "e")
+            elif kind == 2:
+                x[i] = "e"
+            else:
+                x[i : i + 2] = x[i + 1], x[i]
+        w, x = "".join(w), "".join(x)
+        if max(len(w), len(x)) > canonical.LONG and canonical.distance(w, x) <= 2:
+            assert set(canonical._keys(x, True)) & set(canonical._keys(w, False))
+
+
+def test_long_word_is_repaired(spark):
+    word = "pneumono" * 9
+    ref = spark.createDataFrame([(1, f"{word} fever", None), (2, "asthma", None)], "disease_id bigint, disease string, synonyms string")
+    df = spark.createDataFrame([(1, f"{word[:30]}x{word[30:50]}{word[51:]} fever")], "record_id bigint, disease_name string")
+    assert [r["ref_id"] for r in canonical.map_column(df, "record_id", "disease_name", ref, "disease_id", "disease").collect()] == [1]
