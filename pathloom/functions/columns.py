@@ -32,6 +32,14 @@ def tidy(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits) + F.lit(0.0)
 
 
+def exact_mean(c: Column) -> Column:
+    """Mean to six digits, halves up, from a sum of whole billionths: the same in any order of summation."""
+    v = F.sum(F.round(c * 1e9).cast("decimal(28,0)")) * 2 + F.count(c) * 1000
+    m = (F.count(c) * 2000).cast("decimal(28,0)")
+    v = v.cast("decimal(38,0)")
+    return ((v - (v % m + m) % m) / m).cast("double") / 1e6
+
+
 def valid(c: str) -> Column:
     """Neither NULL nor NaN."""
     return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))

@@ -1,8 +1,9 @@
 """Hop distances by breadth-first joins, many sources at once.
 
-A search is keyed: one loop serves all modules. A level is joined with the edges,
-de-duplicated with map-side combine, and compared with the two levels before it,
-which suffices in an undirected graph. Each level is a table in the shared folder.
+One search serves all modules: a node carries bitmaps of the modules that reach
+it, 64 modules to a word, and a level ORs the words of a node's neighbours with
+map-side combine. Words are compared with the two levels before, which suffices
+in an undirected graph. Each level is a table in the shared folder.
 
 Genes outside the graph take no part. Distances to an empty module are
 ``INFINITY``; a module of one gene has no distance to itself (0.0).
@@ -10,73 +11,125 @@ Genes outside the graph take no part. Distances to an empty module are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.columns import DUST, INFINITY
-from pathloom.operators.graph import adjacency, degrees
-from pathloom.storage import Scratch
+from pathloom.operators.graph import adjacency
+from pathloom.operators.numbering import number
+from pathloom.storage import BROADCAST_ROWS, Scratch, rows, sized
+
+WORD = 64
 
 
 def in_network(genes: DataFrame, edges: DataFrame, gene: str = "gene") -> DataFrame:
     """Rows whose gene is a node of the graph."""
-    return genes.join(degrees(edges).select(F.col("gene").alias(gene)), gene, "left_semi")
-
-
-def bfs(edges: DataFrame, sources: DataFrame, key: str = "module", max_hops: int | None = None) -> DataFrame:
-    """(key, node, hops, origin): distance of each node to the sources of each key, and one nearest source.
-
-    ``sources`` is (key, gene). Nodes that no source reaches are absent.
-    """
-    scratch = Scratch(edges.sparkSession, "bfs")
+    nodes = adjacency(edges).select(F.col("src").alias(gene)).distinct()
+    return genes.join(nodes, gene, "left_semi")
+
+
+class Reach:
+    """A finished search: bitmaps (node, word, bits) per level, and the numbers of the keys."""
+
+    def __init__(self, levels: list[DataFrame], numbers: DataFrame, key: str):
+        self.levels, self.numbers, self.key = levels, numbers, key
+
+    def bits(self) -> DataFrame:
+        """(node, word, bits, hops): the keys that reach a node over exactly ``hops`` edges."""
+        out = None
+        for h, level in enumerate(self.levels):
+            part = level.withColumn("hops", F.lit(h))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def table(self, nodes: DataFrame | None = None) -> DataFrame:
+        """(key, node, hops) for each node a key reaches, or for ``nodes(node)`` only."""
+        b = self.bits()
+        if nodes is not None:
+            b = b.join(nodes.select("node").distinct(), "node", "left_semi")
+        places = F.expr(f"filter(sequence(0, {WORD - 1}), i -> getbit(bits, i) = 1)")
+        flat = b.select("node", "hops", "word", F.explode(places).alias("_at")).select("node", "hops", (F.col("word") * WORD + F.col("_at")).alias("_i"))
+        names = self.numbers.select(self.key, F.col("_i"))
+        names = F.broadcast(names) if rows(self.numbers) <= BROADCAST_ROWS else names
+        return flat.join(names, "_i").select(self.key, "node", "hops")
+
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """``wanted(key, node, ...)`` with ``hops``; rows whose key does not reach the node go."""
+        w = wanted.join(self.numbers, self.key)
+        w = w.withColumn("word", F.floor(F.col("_i") / WORD).cast("int")).withColumn("_at", (F.col("_i") % WORD).cast("int"))
+        hit = w.join(self.bits(), ["node", "word"]).where("getbit(bits, _at) = 1")
+        return hit.select(*wanted.columns, "hops")
+
+
+def search(edges: DataFrame, sources: DataFrame, key: str = "module", max_hops: int | None = None) -> Reach:
+    """Breadth-first search from the genes of each key; ``sources`` is (key, gene)."""
+    scratch = Scratch(edges.sparkSession, "search")
     adj = scratch.cut(adjacency(edges), "adjacent")
-    start = sources.select(key, F.col("gene").alias("node")).where("node is not null").distinct()
-    start = start.join(adj.select(F.col("src").alias("node")), "node", "left_semi").select(key, "node", F.col("node").alias("origin"))
-    levels = [scratch.cut(start, "level")]
-    while max_hops is None or len(levels) <= max_hops:
-        step = levels[-1].join(adj, F.col("node") == F.col("src")).groupBy(key, F.col("dst").alias("node")).agg(F.min("origin").alias("origin"))
-        for near in levels[-2:]:
-            step = step.join(near.select(key, "node"), [key, "node"], "left_anti")
-        step = scratch.cut(step, "level")
-        if step.isEmpty():
+    start = sources.select(key, F.col("gene").alias("node")).where(F.col(key).isNotNull() & F.col("node").isNotNull()).distinct()
+    start = scratch.cut(start.join(adj.select(F.col("src").alias("node")), "node", "left_semi"), "start")
+    numbers = number(start.select(key).distinct(), key, out="_i")
+    at = start.join(sized(numbers), key)
+    word, bit = F.floor(F.col("_i") / WORD).cast("int"), F.expr(f"shiftleft(1L, cast(_i % {WORD} as int))")
+    levels = [scratch.cut(at.groupBy("node", word.alias("word")).agg(F.bit_or(bit).alias("bits")), "level")]
+    while rows(levels[-1]) and (max_hops is None or len(levels) <= max_hops):
+        step = adj.join(_renamed(levels[-1]), "src")
+        step = step.groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        for i, near in enumerate(levels[-2:]):
+            old = near.select("node", "word", F.col("bits").alias(f"_b{i}"))
+            old = F.broadcast(old) if rows(near) <= BROADCAST_ROWS else old.hint("merge")
+            step = step.join(old, ["node", "word"], "left")
+            step = step.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(f"_b{i}", F.lit(0).cast("bigint"))))).drop(f"_b{i}")
+        step = scratch.cut(step.where("bits <> 0"), "level")
+        if not rows(step):
             break
         levels.append(step)
-    out = None
-    for h, level in enumerate(levels):
-        part = level.select(key, "node", F.lit(h).alias("hops"), "origin")
-        out = part if out is None else out.unionByName(part)
-    return out
+    scratch.drop(adj, start)
+    return Reach(levels, numbers, key)
+
+
+def _renamed(level: DataFrame) -> DataFrame:
+    out = level.withColumnRenamed("node", "src")
+    return F.broadcast(out) if rows(level) <= BROADCAST_ROWS else out.hint("merge")
+
+
+def bfs(edges: DataFrame, sources: DataFrame, key: str = "module", max_hops: int | None = None) -> DataFrame:
+    """(key, node, hops): distance of each node to the sources of each key. Nodes that no source reaches are absent."""
+    return search(edges, sources, key, max_hops).table()
 
 
-def module_distances(edges: DataFrame, sources: DataFrame, targets: DataFrame, to: DataFrame | None = None) -> DataFrame:
+def module_distances(edges: DataFrame, sources: DataFrame, targets: DataFrame, to: Reach | None = None) -> DataFrame:
     """(source, target, d): mean over a source module's genes of the hops to the nearest gene of a target module.
 
     ``sources`` is (source, gene), ``targets`` (target, gene). Pairs of which one side is
     empty within the graph are absent; callers take ``INFINITY`` for them. ``to`` is
-    ``bfs(edges, targets, 'target')`` if at hand.
+    ``search(edges, targets, 'target')`` if at hand.
     """
     src = in_network(sources.select("source", "gene").distinct(), edges)
-    to = bfs(edges, targets, "target") if to is None else to
+    to = search(edges, targets, "target") if to is None else to
     n = src.groupBy("source").agg(F.count("*").alias("n"))
-    s = src.join(to, F.col("gene") == F.col("node")).groupBy("source", "target").agg(F.sum("hops").alias("h"), F.count("*").alias("k"))
+    near = to.table(src.select(F.col("gene").alias("node"))).withColumnRenamed(to.key, "target")
+    s = src.join(near, F.col("gene") == F.col("node")).groupBy("source", "target").agg(F.sum("hops").alias("h"), F.count("*").alias("k"))
     return s.join(n, "source").select("source", "target", ((F.col("h") + INFINITY * (F.col("n") - F.col("k"))) / F.col("n")).alias("d"))
 
 
-def self_distances(edges: DataFrame, modules: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+def self_distances(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, d): mean over a module's genes of the hops to the nearest *other* gene of it.
 
-    From one search per module that carries the nearest origin: the way from a gene to
-    its nearest other one leaves the gene's own cell once, so the smallest
-    hops + 1 + hops over the edges between a cell and another is that distance.
+    The genes of a module are numbered. Two genes differ in some binary digit of their
+    numbers, so a gene's nearest other one is the nearest of those that differ from it in
+    one digit, over all digits: a search from two halves of the module per digit.
     A gene that reaches no other one counts ``INFINITY``; a module of one gene gives 0.0.
     """
-    m = in_network(modules.select("module", "gene").distinct(), edges)
-    reach = bfs(edges, m, "module") if reach is None else reach
-    adj = adjacency(edges)
-    here = reach.select("module", F.col("node").alias("src"), F.col("hops").alias("h"), F.col("origin").alias("o"))
-    there = reach.select("module", F.col("node").alias("dst"), F.col("hops").alias("h2"), F.col("origin").alias("o2"))
-    cross = here.join(adj, "src").join(there, ["module", "dst"]).where("o <> o2")
-    near = cross.groupBy("module", F.col("o").alias("gene")).agg(F.min(F.col("h") + 1 + F.col("h2")).alias("d"))
+    m = in_network(modules.select("module", "gene").where("module is not null").distinct(), edges)
+    m = number(m, "gene", ["module"], "pos")
+    digits = F.greatest(F.ceil(F.log2(F.count("*").over(Window.partitionBy("module")))), F.lit(1)).cast("int")
+    d = m.withColumn("digits", digits).withColumn("digit", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)))
+    side = F.expr("getbit(cast(pos as bigint), digit)").cast("int")
+    half = lambda s: F.concat_ws("|", F.col("digit").cast("string"), s.cast("string"), "module")
+    scratch = Scratch(edges.sparkSession, "halves")
+    d = scratch.cut(d.select("module", "gene", half(side).alias("own"), half(1 - side).alias("half")), "halves")
+    found = search(edges, d.select(F.col("own").alias("half"), "gene"), "half")
+    near = found.lookup(d.select("module", "half", F.col("gene").alias("node"))).groupBy("module", F.col("node").alias("gene")).agg(F.min("hops").alias("d"))
     per = m.join(near, ["module", "gene"], "left").groupBy("module").agg(F.count("*").alias("n"), F.avg(F.coalesce("d", F.lit(INFINITY))).alias("d"))
     return per.select("module", F.when(F.col("n") > 1, F.col("d")).otherwise(0.0).alias("d"))
 
@@ -88,9 +141,9 @@ def separations(edges: DataFrame, modules: DataFrame, pairs: DataFrame) -> DataF
     one against another gives INFINITY - (INFINITY + d*) / 2.
     """
     m = modules.select("module", "gene").distinct()
-    reach = Scratch(edges.sparkSession, "reach").cut(bfs(edges, m, "module"), "modules")
-    cross = module_distances(edges, m.withColumnRenamed("module", "source"), m, to=reach.withColumnRenamed("module", "target"))
-    own = self_distances(edges, m, reach)
+    scratch = Scratch(edges.sparkSession, "separations")
+    cross = module_distances(edges, m.withColumnRenamed("module", "source"), m, to=search(edges, m, "module"))
+    cross, own = scratch.cut(cross, "cross"), scratch.cut(self_distances(edges, m), "own")
     p = pairs.select("module_a", "module_b")
     p = p.join(cross.withColumnsRenamed({"source": "module_a", "target": "module_b", "d": "ab"}), ["module_a", "module_b"], "left")
     p = p.join(cross.withColumnsRenamed({"source": "module_b", "target": "module_a", "d": "ba"}), ["module_a", "module_b"], "left")
@@ -101,14 +154,19 @@ def separations(edges: DataFrame, modules: DataFrame, pairs: DataFrame) -> DataF
     return p.select("module_a", "module_b", (F.round(s, DUST) + F.lit(0.0)).alias("s_ab"))
 
 
-def pairwise_distances(edges: DataFrame, genes: DataFrame) -> DataFrame:
-    """(gene_a, gene_b, hops) within a gene set, (i, i) included, unreachable pairs absent."""
+def pairwise_distances(edges: DataFrame, genes: DataFrame, to: DataFrame | None = None) -> DataFrame:
+    """(gene_a, gene_b, hops) from ``genes`` to ``to``, or within one gene set; (i, i) included, unreachable pairs absent."""
     g = genes.select("gene").distinct()
-    d = bfs(edges, g.select(F.col("gene").alias("module"), "gene"), "module")
-    return d.join(g.withColumnRenamed("gene", "node"), "node", "left_semi").select(F.col("module").alias("gene_a"), F.col("node").alias("gene_b"), "hops")
+    found = search(edges, g.select(F.col("gene").alias("gene_a"), "gene"), "gene_a")
+    far = (g if to is None else to.select("gene").distinct()).select(F.col("gene").alias("node"))
+    return found.table(far).select("gene_a", F.col("node").alias("gene_b"), "hops")
 
 
 def eccentricity(edges: DataFrame) -> DataFrame:
-    """(gene, eccentricity) of every node: a search from each, meant for small graphs (the optional diameter)."""
-    d = bfs(edges, degrees(edges).select(F.col("gene").alias("module"), "gene"), "module")
-    return d.groupBy(F.col("module").alias("gene")).agg(F.max("hops").alias("eccentricity"))
+    """(gene, eccentricity) of every node; the largest is the diameter of its component."""
+    nodes = adjacency(edges).select(F.col("src").alias("gene")).distinct()
+    found = search(edges, nodes.select(F.col("gene").alias("start"), "gene"), "start")
+    far = found.bits().groupBy("word", "hops").agg(F.bit_or("bits").alias("bits"))  # which starts still reach anything that far
+    last = far.select("hops", "word", F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), i -> getbit(bits, i) = 1)")).alias("_at"))
+    last = last.groupBy((F.col("word") * WORD + F.col("_at")).alias("_i")).agg(F.max("hops").alias("eccentricity"))
+    return last.join(found.numbers, "_i").select(F.col("start").alias("gene"), "eccentricity")

@@ -13,17 +13,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.columns import hi, lo, symbol_key
-from pathloom.operators.components import min_label_components
-from pathloom.storage import Scratch
+from pathloom.operators.components import connected, reach_from_hub
+from pathloom.operators.numbering import number
+from pathloom.storage import Scratch, measured, rows
 
 
 def union_sources(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Bag union of interaction tables in the order given; ``seq`` keeps that order."""
+    """Bag union of interaction tables in the order given; ``seq`` (number of the table, row in it) keeps that order."""
     if not tables:
         raise ValueError("no sources to build from")
     out = None
     for i, df in enumerate(tables.values()):
-        t = df.withColumn("seq", F.lit(i).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id())
+        t = df.withColumn("seq", F.struct(F.lit(i).alias("table"), F.monotonically_increasing_id().alias("row")))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     return out
 
@@ -52,6 +53,16 @@ def merge_edges(interactions: DataFrame, seq: str = "seq") -> DataFrame:
     return g.select("gene_a", "gene_b", F.array_compact(F.transform("s", lambda x: x["source"])).alias("sources"), "n_rows", "interaction_type")
 
 
+def edge_sources(interactions: DataFrame, seq: str = "seq") -> DataFrame:
+    """(gene_a, gene_b, pos, source): the source of every row of an edge in order of arrival, NULL and repeats included.
+
+    The list that belongs to an edge, as rows: an edge of any number of rows is never one value.
+    """
+    e = interactions.where(F.col("protein_a") != F.col("protein_b"))
+    e = e.select(lo("protein_a", "protein_b").alias("gene_a"), hi("protein_a", "protein_b").alias("gene_b"), F.struct(F.col(seq), "source").alias("_r"))
+    return number(e, "_r", ["gene_a", "gene_b"], "pos").select("gene_a", "gene_b", "pos", "_r.source")
+
+
 def simple_edges(interactions: DataFrame) -> DataFrame:
     """(gene_a, gene_b) of ``merge_edges`` without what it collects per edge."""
     e = interactions.where(F.col("protein_a") != F.col("protein_b"))
@@ -69,10 +80,14 @@ def degrees(edges: DataFrame) -> DataFrame:
     return adjacency(edges).groupBy(F.col("src").alias("gene")).agg(F.count("*").alias("degree"))
 
 
+def _lo_hi(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("gene_a").alias("lo"), F.col("gene_b").alias("hi"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(component, gene): the smallest gene of each component names it."""
     scratch = Scratch(edges.sparkSession, "components")
-    got = min_label_components(edges.select(F.col("gene_a").alias("lo"), F.col("gene_b").alias("hi")), scratch)
+    got = connected(scratch.cut(_lo_hi(edges), "edges"), scratch)
     return got.select(F.col("group").alias("component"), F.col("member").alias("gene"))
 
 
@@ -83,19 +98,30 @@ def component_sizes(edges: DataFrame) -> DataFrame:
 
 def is_connected(edges: DataFrame) -> bool:
     """Whether all nodes form one component; an empty graph is refused."""
-    n = component_sizes(edges).limit(2).count()
+    n = components(edges).select("component").distinct().limit(2).count()
     if not n:
         raise ValueError("an empty graph is neither connected nor not")
     return n == 1
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
-    """Edges of the largest component; of equal ones, that with the smallest gene."""
+    """Edges of the largest component; of equal ones, that with the smallest gene.
+
+    What the highest-degree gene reaches is the answer if it has more genes than the edges
+    left could join; only otherwise are the other components labelled.
+    """
     scratch = Scratch(edges.sparkSession, "lcc")
-    label = scratch.cut(min_label_components(edges.select(F.col("gene_a").alias("lo"), F.col("gene_b").alias("hi")), scratch), "labels")
-    top = label.groupBy("group").count().orderBy(F.desc("count"), "group").limit(1)
-    genes = label.join(top, "group", "left_semi").select(F.col("member").alias("gene_a"))
-    return edges.join(genes, "gene_a", "left_semi")
+    e = scratch.cut(_lo_hi(edges), "edges")
+    peeled, complete = reach_from_hub(e, scratch)
+    rest = scratch.cut(e.join(peeled.withColumnRenamed("node", "lo"), "lo", "left_anti"), "rest")
+    genes = peeled
+    if rows(rest) + 1 >= rows(peeled):
+        others = scratch.cut(connected(rest, scratch), "labels")
+        top = others.groupBy("group").count().orderBy(F.desc("count"), "group").first()
+        first = measured(peeled).get("least")
+        if top and (-top["count"], top["group"]) < (-rows(peeled), first):
+            genes = others.where(F.col("group") == top["group"]).select(F.col("member").alias("node"))
+    return edges.join(genes.withColumnRenamed("node", "gene_a"), "gene_a", "left_semi")
 
 
 def build_graph(tables: Mapping[str, DataFrame], id_map: DataFrame | None = None) -> DataFrame:
@@ -104,25 +130,39 @@ def build_graph(tables: Mapping[str, DataFrame], id_map: DataFrame | None = None
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:
-    """One row: nodes, edges, density, average degree, components and average clustering.
+    """One row: nodes, edges, density, average degree, components, average clustering and diameter.
 
     Triangles are found by joining each edge with the neighbours of its ends, ordered
-    by (degree, gene), so a hub's neighbour pairs are never enumerated.
+    by (degree, gene), so a hub's neighbour pairs are never enumerated. The diameter is
+    NULL unless the graph is connected.
     """
+    from pathloom.operators.distances import eccentricity
+
     deg = degrees(edges)
     rank = F.struct("degree", "gene")
-    e = edges.join(deg.select(F.col("gene").alias("gene_a"), rank.alias("ra")), "gene_a").join(deg.select(F.col("gene").alias("gene_b"), rank.alias("rb")), "gene_b")
-    up = e.select(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).select(F.col("x.gene").alias("s"), F.col("y.gene").alias("t"), F.col("y.degree").alias("td"))
-    two = up.alias("p").join(up.alias("q"), F.col("p.s") == F.col("q.s")).where((F.col("p.td") < F.col("q.td")) | ((F.col("p.td") == F.col("q.td")) & (F.col("p.t") < F.col("q.t"))))
+    e = edges.join(deg.select(F.col("gene").alias("gene_a"), rank.alias("ra")), "gene_a")
+    e = e.join(deg.select(F.col("gene").alias("gene_b"), rank.alias("rb")), "gene_b")
+    up = e.select(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
+    up = up.select(F.col("x.gene").alias("s"), F.col("y.gene").alias("t"), F.col("y.degree").alias("td"))
+    later = (F.col("p.td") < F.col("q.td")) | ((F.col("p.td") == F.col("q.td")) & (F.col("p.t") < F.col("q.t")))
+    two = up.alias("p").join(up.alias("q"), F.col("p.s") == F.col("q.s")).where(later)
     tri = two.select(F.col("p.s").alias("a"), F.col("p.t").alias("s"), F.col("q.t").alias("t")).join(up.select("s", "t"), ["s", "t"])
     per = tri.select(F.explode(F.array("a", "s", "t")).alias("gene")).groupBy("gene").agg(F.count("*").alias("tri"))
     k = F.col("degree")
     cl = deg.join(per, "gene", "left").select("degree", F.when(k < 2, 0.0).otherwise(2.0 * F.coalesce("tri", F.lit(0)) / (k * (k - 1))).alias("c"))
     base = cl.agg(F.count("*").alias("n_nodes"), (F.sum("degree") / 2).cast("bigint").alias("n_edges"), F.avg("c").alias("avg_clustering"))
     n, m = F.col("n_nodes"), F.col("n_edges")
-    comp = components(edges).agg(F.countDistinct("component").alias("n_components"))
-    one = base.crossJoin(comp)  # one row each
-    return one.select("n_nodes", "n_edges", F.when(n > 1, 2.0 * m / (n * (n - 1))).otherwise(0.0).alias("density"), (2.0 * m / n).alias("avg_degree"), "n_components", F.coalesce("avg_clustering", F.lit(0.0)).alias("avg_clustering"))
+    sizes = component_sizes(edges).agg(F.count("*")).first()[0]
+    diameter = F.lit(eccentricity(edges).agg(F.max("eccentricity")).first()[0] if sizes == 1 else None).cast("int")
+    return base.select(
+        "n_nodes",
+        "n_edges",
+        F.when(n > 1, 2.0 * m / (n * (n - 1))).otherwise(0.0).alias("density"),
+        F.coalesce(F.try_divide(2.0 * m, n), F.lit(0.0)).alias("avg_degree"),
+        F.lit(sizes).alias("n_components"),
+        F.coalesce("avg_clustering", F.lit(0.0)).alias("avg_clustering"),
+        diameter.alias("diameter"),
+    )
 
 
 def complex_pairs(members: DataFrame) -> DataFrame:

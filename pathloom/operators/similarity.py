@@ -1,7 +1,8 @@
 """Set and vector similarities as labelled pair tables (i < j); diagonals are 1.0 by definition.
 
-Pairs are joined on shared elements, and pairs that share nothing are filled in
-with 0.0 only where the full matrix is asked for, which is then the result.
+A search takes a stated set of rows (``asked``) against all rows, in blocks; without one
+the full matrix is the result. Common elements are counted by a join on them, and pairs
+that share nothing are 0.0.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.pairs import against
+
 #: metric name -> Column over inter, n_i, n_j
 SET_METRICS: dict[str, Callable[[Column, Column, Column], Column]] = {
     "jaccard": lambda k, a, b: F.when(a + b == 0, 1.0).otherwise(F.try_divide(k.cast("double"), a + b - k)),
@@ -24,19 +27,38 @@ def set_metric(name: str) -> Callable[[Column, Column, Column], Column]:
     return SET_METRICS[name]
 
 
-def set_similarity(modules: DataFrame, method: str = "jaccard", full: bool = True) -> DataFrame:
-    """(module_i, module_j, sim) for module_i < module_j over ``modules(module, gene)``; a NULL gene marks an empty module."""
+def _search(items: DataFrame, ident: str, asked: DataFrame | None, values: list[str]) -> DataFrame:
+    """(a, b, a_<value>, b_<value>): unordered pairs once, of the items ``asked(ident)`` with all, or of all (a < b)."""
+    side = lambda p: items.select(F.col(ident).alias(p), *(F.col(v).alias(f"{p}_{v}") for v in values))
+    if asked is None:
+        return side("a").join(side("b"), F.col("a") < F.col("b"))
+    q = asked.select(F.col(ident).alias("a")).distinct()
+    others = side("b").join(q.select(F.col("a").alias("b"), F.lit(True).alias("_hit")), "b", "left")
+    p = against(side("a").join(q, "a", "left_semi"), others)
+    return p.where((F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & F.col("_hit").isNull())).drop("_hit")
+
+
+def set_similarity(modules: DataFrame, method: str = "jaccard", asked: DataFrame | None = None, full: bool = True) -> DataFrame:
+    """(module_i, module_j, sim) for module_i < module_j over ``modules(module, gene)``; a NULL gene marks an empty module.
+
+    With ``asked(module)`` only pairs that hold one of these. ``full=False`` leaves out pairs
+    without a common gene.
+    """
     metric = set_metric(method)
     m = modules.select("module", "gene").where("module is not null").distinct()
     n = m.groupBy("module").agg(F.count("gene").alias("n"))
     g = m.where("gene is not null")
-    shared = g.withColumnRenamed("module", "module_i").join(g.withColumnRenamed("module", "module_j"), "gene").where("module_i < module_j").groupBy("module_i", "module_j").agg(F.count("*").alias("k"))
-    ni, nj = n.withColumnsRenamed({"module": "module_i", "n": "ni"}), n.withColumnsRenamed({"module": "module_j", "n": "nj"})
+    mine = g if asked is None else g.join(asked.select("module").distinct(), "module", "left_semi")
+    shared = mine.withColumnRenamed("module", "a").join(g.withColumnRenamed("module", "b"), "gene").where("a < b" if asked is None else "a <> b")
+    shared = shared.groupBy("a", "b").agg(F.count("*").alias("k"))
     if full:
-        pairs = ni.join(nj, F.col("module_i") < F.col("module_j")).join(shared, ["module_i", "module_j"], "left")
+        pairs = _search(n, "module", asked, ["n"]).join(shared, ["a", "b"], "left")
     else:
-        pairs = shared.join(ni, "module_i").join(nj, "module_j")
-    return pairs.select("module_i", "module_j", metric(F.coalesce("k", F.lit(0)), F.col("ni"), F.col("nj")).alias("sim"))
+        sizes = lambda p: n.select(F.col("module").alias(p), F.col("n").alias(f"{p}_n"))
+        pairs = shared.join(sizes("a"), "a").join(sizes("b"), "b")
+    sim = metric(F.coalesce("k", F.lit(0)), F.col("a_n"), F.col("b_n"))
+    out = pairs.select(F.least("a", "b").alias("module_i"), F.greatest("a", "b").alias("module_j"), sim.alias("sim"))
+    return out if full or asked is None else out.distinct()
 
 
 def check_fingerprints(df: DataFrame, bits: str = "bits") -> None:
@@ -48,43 +70,43 @@ def check_fingerprints(df: DataFrame, bits: str = "bits") -> None:
         raise ValueError("fingerprints must be 0/1 vectors of one length")
 
 
-def tanimoto(fingerprints: DataFrame, ident: str = "mol", bits: str = "bits") -> DataFrame:
+def tanimoto(fingerprints: DataFrame, ident: str = "mol", bits: str = "bits", asked: DataFrame | None = None) -> DataFrame:
     """(i, j, sim), i < j: shared bits over united bits from packed words; two empty ones give 0.0."""
     words = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(bits) - 1) / 32).cast("int")),
         lambda w: F.aggregate(F.slice(bits, w * 32 + 1, 32), F.lit(0).cast("bigint"), lambda a, x: a * 2 + x.cast("bigint")),
     )
-    p = fingerprints.select(F.col(ident).alias("i"), words.alias("w"))
     ones = lambda c: F.aggregate(F.transform(c, F.bit_count), F.lit(0), lambda a, x: a + x)
-    p = p.withColumn("n", ones("w"))
-    j = p.alias("a").join(p.alias("b"), F.col("a.i") < F.col("b.i"))
-    both = ones(F.zip_with("a.w", "b.w", lambda x, y: x.bitwiseAND(y)))
-    union = F.col("a.n") + F.col("b.n") - both
-    return j.select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.when(union == 0, 0.0).otherwise(F.try_divide(both.cast("double"), union)).alias("sim"))
+    p = fingerprints.select(ident, words.alias("w")).withColumn("n", ones("w"))
+    j = _search(p, ident, asked, ["w", "n"])
+    both = ones(F.zip_with("a_w", "b_w", lambda x, y: x.bitwiseAND(y)))
+    union = F.col("a_n") + F.col("b_n") - both
+    sim = F.when(union == 0, 0.0).otherwise(F.try_divide(both.cast("double"), union))
+    return j.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), sim.alias("sim"))
 
 
-def cosine(vectors: DataFrame, ident: str = "mol", vector: str = "bits") -> DataFrame:
+def cosine(vectors: DataFrame, ident: str = "mol", vector: str = "bits", asked: DataFrame | None = None) -> DataFrame:
     """(i, j, sim), i < j; a zero vector gives 0.0."""
-    v = vectors.select(F.col(ident).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("n", F.sqrt(dot("v", "v")))
-    j = v.alias("a").join(v.alias("b"), F.col("a.i") < F.col("b.i"))
-    norm = F.col("a.n") * F.col("b.n")
-    return j.select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.when(norm == 0, 0.0).otherwise(F.try_divide(dot("a.v", "b.v"), norm)).alias("sim"))
+    v = vectors.select(ident, F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("n", F.sqrt(dot("v", "v")))
+    j = _search(v, ident, asked, ["v", "n"])
+    norm = F.col("a_n") * F.col("b_n")
+    sim = F.when(norm == 0, 0.0).otherwise(F.try_divide(dot("a_v", "b_v"), norm))
+    return j.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), sim.alias("sim"))
 
 
-def drug_similarity(fingerprints: DataFrame, method: str = "tanimoto", ident: str = "mol", bits: str = "bits") -> DataFrame:
+def drug_similarity(fingerprints: DataFrame, method: str = "tanimoto", ident: str = "mol", bits: str = "bits", asked: DataFrame | None = None) -> DataFrame:
+    """(i, j, sim) of unordered pairs: of the rows ``asked(ident)`` with all, or of all."""
     if method not in ("tanimoto", "cosine"):
         raise ValueError(f"unknown method {method!r}")
     check_fingerprints(fingerprints, bits)
-    return (tanimoto if method == "tanimoto" else cosine)(fingerprints, ident, bits)
+    return (tanimoto if method == "tanimoto" else cosine)(fingerprints, ident, bits, asked)
 
 
-def pair_matrix(entities: DataFrame, ident: str, similarity: Callable[[Column, Column], Column], value: str) -> DataFrame:
+def pair_matrix(entities: DataFrame, ident: str, similarity: Callable[[Column, Column], Column], value: str, asked: DataFrame | None = None) -> DataFrame:
     """(i, j, sim) of any symmetric Column builder or pandas UDF, called once per unordered pair."""
-    e = entities.select(F.col(ident).alias("i"), F.col(value).alias("v"))
-    j = e.alias("a").join(e.alias("b"), F.col("a.i") < F.col("b.i"))
-    return j.select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), similarity(F.col("a.v"), F.col("b.v")).alias("sim"))
+    j = _search(entities, ident, asked, [value])
+    return j.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), similarity(F.col(f"a_{value}"), F.col(f"b_{value}")).alias("sim"))
 
 
 def with_diagonal(pairs: DataFrame, entities: DataFrame, ident: str) -> DataFrame:

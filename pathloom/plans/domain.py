@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from pathloom.functions.columns import hi, lo, name_key, symbol_key
 from pathloom.operators import graph, profiles
 from pathloom.sources.tables import table
+from pathloom.storage import Scratch, kept
 
-TOP_PCT, DRAWS, SEED = 0.05, 10, 42
+TOP_PCT, DRAWS, SEED = 0.05, 1000, 42
 
-#: Draws of the queries without SQL: the default of the operator.
-ALL_DRAWS = 1000
-
-
-def draws(whole: bool) -> int:
-    return ALL_DRAWS if whole else DRAWS
+#: Searches take the rows whose id is divisible by this as queries, against all rows.
+EVERY = 50
 
 
 def ends(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,46 +25,49 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def network(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges of the largest component, written once."""
-    from pathloom.storage import Scratch
+    """Edges of the largest component, written once a program."""
+    return kept(spark, ("network", sf), lambda: Scratch(spark, "network").cut(graph.largest_component(edges(spark, sf)), "edges"))
+
 
-    return Scratch(spark, "network").cut(graph.largest_component(edges(spark, sf)), "edges")
+def disease_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """(disease, gene, direction) under the name as given, but for case and surrounding space; blank names go."""
+    return profiles.creeds_genes(table(spark, sf, "creeds_signatures"))
 
 
-def disease_reports(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """(disease, gene, direction) of names spelled like a canonical one but for case and surrounding space; ``whole``: of every name that is not blank."""
-    reports = profiles.creeds_genes(table(spark, sf, "creeds_signatures"))
-    if whole:
-        return reports
-    ref = table(spark, sf, "disease_ref").select(name_key("disease").alias("disease")).distinct()
-    return reports.join(ref, "disease", "left_semi")
+def disease_modules(spark: SparkSession, sf: str) -> DataFrame:
+    return profiles.disease_modules(disease_reports(spark, sf))
 
 
-def disease_modules(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return profiles.disease_modules(disease_reports(spark, sf, whole))
+def disease_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    return profiles.direction_signature(disease_reports(spark, sf))
 
 
-def disease_signatures(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return profiles.direction_signature(disease_reports(spark, sf, whole))
+def asked_diseases(spark: SparkSession, sf: str) -> DataFrame:
+    """(disease): names in the rows whose record_id is divisible by ``EVERY``."""
+    c = table(spark, sf, "creeds_signatures").where(F.col("record_id") % EVERY == 0)
+    return c.select(name_key("disease_name").alias("disease")).where("disease <> ''").distinct()
 
 
-def compound_values(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Values of signatures with a compound spelled like a canonical one but for case and surrounding space; ``whole``: with any name that is not blank."""
+def compound_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of signatures under the compound's name as given, but for case and surrounding space; blank names go."""
     v = table(spark, sf, "lincs_values").select("sig_id", symbol_key("gene").alias("gene"), "fold_change")
-    j = profiles.join_metadata(v, table(spark, sf, "lincs_metadata")).withColumn("compound", name_key("compound"))
-    if whole:
-        return j.where("compound <> ''")
-    ref = table(spark, sf, "compound_ref").select(name_key("compound").alias("compound")).distinct()
-    return j.join(ref, "compound", "left_semi")
+    j = profiles.join_metadata(v, table(spark, sf, "lincs_metadata"))
+    return j.withColumn("compound", name_key("compound")).where("compound <> ''")
+
+
+def asked_drugs(spark: SparkSession, sf: str) -> DataFrame:
+    """(drug): names in the metadata rows whose row_id is divisible by ``EVERY``."""
+    m = table(spark, sf, "lincs_metadata").where(F.col("row_id") % EVERY == 0)
+    return m.select(name_key("pert_iname").alias("drug")).where("drug <> ''").distinct()
 
 
-def drug_genes(spark: SparkSession, sf: str, whole: bool = False, top_pct: float = TOP_PCT) -> DataFrame:
-    p = profiles.profiles(compound_values(spark, sf, whole))
+def drug_genes(spark: SparkSession, sf: str, top_pct: float = TOP_PCT) -> DataFrame:
+    p = profiles.profiles(compound_values(spark, sf))
     return profiles.top_fraction(p, top_pct=top_pct).withColumnRenamed("compound", "drug")
 
 
-def drug_modules(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return profiles.drug_union(drug_genes(spark, sf, whole))
+def drug_modules(spark: SparkSession, sf: str) -> DataFrame:
+    return profiles.drug_union(drug_genes(spark, sf))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:

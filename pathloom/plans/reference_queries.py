@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.functions.columns import name_key, symbol_key, tidy
+from pathloom.functions.columns import exact_mean, symbol_key, tidy
 from pathloom.operators import correlation, distances, evaluation, figures, graph, idmap, nulls, profiles, propagation, scoring, similarity
 from pathloom.plans import domain
 from pathloom.sources.tables import table
@@ -43,18 +42,20 @@ top as materialized (select label from comp group by label order by count(*) des
 net as materialized (select e.* from edges e join comp c on c.node = e.gene_a join top t on t.label = c.label),
 nadj as materialized (select gene_a src, gene_b dst from net union all select gene_b, gene_a from net),
 deg as materialized (select src gene, count(*) degree from nadj group by src)"""
-DISEASES = f"""reports as materialized (select d.disease, {SYMBOL.format('c.gene_symbol')} gene, lower(trim(c.direction)) direction
- from creeds_signatures c join (select distinct {NAME.format('disease')} disease from disease_ref) d on {NAME.format('c.disease_name')} = d.disease
- where lower(trim(c.direction)) in ('up', 'down')),
+DISEASES = f"""reports as materialized (select {NAME.format('disease_name')} disease, {SYMBOL.format('gene_symbol')} gene, lower(trim(direction)) direction
+ from creeds_signatures where lower(trim(direction)) in ('up', 'down') and {NAME.format('disease_name')} <> ''),
 dm as materialized (select distinct disease, gene from reports where gene is not null),
 dsig as materialized (select disease, gene, sum(case when direction = 'up' then 1.0::double else -1.0::double end) fold_change from reports where gene is not null group by disease, gene having sum(case when direction = 'up' then 1 else -1 end) <> 0)"""
 DRUGS = f"""meta as materialized (select sig_id, pert_iname from (select *, row_number() over (partition by sig_id order by row_id desc) rn from lincs_metadata where sig_id is not null) where rn = 1 and pert_iname is not null),
-vals as materialized (select c.compound, {SYMBOL.format('v.gene')} gene, v.fold_change from lincs_values v join meta m on m.sig_id = v.sig_id join (select distinct {NAME.format('compound')} compound from compound_ref) c on c.compound = {NAME.format('m.pert_iname')}),
+vals as materialized (select {NAME.format('m.pert_iname')} compound, {SYMBOL.format('v.gene')} gene, v.fold_change from lincs_values v join meta m on m.sig_id = v.sig_id where {NAME.format('m.pert_iname')} <> ''),
 prof as materialized (select compound, gene, median(fold_change) fold_change from vals where fold_change is not null and not isnan(fold_change) and gene is not null group by compound, gene),
 ranks as materialized (select compound drug, gene, greatest(1, (count(*) over (partition by compound) * 0.05::double)::bigint_floor) n,
   row_number() over (partition by compound order by fold_change desc, gene) t, row_number() over (partition by compound order by fold_change, gene) l from prof),
 xg as materialized (select drug, gene, 'up' direction from ranks where t <= n union all select drug, gene, 'down' from ranks where l <= n),
 xm as materialized (select distinct drug, gene from xg)""".replace("(count(*) over (partition by compound) * 0.05::double)::bigint_floor", "floor(count(*) over (partition by compound) * 0.05::double)::bigint")
+#: Query rows of searches: names in the rows whose id is divisible by ``domain.EVERY``.
+ASKED_DRUGS = f"asked as materialized (select distinct {NAME.format('pert_iname')} drug from lincs_metadata where row_id % {domain.EVERY} = 0 and {NAME.format('pert_iname')} <> '')"
+ASKED_DISEASES = f"asked as materialized (select distinct {NAME.format('disease_name')} disease from creeds_signatures where record_id % {domain.EVERY} = 0 and {NAME.format('disease_name')} <> '')"
 QG = "q as materialized (select distinct dm.disease, dm.gene from dm semi join deg using (gene))"
 XG = "x as materialized (select distinct xm.drug, xm.gene from xm semi join deg using (gene))"
 
@@ -118,11 +119,15 @@ tri as (select e.gene_a, e.gene_b, a.dst g from edges e join adj a on a.src = e.
 per as (select g gene, count(*) t from tri group by g),
 cl as (select d.k, case when d.k < 2 then 0.0::double else 2.0::double * coalesce(per.t, 0) / (d.k * (d.k - 1)) end c from d left join per using (gene)),
 b as (select count(*) n, (sum(k) / 2)::bigint m, avg(c) cl from cl)
-select n as n_nodes, m as n_edges, {r6('2.0::double * m / (n * (n - 1))')} as density, {r6('2.0::double * m / n')} as avg_degree, (select count(distinct label) from comp) as n_components, {r6('cl')} as avg_clustering from b"""
+select n as n_nodes, m as n_edges, {r6('2.0::double * m / (n * (n - 1))')} as density, {r6('2.0::double * m / n')} as avg_degree, (select count(distinct label) from comp) as n_components, {r6('cl')} as avg_clustering, null::int as diameter from b"""
 )
 def graph_stats(spark, sf):
-    s = graph.graph_stats(domain.edges(spark, sf))
-    return s.select("n_nodes", "n_edges", tidy(F.col("density")).alias("density"), tidy(F.col("avg_degree")).alias("avg_degree"), "n_components", tidy(F.col("avg_clustering")).alias("avg_clustering"))
+    """Of the whole graph, which falls into several components and so has no diameter."""
+    return _tidy_stats(graph.graph_stats(domain.edges(spark, sf)))
+
+
+def _tidy_stats(s: DataFrame) -> DataFrame:
+    return s.withColumns({c: tidy(F.col(c)) for c in ("density", "avg_degree", "avg_clustering")})
 
 
 _MEMBERS = f"select distinct complex_id, gene from (select complex_id, {SYMBOL.format('protein_a')} gene from interactions union all select complex_id, {SYMBOL.format('protein_b')} from interactions) where complex_id is not null and gene is not null"
@@ -149,36 +154,36 @@ def unmatched_signatures(spark, sf):
 
 
 @query(f"with {DRUGS} select compound, gene, {r6('fold_change')} as fold_change from prof")
-def median_profile(spark, sf, whole=False):
-    return profiles.profiles(domain.compound_values(spark, sf, whole), "median").select("compound", "gene", tidy(F.col("fold_change")).alias("fold_change"))
+def median_profile(spark, sf):
+    return profiles.profiles(domain.compound_values(spark, sf), "median").select("compound", "gene", tidy(F.col("fold_change")).alias("fold_change"))
 
 
 @query(f"with {DRUGS} select compound, gene, {r6('avg(fold_change)')} as fold_change from vals where fold_change is not null and not isnan(fold_change) and gene is not null group by compound, gene")
-def mean_profile(spark, sf, whole=False):
-    return profiles.profiles(domain.compound_values(spark, sf, whole), "mean").select("compound", "gene", tidy(F.col("fold_change")).alias("fold_change"))
+def mean_profile(spark, sf):
+    return profiles.profiles(domain.compound_values(spark, sf), "mean").select("compound", "gene", tidy(F.col("fold_change")).alias("fold_change"))
 
 
 @query(f"with {DRUGS} select drug, gene, direction from xg")
-def drug_modules(spark, sf, whole=False):
-    return domain.drug_genes(spark, sf, whole)
+def drug_modules(spark, sf):
+    return domain.drug_genes(spark, sf)
 
 
 @query(f"with {DISEASES} select disease, gene from dm")
-def disease_modules(spark, sf, whole=False):
-    return domain.disease_modules(spark, sf, whole)
+def disease_modules(spark, sf):
+    return domain.disease_modules(spark, sf)
 
 
 @query(f"with {DISEASES} select disease, gene, fold_change from dsig")
-def disease_signature(spark, sf, whole=False):
-    return domain.disease_signatures(spark, sf, whole)
+def disease_signature(spark, sf):
+    return domain.disease_signatures(spark, sf)
 
 
 # ---- Distances -----------------------------------------------------------------
 
 
 @query(f"with recursive {NET}, {DISEASES}, {QG}, {bfs_sql('b', 'disease', 'q')} select disease as module, node, hops from b")
-def bfs_module_dist(spark, sf, whole=False):
-    m = domain.disease_modules(spark, sf, whole).withColumnRenamed("disease", "module")
+def bfs_module_dist(spark, sf):
+    m = domain.disease_modules(spark, sf).withColumnRenamed("disease", "module")
     return distances.bfs(domain.network(spark, sf), m).select("module", "node", "hops")
 
 
@@ -187,8 +192,8 @@ qx as materialized (select q.disease, b.drug, (sum(b.hops) + 1000.0::double * (a
 
 
 @query(f"with recursive {_PROX} select disease as source, drug as target, {r6('d')} as d from qx")
-def avg_shortest_path(spark, sf, whole=False):
-    q, x = domain.disease_modules(spark, sf, whole), domain.drug_modules(spark, sf, whole)
+def avg_shortest_path(spark, sf):
+    q, x = domain.disease_modules(spark, sf), domain.drug_modules(spark, sf)
     d = distances.module_distances(domain.network(spark, sf), q.withColumnRenamed("disease", "source"), x.withColumnRenamed("drug", "target"))
     return d.select("source", "target", tidy(F.col("d")).alias("d"))
 
@@ -197,31 +202,52 @@ def avg_shortest_path(spark, sf, whole=False):
     f"""with recursive {_PROX}, xq as (select x.drug, b.disease, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from x join bq b on b.node = x.gene join (select drug, count(*) n from x group by drug) n on n.drug = x.drug group by x.drug, b.disease)
 select disease, drug, {r6('qx.d')} as d_qx, {r6('xq.d')} as d_xq from qx join xq using (disease, drug)"""
 )
-def module_proximity(spark, sf, whole=False):
-    net, q, x = domain.network(spark, sf), domain.disease_modules(spark, sf, whole), domain.drug_modules(spark, sf, whole)
+def module_proximity(spark, sf):
+    net, q, x = domain.network(spark, sf), domain.disease_modules(spark, sf), domain.drug_modules(spark, sf)
     a = distances.module_distances(net, q.withColumnRenamed("disease", "source"), x.withColumnRenamed("drug", "target")).select(F.col("source").alias("disease"), F.col("target").alias("drug"), tidy(F.col("d")).alias("d_qx"))
     b = distances.module_distances(net, x.withColumnRenamed("drug", "source"), q.withColumnRenamed("disease", "target")).select(F.col("target").alias("disease"), F.col("source").alias("drug"), tidy(F.col("d")).alias("d_xq"))
     return a.join(b, ["disease", "drug"])
 
 
-_SEP = f"""{NET}, {DRUGS}, {XG}, drugs as materialized (select distinct drug from xm), xgenes as materialized (select distinct gene s, gene from x), {bfs_sql('bx', 'drug', 'x')}, {bfs_sql('bg', 's', 'xgenes')},
+_SEP = f"""{NET}, {DRUGS}, {ASKED_DRUGS}, {XG}, drugs as materialized (select distinct drug from xm), xgenes as materialized (select distinct gene s, gene from x), {bfs_sql('bx', 'drug', 'x')}, {bfs_sql('bg', 's', 'xgenes')},
 n as materialized (select drug, count(*) n from x group by drug),
 ab as materialized (select x.drug a, b.drug b, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from x join bx b on b.node = x.gene join n on n.drug = x.drug group by x.drug, b.drug),
 own as materialized (select drug, case when count(*) > 1 then avg(d) else 0.0::double end d from (select x.drug, x.gene, coalesce(min(g.hops) filter (where y.gene is not null), 1000.0::double) d from x left join x y on y.drug = x.drug and y.gene <> x.gene left join bg g on g.s = x.gene and g.node = y.gene group by x.drug, x.gene) group by drug),
 sep as materialized (select p.drug drug_a, r.drug drug_b, (coalesce(u.d, 1000.0::double) + coalesce(v.d, 1000.0::double)) / 2 - (coalesce(oa.d, 1000.0::double) + coalesce(ob.d, 1000.0::double)) / 2 s
- from drugs p join drugs r on p.drug < r.drug left join ab u on u.a = p.drug and u.b = r.drug left join ab v on v.a = r.drug and v.b = p.drug left join own oa on oa.drug = p.drug left join own ob on ob.drug = r.drug)"""
+ from drugs p join drugs r on p.drug < r.drug and (p.drug in (select drug from asked) or r.drug in (select drug from asked)) left join ab u on u.a = p.drug and u.b = r.drug left join ab v on v.a = r.drug and v.b = p.drug left join own oa on oa.drug = p.drug left join own ob on ob.drug = r.drug)"""
 
 
 @query(f"with recursive {_SEP} select drug_a as module_a, drug_b as module_b, {r6('s')} as s_ab from sep")
-def separation(spark, sf, whole=False):
-    x = domain.drug_modules(spark, sf, whole)
-    p = scoring.drug_pairs(x).withColumnsRenamed({"drug_a": "module_a", "drug_b": "module_b"})
+def separation(spark, sf):
+    """Drugs named in metadata rows whose id is divisible by 50 against all drugs."""
+    x = domain.drug_modules(spark, sf)
+    p = scoring.drug_pairs(x, domain.asked_drugs(spark, sf)).withColumnsRenamed({"drug_a": "module_a", "drug_b": "module_b"})
     return distances.separations(domain.network(spark, sf), x.withColumnRenamed("drug", "module"), p).select("module_a", "module_b", tidy(F.col("s_ab")).alias("s_ab"))
 
 
-@query(f"with recursive {NET}, {DRUGS}, {XG}, xgenes as materialized (select distinct gene s, gene from x), {bfs_sql('bg', 's', 'xgenes')} select s as gene_a, node as gene_b, hops from bg where node in (select gene from xgenes)")
-def pairwise_dist(spark, sf, whole=False):
-    return distances.pairwise_distances(domain.network(spark, sf), domain.drug_modules(spark, sf, whole))
+@query(f"with recursive {NET}, {DRUGS}, {XG}, {ASKED_DRUGS}, sgenes as materialized (select distinct gene s, gene from x where drug in (select drug from asked)), {bfs_sql('bg', 's', 'sgenes')} select s as gene_a, node as gene_b, hops from bg where node in (select gene from x)")
+def pairwise_dist(spark, sf):
+    """Genes of the drugs asked for against the genes of all drugs."""
+    x = domain.drug_modules(spark, sf)
+    return distances.pairwise_distances(domain.network(spark, sf), x.join(domain.asked_drugs(spark, sf), "drug", "left_semi"), x)
+
+
+@query(f"with recursive {NET}, every as materialized (select gene s, gene from deg), {bfs_sql('b', 's', 'every')} select s as gene, max(hops) as eccentricity from b group by s")
+def eccentricity(spark, sf):
+    return distances.eccentricity(domain.network(spark, sf))
+
+
+_STATS = """d as (select gene, degree k from deg), tri as (select e.gene_a, e.gene_b, a.dst g from net e join nadj a on a.src = e.gene_a join nadj b on b.src = e.gene_b and b.dst = a.dst),
+per as (select g gene, count(*) t from tri group by g), cl as (select d.k, case when d.k < 2 then 0.0::double else 2.0::double * coalesce(per.t, 0) / (d.k * (d.k - 1)) end c from d left join per using (gene)),
+st as (select count(*) n, (sum(k) / 2)::bigint m, avg(c) cl from cl)"""
+
+
+@query(
+    f"with recursive {NET}, every as materialized (select gene s, gene from deg), {bfs_sql('b', 's', 'every')}, {_STATS} select n as n_nodes, m as n_edges, {r6('2.0::double * m / (n * (n - 1))')} as density, {r6('2.0::double * m / n')} as avg_degree, 1::bigint as n_components, {r6('cl')} as avg_clustering, (select max(hops) from b) as diameter from st"
+)
+def network_stats(spark, sf):
+    """Of the largest component, which has a diameter."""
+    return _tidy_stats(graph.graph_stats(domain.network(spark, sf)))
 
 
 # ---- Null model ----------------------------------------------------------------
@@ -240,26 +266,30 @@ def degree_bins(spark, sf):
 
 
 @query(f"with recursive {NET}, {DRUGS}, {XG}, {_SEEDS} select drug as module, module_seed from seeds")
-def module_seed_hash(spark, sf, whole=False):
-    m = distances.in_network(domain.drug_modules(spark, sf, whole), domain.network(spark, sf))
+def module_seed_hash(spark, sf):
+    m = distances.in_network(domain.drug_modules(spark, sf), domain.network(spark, sf))
     return nulls.module_seeds(m.withColumnRenamed("drug", "module"), domain.SEED)
 
 
 @query(f"with recursive {NET}, {DRUGS}, {XG}, {_NULLS} select drug as module, draw::int as draw, gene from nul")
-def null_modules(spark, sf, whole=False):
-    return nulls.null_modules(domain.network(spark, sf), domain.drug_modules(spark, sf, whole).withColumnRenamed("drug", "module"), domain.draws(whole), domain.SEED)
+def null_modules(spark, sf):
+    return nulls.null_modules(domain.network(spark, sf), domain.drug_modules(spark, sf).withColumnRenamed("drug", "module"), domain.DRAWS, domain.SEED)
 
 
 _Z = f"""{_PROX}, qgenes as materialized (select distinct gene s, gene from q), {bfs_sql('bg', 's', 'qgenes')}, {_NULLS},
-near as materialized (select g.s, n.drug, n.draw, min(g.hops) hops from bg g join nul n on n.gene = g.node group by g.s, n.drug, n.draw),
-nd as materialized (select q.disease, r.drug, r.draw, (sum(r.hops) + 1000.0::double * (any_value(k.n) - count(*))) / any_value(k.n) d from q join near r on r.s = q.gene join (select disease, count(*) n from q group by disease) k on k.disease = q.disease group by q.disease, r.drug, r.draw),
+gi as materialized (select s, (row_number() over (order by s) - 1)::int i from qgenes),
+far as materialized (select max(hops) h from bg),
+lv as materialized (select b.node, bitstring_agg(1024 * l.h + gi.i, 0, 10239) bits from bg b join gi using (s) join (select unnest(range((select h from far)))::int h) l on b.hops <= l.h group by b.node),
+nb as materialized (select n.drug, n.draw, bit_or(lv.bits) bits from nul n join lv on lv.node = n.gene group by n.drug, n.draw),
+qb as materialized (select q.disease, bitstring_agg(1024 * l.h + gi.i, 0, 10239) bits, count(distinct q.gene) n from q join gi on gi.s = q.gene, (select unnest(range((select h from far)))::int h) l group by q.disease),
+nd as materialized (select q.disease, r.drug, r.draw, (far.h * q.n - bit_count(r.bits & q.bits)) / q.n::double d from nb r cross join qb q cross join far),
 z as materialized (select o.disease, o.drug, any_value(o.d) observed, avg(nd.d) null_mean, stddev_pop(nd.d) null_std, avg((round(nd.d, 9) <= round(o.d, 9))::int::double) p_value from qx o join nd on nd.disease = o.disease and nd.drug = o.drug group by o.disease, o.drug),
 zz as materialized (select *, case when null_std < 1e-9 then 0.0::double else (observed - null_mean) / null_std end z from z)"""
 
 
 @query(f"with recursive {_Z} select disease, drug, {r6('observed')} as observed, {r6('null_mean')} as null_mean, {r6('null_std')} as null_std, {r6('round(z, 9)')} as z, {r6('p_value')} as p_value from zz")
-def null_zscore(spark, sf, whole=False):
-    z = scoring.proximity(domain.network(spark, sf), domain.disease_modules(spark, sf, whole), domain.drug_modules(spark, sf, whole), domain.draws(whole), domain.SEED)
+def null_zscore(spark, sf):
+    z = scoring.proximity(domain.network(spark, sf), domain.disease_modules(spark, sf), domain.drug_modules(spark, sf), domain.DRAWS, domain.SEED)
     return z.select("disease", "drug", *(tidy(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_std", "z", "p_value")))
 
 
@@ -275,42 +305,42 @@ _PAIRS = "pr as materialized (select d.disease, p.compound, d.gene, d.fold_chang
 _RANKED = "rk as materialized (select disease, {k}, rank() over (partition by disease, {k} order by a) + (count(*) over (partition by disease, {k}, a) - 1) / 2.0::double x, rank() over (partition by disease, {k} order by b) + (count(*) over (partition by disease, {k}, b) - 1) / 2.0::double y from {t})"
 
 
-def _signature_pairs(spark, sf, whole=False) -> DataFrame:
-    p = profiles.profiles(domain.compound_values(spark, sf, whole)).withColumnRenamed("fold_change", "b")
-    return domain.disease_signatures(spark, sf, whole).withColumnRenamed("fold_change", "a").join(p, "gene")
+def _signature_pairs(spark, sf) -> DataFrame:
+    p = profiles.profiles(domain.compound_values(spark, sf)).withColumnRenamed("fold_change", "b")
+    return domain.disease_signatures(spark, sf).withColumnRenamed("fold_change", "a").join(p, "gene")
 
 
-def _correlation(spark, sf, method: str, whole: bool) -> DataFrame:
-    c = correlation.correlate(_signature_pairs(spark, sf, whole), ["disease", "compound"], "a", "b", method)
+def _correlation(spark, sf, method: str) -> DataFrame:
+    c = correlation.correlate(_signature_pairs(spark, sf), ["disease", "compound"], "a", "b", method)
     return c.select("disease", "compound", "n_common", tidy(F.col("correlation")).alias("correlation"))
 
 
 @query(f"with {DISEASES}, {DRUGS}, {_PAIRS}, {_RANKED.format(k='compound', t='pr')} select disease, compound, count(*) as n_common, {r6(_corr('x', 'y'))} as correlation from rk group by disease, compound")
-def spearman(spark, sf, whole=False):
-    return _correlation(spark, sf, "spearman", whole)
+def spearman(spark, sf):
+    return _correlation(spark, sf, "spearman")
 
 
 @query(f"with {DISEASES}, {DRUGS}, {_PAIRS} select disease, compound, count(*) as n_common, {r6(_corr('a', 'b'))} as correlation from pr group by disease, compound")
-def pearson(spark, sf, whole=False):
-    return _correlation(spark, sf, "pearson", whole)
+def pearson(spark, sf):
+    return _correlation(spark, sf, "pearson")
 
 
 _REV = f"sg as materialized (select drug, gene, min(case when direction = 'down' then -1.0::double else 1.0::double end) b from xg group by drug, gene), ps as materialized (select d.disease, s.drug, d.fold_change a, s.b from dsig d join sg s using (gene)), {_RANKED.format(k='drug', t='ps')}, rv as materialized (select disease, drug, -1.0::double * ({_corr('x', 'y')}) c from rk group by disease, drug)"
 
 
 @query(f"with {DISEASES}, {DRUGS}, {_REV} select disease, drug, {r6('c')} as c from rv")
-def reversal(spark, sf, whole=False):
-    return correlation.reversal(domain.disease_signatures(spark, sf, whole), domain.drug_genes(spark, sf, whole)).select("disease", "drug", tidy(F.col("c")).alias("c"))
+def reversal(spark, sf):
+    return correlation.reversal(domain.disease_signatures(spark, sf), domain.drug_genes(spark, sf)).select("disease", "drug", tidy(F.col("c")).alias("c"))
 
 
 # ---- Scoring -------------------------------------------------------------------
 
-_PRED = f"""{_Z}, drugs as materialized (select distinct drug from xm), xgenes as materialized (select distinct gene s, gene from x), {bfs_sql('bs', 's', 'xgenes')},
+_PRED = f"""{_Z}, {ASKED_DRUGS}, drugs as materialized (select distinct drug from xm), xgenes as materialized (select distinct gene s, gene from x), {bfs_sql('bs', 's', 'xgenes')},
 n as materialized (select drug, count(*) n from x group by drug),
 ab as materialized (select x.drug a, b.drug b, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from x join bx b on b.node = x.gene join n on n.drug = x.drug group by x.drug, b.drug),
 own as materialized (select drug, case when count(*) > 1 then avg(d) else 0.0::double end d from (select x.drug, x.gene, coalesce(min(g.hops) filter (where y.gene is not null), 1000.0::double) d from x left join x y on y.drug = x.drug and y.gene <> x.gene left join bs g on g.s = x.gene and g.node = y.gene group by x.drug, x.gene) group by drug),
 sep as materialized (select p.drug drug_a, r.drug drug_b, (coalesce(u.d, 1000.0::double) + coalesce(v.d, 1000.0::double)) / 2 - (coalesce(oa.d, 1000.0::double) + coalesce(ob.d, 1000.0::double)) / 2 s
- from drugs p join drugs r on p.drug < r.drug left join ab u on u.a = p.drug and u.b = r.drug left join ab v on v.a = r.drug and v.b = p.drug left join own oa on oa.drug = p.drug left join own ob on ob.drug = r.drug),
+ from drugs p join drugs r on p.drug < r.drug and (p.drug in (select drug from asked) or r.drug in (select drug from asked)) left join ab u on u.a = p.drug and u.b = r.drug left join ab v on v.a = r.drug and v.b = p.drug left join own oa on oa.drug = p.drug left join own ob on ob.drug = r.drug),
 {_REV},
 parts as materialized (select d.disease, s.drug_a, s.drug_b, round(coalesce(za.z, 0.0), 9) pqa, round(coalesce(zb.z, 0.0), 9) pqb, coalesce(ca.c, 0.0) cqa, coalesce(cb.c, 0.0) cqb, round(s.s, 9) s
  from (select distinct disease from dm) d cross join sep s left join zz za on za.disease = d.disease and za.drug = s.drug_a left join zz zb on zb.disease = d.disease and zb.drug = s.drug_b
@@ -319,9 +349,10 @@ cls as materialized (select *, case when pqa < 0 and pqb < 0 then (case when s >
 pred as materialized (select disease, drug_a, drug_b, case when topology_class = 'complementary_exposure' then 2.0::double else 0.0::double end tqab, -(pqa + pqb) / 2 pqab, (cqa + cqb) / 2 cqab, topology_class, pqa, pqb, cqa, cqb from cls)"""
 
 
-def _predictor(spark, sf, whole=False) -> scoring.Predictor:
-    p = scoring.Predictor(domain.network(spark, sf), domain.draws(whole), domain.SEED)
-    return p.set_disease_modules(domain.disease_modules(spark, sf, whole)).set_drug_modules(domain.drug_genes(spark, sf, whole)).set_disease_signatures(domain.disease_signatures(spark, sf, whole))
+def _predicted(spark, sf, asked: DataFrame | None) -> DataFrame:
+    p = scoring.Predictor(domain.network(spark, sf), domain.DRAWS, domain.SEED)
+    p.set_disease_modules(domain.disease_modules(spark, sf)).set_drug_modules(domain.drug_genes(spark, sf)).set_disease_signatures(domain.disease_signatures(spark, sf))
+    return p.predict(asked=asked)
 
 
 _SCORES = ("tqab", "pqab", "cqab", "prediction_score", "pqa", "pqb", "cqa", "cqb")
@@ -332,13 +363,19 @@ def _tidy_scores(p: DataFrame, digits: int) -> DataFrame:
 
 
 @query(f"with recursive {_PRED} select disease, drug_a, drug_b, topology_class, {', '.join(f'round({e}, 4) + 0.0 as {c}' for c, e in (('tqab', 'tqab'), ('pqab', 'pqab'), ('cqab', 'cqab'), ('prediction_score', '(tqab + pqab + cqab)'), ('pqa', 'pqa'), ('pqb', 'pqb'), ('cqa', 'cqa'), ('cqb', 'cqb')))} from pred")
-def predict_all(spark, sf, whole=False):
-    return _tidy_scores(_predictor(spark, sf, whole).predict(), 4)
+def predict_all(spark, sf):
+    """Drugs named in metadata rows whose id is divisible by 50 with every other drug, for every disease."""
+    return _tidy_scores(_predicted(spark, sf, domain.asked_drugs(spark, sf)), 4)
+
+
+def predict_every_pair(spark, sf):
+    """Every pair of drugs: for small tables, as the result grows with the square of the drugs."""
+    return _tidy_scores(_predicted(spark, sf, None), 4)
 
 
 @query(f"with recursive {_PRED} select disease, topology_class, count(*) as n_pairs from pred group by disease, topology_class")
-def topology_classes(spark, sf, whole=False):
-    return _predictor(spark, sf, whole).predict().groupBy("disease", "topology_class").agg(F.count("*").alias("n_pairs"))
+def topology_classes(spark, sf):
+    return _predicted(spark, sf, domain.asked_drugs(spark, sf)).groupBy("disease", "topology_class").agg(F.count("*").alias("n_pairs"))
 
 
 @query("select prediction_id, prediction_score from predictions where prediction_score is not null and not isnan(prediction_score) order by prediction_score desc, prediction_id limit 20")
@@ -347,12 +384,17 @@ def predict_topk(spark, sf):
     return p.orderBy(F.desc("prediction_score"), "prediction_id").limit(20).select("prediction_id", "prediction_score")
 
 
-@query(f"select disease, {r6('avg(prediction_score)')} as mean_score, {r6('median(prediction_score)')} as median_score, {r6('max(prediction_score)')} as max_score from predictions where prediction_score is not null and not isnan(prediction_score) group by disease")
-def score_aggregate(spark, sf):
-    from pathloom.functions.columns import aggregate
+#: Mean of ``prediction_score`` to six digits, halves up, from a sum of whole billionths: the same in any order of summation.
+_EXACT = "2 * sum(round(prediction_score * 1e9)::hugeint) + 1000 * count(*)"
 
+
+@query(
+    f"""with g as (select disease, {_EXACT} v, 2000::hugeint * count(*) m, median(prediction_score) md, max(prediction_score) mx from predictions where prediction_score is not null and not isnan(prediction_score) group by disease)
+select disease, ((v - ((v % m) + m) % m) // m)::double / 1e6 as mean_score, {r6('md')} as median_score, {r6('mx')} as max_score from g"""
+)
+def score_aggregate(spark, sf):
     p = table(spark, sf, "predictions").where("prediction_score is not null and not isnan(prediction_score)")
-    rest = p.groupBy("disease").agg(*(tidy(aggregate(m, "prediction_score")).alias(f"{m}_score") for m in ("mean", "max")))
+    rest = p.groupBy("disease").agg(exact_mean(F.col("prediction_score")).alias("mean_score"), tidy(F.max("prediction_score")).alias("max_score"))
     middle = evaluation.medians(p, ["disease"], "prediction_score").withColumnRenamed("disease", "d")
     return rest.join(middle, F.col("disease").eqNullSafe(F.col("d"))).select("disease", "mean_score", tidy(F.col("median")).alias("median_score"), "max_score")
 
@@ -409,24 +451,30 @@ def auc_comparison(spark, sf):
 # ---- Similarity --------------------------------------------------------------------
 
 
+_SETS = f"""{DISEASES}, {ASKED_DISEASES}, n as materialized (select disease, count(*) n, disease in (select disease from asked) as hit from dm group by disease),
+pairs as materialized (select a.disease i, b.disease j, a.n x, b.n y from n a join n b on a.disease < b.disease and (a.hit or b.hit))"""
+
+
 def _set_sql(expr: str) -> str:
-    return f"""with {DISEASES}, n as materialized (select disease, count(*) n from dm group by disease), k as materialized (select a.disease i, b.disease j, count(*) k from dm a join dm b on a.gene = b.gene and a.disease < b.disease group by 1, 2)
-select a.disease as module_i, b.disease as module_j, {r6(expr)} as sim from n a join n b on a.disease < b.disease left join k on k.i = a.disease and k.j = b.disease"""
+    shared = "k as materialized (select a.disease i, b.disease j, count(*) k from dm a join dm b on a.gene = b.gene and a.disease < b.disease group by 1, 2)"
+    return f"with {_SETS}, {shared} select p.i as module_i, p.j as module_j, {r6(expr)} as sim from pairs p left join k using (i, j)"
 
 
-def _set_similarity(spark, sf, method: str, whole: bool) -> DataFrame:
-    s = similarity.set_similarity(domain.disease_modules(spark, sf, whole).withColumnRenamed("disease", "module"), method)
+def _set_similarity(spark, sf, method: str) -> DataFrame:
+    """Diseases named in rows whose id is divisible by 50 against all diseases."""
+    modules = domain.disease_modules(spark, sf).withColumnRenamed("disease", "module")
+    s = similarity.set_similarity(modules, method, domain.asked_diseases(spark, sf).withColumnRenamed("disease", "module"))
     return s.select("module_i", "module_j", tidy(F.col("sim")).alias("sim"))
 
 
-@query(_set_sql("coalesce(k.k, 0) / (a.n + b.n - coalesce(k.k, 0))::double"))
-def jaccard(spark, sf, whole=False):
-    return _set_similarity(spark, sf, "jaccard", whole)
+@query(_set_sql("coalesce(k.k, 0) / (p.x + p.y - coalesce(k.k, 0))::double"))
+def jaccard(spark, sf):
+    return _set_similarity(spark, sf, "jaccard")
 
 
-@query(_set_sql("coalesce(k.k, 0) / least(a.n, b.n)::double"))
-def overlap(spark, sf, whole=False):
-    return _set_similarity(spark, sf, "overlap", whole)
+@query(_set_sql("coalesce(k.k, 0) / least(p.x, p.y)::double"))
+def overlap(spark, sf):
+    return _set_similarity(spark, sf, "overlap")
 
 
 def _fingerprints(spark, sf) -> DataFrame:
@@ -434,89 +482,96 @@ def _fingerprints(spark, sf) -> DataFrame:
     return e.select(F.col("vec_id").alias("mol"), F.transform("embedding", lambda x: (x > 0).cast("int")).alias("bits"))
 
 
-_BITS = "f as materialized (select vec_id mol, list_transform(embedding, lambda v: (v > 0)::int) bits from embeddings where embedding is not null), m as materialized (select mol, unnest(range(len(bits))) pos, unnest(bits) bit from f), c as materialized (select mol, sum(bit)::bigint n from m group by mol), s as materialized (select mol, pos from m where bit = 1), k as materialized (select a.mol i, b.mol j, count(*) k from s a join s b on a.pos = b.pos and a.mol < b.mol group by 1, 2)"
+def _vector_similarity(spark, sf, method: str) -> DataFrame:
+    """Vectors whose id is divisible by 50 against all vectors."""
+    f = _fingerprints(spark, sf)
+    s = similarity.drug_similarity(f, method, asked=f.where(F.col("mol") % domain.EVERY == 0).select("mol"))
+    return s.select("i", "j", tidy(F.col("sim")).alias("sim"))
 
 
-@query(f"with {_BITS} select a.mol as i, b.mol as j, {r6('case when a.n + b.n - coalesce(k.k, 0) = 0 then 0.0::double else coalesce(k.k, 0) / (a.n + b.n - coalesce(k.k, 0))::double end')} as sim from c a join c b on a.mol < b.mol left join k on k.i = a.mol and k.j = b.mol")
+_BITS = f"""f as materialized (select vec_id mol, list_transform(embedding, lambda v: (v > 0)::int) bits from embeddings where embedding is not null and vec_id is not null),
+m as materialized (select mol, unnest(range(len(bits))) pos, unnest(bits) bit from f), c as materialized (select mol, sum(bit)::bigint n from m group by mol), s as materialized (select mol, pos from m where bit = 1),
+k as materialized (select a.mol q, b.mol o, count(*) k from s a join s b on a.pos = b.pos and a.mol % {domain.EVERY} = 0 and a.mol <> b.mol group by 1, 2),
+pr as materialized (select least(a.mol, b.mol) i, greatest(a.mol, b.mol) j, a.n x, b.n y, coalesce(k.k, 0) k from c a join c b on a.mol % {domain.EVERY} = 0 and a.mol <> b.mol and (a.mol < b.mol or b.mol % {domain.EVERY} <> 0) left join k on k.q = a.mol and k.o = b.mol)"""
+
+
+@query(f"with {_BITS} select i, j, {r6('case when x + y - k = 0 then 0.0::double else k / (x + y - k)::double end')} as sim from pr")
 def tanimoto(spark, sf):
-    return similarity.drug_similarity(_fingerprints(spark, sf), "tanimoto").select("i", "j", tidy(F.col("sim")).alias("sim"))
+    return _vector_similarity(spark, sf, "tanimoto")
 
 
-@query(f"with {_BITS} select a.mol as i, b.mol as j, {r6('case when a.n = 0 or b.n = 0 then 0.0::double else coalesce(k.k, 0) / (sqrt(a.n::double) * sqrt(b.n::double)) end')} as sim from c a join c b on a.mol < b.mol left join k on k.i = a.mol and k.j = b.mol")
+@query(f"with {_BITS} select i, j, {r6('case when x = 0 or y = 0 then 0.0::double else k / (sqrt(x::double) * sqrt(y::double)) end')} as sim from pr")
 def cosine(spark, sf):
-    return similarity.drug_similarity(_fingerprints(spark, sf), "cosine").select("i", "j", tidy(F.col("sim")).alias("sim"))
+    return _vector_similarity(spark, sf, "cosine")
 
 
-@query(f"with {DISEASES}, n as materialized (select disease, count(*) n from dm group by disease) select a.disease as i, b.disease as j, {r6('least(a.n, b.n) / greatest(a.n, b.n)::double')} as sim from n a join n b on a.disease < b.disease")
-def pair_matrix(spark, sf, whole=False):
+@query(f"with {_SETS} select i, j, {r6('least(x, y) / greatest(x, y)::double')} as sim from pairs")
+def pair_matrix(spark, sf):
     """Any Column builder as the similarity: here the ratio of module sizes."""
-    n = domain.disease_modules(spark, sf, whole).groupBy("disease").agg(F.count("*").alias("n"))
-    p = similarity.pair_matrix(n, "disease", lambda a, b: F.least(a, b) / F.greatest(a, b), "n")
+    n = domain.disease_modules(spark, sf).groupBy("disease").agg(F.count("*").alias("n"))
+    ratio = lambda a, b: F.least(a, b) / F.greatest(a, b)
+    p = similarity.pair_matrix(n, "disease", ratio, "n", domain.asked_diseases(spark, sf))
     return p.select("i", "j", tidy(F.col("sim")).alias("sim"))
 
 
 # ---- Propagation -------------------------------------------------------------------
 
-STEPS = 6
+#: Steps the SQL walks; a module that had not come to rest by then would be missing from its result.
+STEPS = 60
 
 
 def _walk_sql(weight: str) -> str:
-    steps = ["f0 as materialized (select disease, gene, 1.0::double / count(*) over (partition by disease) s from q)", f"w as materialized (select a.src, a.dst, {weight} x from nadj a join deg d on d.gene = a.src join deg e on e.gene = a.dst)", "s0 as materialized (select * from f0)"]
-    for i in range(STEPS):
-        steps.append(f"s{i + 1} as materialized (select disease, gene, sum(s) s from (select p.disease, w.dst gene, 0.5::double * sum(p.s * w.x) s from s{i} p join w on w.src = p.gene group by p.disease, w.dst union all select disease, gene, 0.5::double * s from f0) group by disease, gene)")
-    return f"{NET}, {DISEASES}, {QG}, {', '.join(steps)}"
+    return f"""{NET}, {DISEASES}, {QG}, f0 as materialized (select disease, gene, 1.0::double / count(*) over (partition by disease) s from q),
+w as materialized (select a.src, a.dst, {weight} x from nadj a join deg d on d.gene = a.src join deg e on e.gene = a.dst),
+it(step, disease, gene, s) as (
+ select 0, disease, gene, s from f0 union all
+ select step + 1, disease, gene, sum(s) from (
+  select p.step, p.disease, w.dst gene, 0.5::double * sum(p.s * w.x) s from it p join w on w.src = p.gene group by p.step, p.disease, w.dst union all
+  select t.step, f.disease, f.gene, 0.5::double * f.s from f0 f, (select max(step) step from it) t where t.step is not null)
+ where step < {STEPS} group by step, disease, gene),
+mv as (select n.step - 1 as step, n.disease, sqrt(sum(pow(n.s - coalesce(o.s, 0.0), 2))) d from it n left join it o on o.step = n.step - 1 and o.disease = n.disease and o.gene = n.gene where n.step > 0 group by n.step, n.disease),
+rest as (select disease, min(step) step from mv where d < 1e-6 group by disease),
+wk as materialized (select it.disease, it.gene, it.s from it join rest using (disease, step))"""
 
 
-def _walk(spark, sf, mode: str, whole: bool) -> DataFrame:
-    """``STEPS`` steps, which SQL can unroll; ``whole``: until no module moves by 1e-6."""
-    seeds = domain.disease_modules(spark, sf, whole).withColumnRenamed("disease", "module")
-    return propagation.walk(domain.network(spark, sf), seeds, mode, fixed=None if whole else STEPS)
+def _walk(spark, sf, mode: str) -> DataFrame:
+    seeds = domain.disease_modules(spark, sf).withColumnRenamed("disease", "module")
+    return _scores(propagation.walk(domain.network(spark, sf), seeds, mode))
 
 
 def _scores(df: DataFrame) -> DataFrame:
     return df.select("module", "gene", tidy(F.col("score"), 9).alias("score"))
 
 
-_OUT = f"select disease as module, gene, round(s, 9) + 0.0 as score from s{STEPS}"
+_OUT = "select disease as module, gene, round(s, 9) + 0.0 as score from wk"
 
 
 @query(f"with recursive {_walk_sql('1.0::double / d.degree')} {_OUT}")
-def rwr_column(spark, sf, whole=False):
-    return _scores(_walk(spark, sf, "column", whole))
+def rwr_column(spark, sf):
+    return _walk(spark, sf, "column")
 
 
 @query(f"with recursive {_walk_sql('1.0::double / e.degree')} {_OUT}")
-def rwr_row(spark, sf, whole=False):
-    return _scores(_walk(spark, sf, "row", whole))
+def rwr_row(spark, sf):
+    return _walk(spark, sf, "row")
 
 
 @query(f"with recursive {_walk_sql('1.0::double / sqrt(d.degree::double * e.degree)')} {_OUT}")
-def rwr_symmetric(spark, sf, whole=False):
-    return _scores(_walk(spark, sf, "symmetric", whole))
+def rwr_symmetric(spark, sf):
+    return _walk(spark, sf, "symmetric")
 
 
-@query()
+@query(f"with recursive {_walk_sql('1.0::double / d.degree')} select disease as module, count(*) as n_genes, {r6('sum(s)')} as mass from wk group by disease")
 def rwr_converged(spark, sf):
-    """Over every name, until no module moves by 1e-6; tested against dense linear algebra."""
-    seeds = domain.disease_modules(spark, sf, whole=True).withColumnRenamed("disease", "module")
-    return _scores(propagation.walk(domain.network(spark, sf), seeds))
-
-
-@query(f"with recursive {_walk_sql('1.0::double / d.degree')} select disease as module, gene, rk::int as rank from (select disease, gene, row_number() over (partition by disease order by round(s, 9) desc, gene) rk from s{STEPS}) where rk <= 100")
-def rwr_topk(spark, sf, whole=False):
-    return propagation.top_genes(_scores(_walk(spark, sf, "column", whole)), 100).select("module", "gene", "rank")
-
-
-# ---- The same over every name -----------------------------------------------------------
+    """Genes that each walk reaches, and the share of its mass they hold at rest."""
+    seeds = domain.disease_modules(spark, sf).withColumnRenamed("disease", "module")
+    s = propagation.walk(domain.network(spark, sf), seeds)
+    return s.groupBy("module").agg(F.count("*").alias("n_genes"), tidy(F.sum("score")).alias("mass"))
 
 
-#: Over the rows of every name that is not blank, as the reference groups them. The SQL keeps to canonical spellings, so these have none.
-WHOLE = (
-    disease_modules, disease_signature, median_profile, mean_profile, drug_modules, bfs_module_dist, avg_shortest_path, module_proximity, separation, pairwise_dist,
-    module_seed_hash, null_modules, null_zscore, spearman, pearson, reversal, predict_all, topology_classes, jaccard, overlap, pair_matrix,
-    rwr_column, rwr_row, rwr_symmetric, rwr_topk,
-)
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in WHOLE}
+@query(f"with recursive {_walk_sql('1.0::double / d.degree')} select disease as module, gene, rk::int as rank from (select disease, gene, row_number() over (partition by disease order by round(s, 9) desc, gene) rk from wk) where rk <= 100")
+def rwr_topk(spark, sf):
+    return propagation.top_genes(_walk(spark, sf, "column"), 100).select("module", "gene", "rank")
 
 
 # ---- Figures -------------------------------------------------------------------------

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "pathloom", cores: int | str = "*", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with AQE (coalescing, skew joins), UTC and Arrow transfer.
 
-    On a cluster the master and memory come from spark-submit; here only what
-    results depend on is fixed. ``conf`` overrides anything.
+    On a cluster the master and memory come from spark-submit, and ``spark.checkpoint.dir``
+    must name a folder that all executors share; a local session gets a temporary one.
+    ``conf`` overrides anything.
     """
     b = (
         SparkSession.builder.appName(app)
@@ -22,6 +25,7 @@ def build_session(app: str = "pathloom", cores: int | str = "*", shuffle_partiti
     )
     if "spark.master" not in conf:
         b = b.master(f"local[{cores}]")
+        conf.setdefault("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in conf.items():

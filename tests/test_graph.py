@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from conftest import DRUGS, ILL, PARK, hops, to_nearest
+from pyspark.sql import functions as F
 
-from pathloom.operators import distances, graph
+from pathloom.operators import components, distances, graph
 from pathloom.operators.components import reach_from_hub
 from pathloom.storage import Scratch
 
@@ -33,12 +35,17 @@ def union_find(pairs):
     return {x: find(x) for x in parent}
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("max_levels, few", [(24, 50_000), (2, 50_000), (24, 3)])
+def test_components_against_union_find(spark, monkeypatch, max_levels, few):
+    """Peeled whole, contracted after two levels, and with every frontier joined by shuffle."""
+    monkeypatch.setattr(components, "BROADCAST_ROWS", few)
     rng = random.Random(1)
     pairs = [(f"n{rng.randrange(120):03d}", f"n{rng.randrange(120):03d}") for _ in range(80)]
     pairs = [p for p in pairs if p[0] != p[1]] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)]
-    got = {r["gene"]: r["component"] for r in graph.components(frame(spark, set((min(p), max(p)) for p in pairs))).collect()}
+    e = frame(spark, set((min(p), max(p)) for p in pairs)).toDF("lo", "hi")
+    got = {r["member"]: r["group"] for r in components.connected(e, Scratch(spark, "test"), max_levels).collect()}
     assert got == union_find(pairs)
+    assert {r["gene"]: r["component"] for r in graph.components(e.toDF("gene_a", "gene_b")).collect()} == got
 
 
 def test_reach_from_hub_stops_at_max_levels(spark):
@@ -73,11 +80,40 @@ def test_union_needs_sources():
         graph.union_sources({})
 
 
-def test_stats_of_chain(chain_edges):
-    r = graph.graph_stats(chain_edges).first()
-    assert (r["n_nodes"], r["n_edges"], r["n_components"]) == (24, 63, 1)
-    assert r["avg_degree"] == pytest.approx(5.25) and r["density"] == pytest.approx(2 * 63 / (24 * 23))
-    assert r["avg_clustering"] == pytest.approx((20 * 1.0 + 2 * 10 / 15 + 2 * 10 / 21) / 24)
+def test_sources_of_edges(spark):
+    rows = [(0, "A", "B", "s1"), (1, "B", "A", "s2"), (2, "A", "B", "s1"), (3, "C", "C", "s1"), (4, "B", "A", None), (5, "A", "C", "s9")]
+    df = spark.createDataFrame(rows, "seq long, protein_a string, protein_b string, source string")
+    got = sorted(map(tuple, graph.edge_sources(df).collect()))
+    assert got == [("A", "B", 0, "s1"), ("A", "B", 1, "s2"), ("A", "B", 2, "s1"), ("A", "B", 3, None), ("A", "C", 0, "s9")]
+
+
+def test_union_keeps_order_over_many_partitions(spark):
+    one = spark.range(0, 300, numPartitions=150).select(F.lit("A").alias("protein_a"), F.lit("B").alias("protein_b"), F.lit("first").alias("source"), F.concat(F.lit("t"), "id").alias("interaction_type"))
+    two = one.withColumn("source", F.lit("second"))
+    u = graph.union_sources({"one": one, "two": two})
+    assert u.where("source = 'first'").agg(F.max("seq")).first()[0] < u.where("source = 'second'").agg(F.min("seq")).first()[0]
+    e = graph.merge_edges(u).first()
+    assert (e["sources"], e["n_rows"], e["interaction_type"]) == (["first", "second"], 600, "t0")
+
+
+def test_build_graph(spark):
+    t = spark.createDataFrame([("672", "7157", "s", "PPI"), ("7157", "1956", "s", "PPI"), ("x", "y", "s", "PPI"), ("nowhere", "672", "s", "PPI")], "protein_a string, protein_b string, source string, interaction_type string")
+    ids = spark.createDataFrame([("672", "BRCA1"), ("7157", "TP53"), ("1956", "EGFR"), ("x", "X"), ("y", "Y"), ("nowhere", None)], "id string, symbol string")
+    got = {(r["gene_a"], r["gene_b"]) for r in graph.build_graph({"s": t}, ids).collect()}
+    assert got == {("BRCA1", "TP53"), ("EGFR", "TP53")}
+
+
+def test_stats(spark, park):
+    r = graph.graph_stats(park).first()
+    nodes = {g for p in PARK for g in p}
+    near = {g: {a if b == g else b for a, b in PARK if g in (a, b)} for g in nodes}
+    local = [2 * sum(b in near[a] for a in near[g] for b in near[g] if a < b) / (len(near[g]) * (len(near[g]) - 1)) if len(near[g]) > 1 else 0 for g in nodes]
+    assert (r["n_nodes"], r["n_edges"], r["n_components"]) == (len(nodes), len(PARK), 1)
+    assert r["avg_degree"] == pytest.approx(2 * len(PARK) / len(nodes)) and r["density"] == pytest.approx(2 * len(PARK) / (len(nodes) * (len(nodes) - 1)))
+    assert r["avg_clustering"] == pytest.approx(sum(local) / len(nodes)) and r["diameter"] == max(hops(PARK).values())
+    split = graph.graph_stats(park.union(frame(spark, [("Y", "Z")]))).first()
+    assert split["n_components"] == 2 and split["diameter"] is None
+    assert graph.graph_stats(park.where("false")).first()["n_nodes"] == 0
 
 
 def test_complex_pairs_by_position(spark):
@@ -85,23 +121,43 @@ def test_complex_pairs_by_position(spark):
     assert sorted(tuple(r) for r in graph.complex_pairs(m).collect()) == [("c", "A", "A"), ("c", "A", "B"), ("c", "B", "A")]
 
 
-def test_distances_of_chain(spark, chain_edges, chain_disease, chain_drugs):
-    d = distances.module_distances(chain_edges, chain_disease.withColumnRenamed("disease", "source"), chain_drugs.selectExpr("drug as target", "gene"))
-    assert {r["target"]: r["d"] for r in d.collect()} == {"left": 3.0, "left_overlap": 3.0, "right": 3.0, "far": 4.0}
-    m = chain_drugs.selectExpr("drug as module", "gene")
-    assert {r["d"] for r in distances.self_distances(chain_edges, m).collect()} == {1.0}
-    pairs = spark.createDataFrame([("left", "left_overlap"), ("left", "right"), ("left", "far"), ("right", "far"), ("left", "none"), ("none", "nil")], "module_a string, module_b string")
-    s = {(r["module_a"], r["module_b"]): r["s_ab"] for r in distances.separations(chain_edges, m, pairs).collect()}
-    assert s["left", "left_overlap"] == pytest.approx(-2 / 3)
-    assert (s["left", "right"], s["left", "far"], s["right", "far"]) == (3.0, 4.0, 2.0)
-    assert s["left", "none"] == 1000 - (1000 + 1) / 2 and s["none", "nil"] == 0.0
+def members(rows):
+    out = {}
+    for k, g, *_ in rows:
+        out.setdefault(k, []).append(g)
+    return out
 
 
-def test_unreachable_counts_infinity(spark):
-    e = frame(spark, [("DISEASE2", "DISEASE3"), ("DISEASE4", "DISEASE5"), ("LEFT1", "LEFT2"), ("LEFT2", "LEFT3")])
-    s = spark.createDataFrame([("l", "LEFT1"), ("l", "LEFT2"), ("q", "DISEASE2"), ("q", "DISEASE4")], "module string, gene string")
-    own = {r["module"]: r["d"] for r in distances.self_distances(e, s).collect()}
-    assert own == {"l": 1.0, "q": 1000.0}
+def test_module_distances(spark, park, ill, drugs):
+    hop, m = hops(PARK), members(DRUGS)
+    want = {d: to_nearest(hop, [g for _, g in ILL], m[d]) for d in m}
+    d = distances.module_distances(park, ill.withColumnRenamed("disease", "source"), drugs.selectExpr("drug as target", "gene"))
+    assert {r["target"]: r["d"] for r in d.collect()} == pytest.approx(want)
+    own = {d: to_nearest(hop, m[d], m[d], itself=False) for d in m}
+    modules = drugs.selectExpr("drug as module", "gene")
+    pairs = [("amber", "birch"), ("amber", "cedar"), ("amber", "dune"), ("birch", "cedar"), ("amber", "none"), ("none", "nil")]
+    s = distances.separations(park, modules, spark.createDataFrame(pairs, "module_a string, module_b string"))
+    s = {(r["module_a"], r["module_b"]): r["s_ab"] for r in s.collect()}
+    for a, b in pairs[:4]:
+        assert s[a, b] == pytest.approx((to_nearest(hop, m[a], m[b]) + to_nearest(hop, m[b], m[a])) / 2 - (own[a] + own[b]) / 2)
+    assert s["amber", "none"] == pytest.approx(1000 - (1000 + own["amber"]) / 2) and s["none", "nil"] == 0.0
+
+
+def test_no_way_counts_infinity(spark):
+    e = frame(spark, [("P", "Q"), ("R", "S"), ("X", "Y"), ("Y", "Z")])
+    m = spark.createDataFrame([("near", "X"), ("near", "Z"), ("apart", "P"), ("apart", "R")], "module string, gene string")
+    assert {r["module"]: r["d"] for r in distances.self_distances(e, m).collect()} == {"near": 2.0, "apart": 1000.0}
+
+
+def test_search_of_many_modules(spark, park, monkeypatch):
+    """More modules than a word has bits, joined by broadcast and by shuffle."""
+    rng, nodes = random.Random(3), sorted({g for p in PARK for g in p})
+    m = {f"m{i:03d}": rng.sample(nodes, 1 + i % 4) for i in range(150)}
+    want = {(k, n): min(hops(PARK)[g, n] for g in gs) for k, gs in m.items() for n in nodes}
+    src = spark.createDataFrame([(k, g) for k, gs in m.items() for g in gs] + [("m000", None), (None, "K0"), ("lost", "NOWHERE")], "module string, gene string")
+    for few in (50_000, 3):
+        monkeypatch.setattr(distances, "BROADCAST_ROWS", few)
+        assert {(r["module"], r["node"]): r["hops"] for r in distances.bfs(park, src).collect()} == want
 
 
 def test_self_distance_against_all_pairs(spark):

@@ -17,7 +17,7 @@ def small(tmp_path_factory):
         "creeds_signatures": [(i, n, x, g) for i, (n, x, g) in enumerate([("Asthma ", "up", "G01"), ("asthma", "down", "G03"), ("astma", "up", "G05"), ("wheezing", "down", "G08"), ("wheezing", "up", "G09"), ("wheezing", "up", "G01"), (" ", "up", "G02"), (None, "up", "G02")])],
         "disease_ref": [(1, "asthma", "wheezing")],
         "compound_ref": [(1, "aspirin", "asa")],
-        "lincs_metadata": [(1, "s1", "Aspirin"), (2, "s2", "asa"), (3, "s3", "aspirn hcl"), (4, "s4", "  "), (5, "s5", None)],
+        "lincs_metadata": [(0, "s1", "Aspirin"), (2, "s2", "asa"), (3, "s3", "aspirn hcl"), (4, "s4", "  "), (5, "s5", None)],
         "lincs_values": [(i, f"s{1 + i % 5}", genes[(7 * i) % 24], float(i % 11) - 5) for i in range(60)],
     }
     columns = {"interactions": "interaction_id protein_a protein_b source interaction_type complex_id", "creeds_signatures": "record_id disease_name direction gene_symbol", "disease_ref": "disease_id disease synonyms", "compound_ref": "compound_id compound synonyms", "lincs_metadata": "row_id sig_id pert_iname", "lincs_values": "value_id sig_id gene fold_change"}
@@ -32,28 +32,28 @@ def run(spark, name, sf):
 
 
 def test_every_name_counts(spark, small):
-    got = {(r.disease, r.gene) for r in run(spark, "disease_modules_whole", small).itertuples()}
+    got = {(r.disease, r.gene) for r in run(spark, "disease_modules", small).itertuples()}
     assert got == {("asthma", "G01"), ("asthma", "G03"), ("astma", "G05"), ("wheezing", "G08"), ("wheezing", "G09"), ("wheezing", "G01")}
     v = pd.read_parquet(f"{small}/lincs_values.parquet").merge(pd.DataFrame({"sig_id": ["s1", "s2", "s3"], "compound": ["aspirin", "asa", "aspirn hcl"]}))
     want = v.groupby(["compound", "gene"]).fold_change.median().to_dict()
-    assert {(r.compound, r.gene): r.fold_change for r in run(spark, "median_profile_whole", small).itertuples()} == want
-    assert set(run(spark, "drug_modules_whole", small).drug) == {"aspirin", "asa", "aspirn hcl"}
-    assert set(run(spark, "jaccard_whole", small).module_j) == {"astma", "wheezing"}
+    assert {(r.compound, r.gene): r.fold_change for r in run(spark, "median_profile", small).itertuples()} == want
+    assert set(run(spark, "drug_modules", small).drug) == {"aspirin", "asa", "aspirn hcl"}
+    assert set(run(spark, "jaccard", small).module_j) == {"astma", "wheezing"}  # "asthma" is asked for, as record 0
 
 
 def test_all_draws(spark, small):
-    n = run(spark, "null_modules_whole", small)
+    n = run(spark, "null_modules", small)
     assert set(n.draw) == set(range(1000)) and n.module.nunique() == 3
-    z = run(spark, "null_zscore_whole", small)
+    z = run(spark, "null_zscore", small)
     assert len(z) == 3 * 3 and all(abs(p * 1000 - round(p * 1000)) < 1e-6 for p in z.p_value) and any(round(p * 1000) % 100 for p in z.p_value)
-    assert len(run(spark, "predict_all_whole", small)) == 3 * 3
+    assert len(run(spark, "predict_all", small)) == 3 * 2  # "aspirin" is asked for, as row 0
 
 
-def test_ensemble_equals_draw_rows(spark, chain_edges, chain_disease, chain_drugs, monkeypatch):
+def test_ensemble_equals_draw_rows(spark, park, ill, drugs, monkeypatch):
     monkeypatch.setattr(nulls, "CELLS", 50)
-    apart = chain_edges.union(spark.createDataFrame([("ALONE0", "ALONE1")], chain_edges.schema))
-    q = chain_disease.union(spark.createDataFrame([("r", "DISEASE1"), ("r", "ALONE0"), ("s", "NOWHERE"), ("t", "ALONE1")], chain_disease.schema))
-    x = chain_drugs.select("drug", "gene")
+    apart = park.union(spark.createDataFrame([("ALONE0", "ALONE1")], park.schema))
+    q = ill.union(spark.createDataFrame([("r", "K6"), ("r", "ALONE0"), ("s", "NOWHERE"), ("t", "ALONE1")], ill.schema))
+    x = drugs.select("drug", "gene")
     obs = distances.module_distances(apart, q.withColumnRenamed("disease", "source"), x.withColumnRenamed("drug", "target")).withColumnsRenamed({"source": "disease", "target": "drug"})
     drawn = nulls.null_modules(apart, x.withColumnRenamed("drug", "module"), 40).withColumnRenamed("module", "drug")
     want = {(r["disease"], r["drug"]): r for r in nulls.zscores(obs, nulls.null_distances(apart, q, drawn)).collect()}
@@ -75,10 +75,10 @@ def test_walks_converge(spark, small, mode):
     f = np.zeros(24)
     f[genes.index("G05")] = 1
     want = np.linalg.solve(np.eye(24) - 0.5 * w, 0.5 * f)
-    s = run(spark, f"rwr_{mode}_whole", small).query("module == 'astma'").set_index("gene").score
+    s = run(spark, f"rwr_{mode}", small).query("module == 'astma'").set_index("gene").score
     assert len(s) == 24 and s[genes].to_numpy() == pytest.approx(want, abs=4e-6)
     if mode == "column":
-        t = run(spark, "rwr_topk_whole", small).query("module == 'astma'").set_index("gene")["rank"]
+        t = run(spark, "rwr_topk", small).query("module == 'astma'").set_index("gene")["rank"]
         assert len(t) == 24 and [t[g] for g in genes] == list(s[genes].rank(ascending=False, method="first").astype(int))
 
 

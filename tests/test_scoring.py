@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.functions.columns import zscore
+from conftest import CHANGES, DRUGS, PARK
+
+from pathloom.functions.columns import exact_mean, zscore
 from pathloom.operators import correlation, evaluation, figures, idmap, nulls, profiles, propagation, scoring, similarity
 
 
@@ -32,46 +34,72 @@ def test_zscore_without_spread(spark):
     assert [r[0] for r in df.select(zscore(F.col("o"), F.col("m"), F.col("s"))).collect()] == [0.0, 0.0, -2.0]
 
 
-def test_degree_bins_of_chain(chain_edges):
-    got = {r["degree"]: r["bin"] for r in nulls.degree_bins(chain_edges).collect()}
-    assert got == {5: 16, 6: 18, 7: 19}
+def test_mean_is_exact(spark):
+    df = spark.createDataFrame([("a", 0.868), ("a", 0.869125), ("b", -0.0000005), ("b", -0.0000025), ("c", None)], "k string, v double")
+    got = {r["k"]: r["m"] for r in df.groupBy("k").agg(exact_mean(F.col("v")).alias("m")).collect()}
+    assert got == {"a": 0.868563, "b": -0.000001, "c": None}
+
+
+def test_degree_bins(park):
+    degree = {}
+    for p in PARK:
+        for g in p:
+            degree[g] = degree.get(g, 0) + 1
+    cuts = np.percentile(list(degree.values()), np.linspace(0, 100, 21))
+    want = {d: next((i for i in range(20) if cuts[i] <= d < cuts[i + 1]), 19) for d in set(degree.values())}
+    assert {r["degree"]: r["bin"] for r in nulls.degree_bins(park).collect()} == want
 
 
-def test_null_modules(spark, chain_edges, chain_drugs):
-    m = chain_drugs.selectExpr("drug as module", "gene").union(spark.createDataFrame([("left", "NOT_IN_NETWORK")], "module string, gene string"))
-    got = nulls.null_modules(chain_edges, m, 50)
-    again = nulls.null_modules(chain_edges.repartition(7), m.repartition(5), 50)
+def test_null_modules(spark, park, drugs):
+    m = drugs.selectExpr("drug as module", "gene").union(spark.createDataFrame([("amber", "NOT_IN_NETWORK")], "module string, gene string"))
+    got = nulls.null_modules(park, m, 50)
+    again = nulls.null_modules(park.repartition(7), m.repartition(5), 50)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
     sizes = got.groupBy("module", "draw").count().collect()
     assert len(sizes) == 4 * 50 and all(1 <= r["count"] <= 3 for r in sizes)
-    assert nulls.null_modules(chain_edges, m, 0).count() == 0
+    assert nulls.null_modules(park, m, 0).count() == 0
 
 
-def predictor(chain_edges, chain_disease, chain_drugs, chain_signature, draws=20):
-    return scoring.Predictor(chain_edges, draws).set_disease_modules(chain_disease).set_drug_modules(chain_drugs).set_disease_signatures(chain_signature)
+def predictor(park, ill, drugs, changes, draws=20):
+    return scoring.Predictor(park, draws).set_disease_modules(ill).set_drug_modules(drugs).set_disease_signatures(changes)
 
 
-def test_predict(spark, chain_edges, chain_disease, chain_drugs, chain_signature):
-    p = predictor(chain_edges, chain_disease, chain_drugs, chain_signature)
+def test_predict(spark, park, ill, drugs, changes):
+    p = predictor(park, ill, drugs, changes)
     rows = p.predict().collect()
     assert len(rows) == 6 and len({(r["drug_a"], r["drug_b"]) for r in rows}) == 6
     for r in rows:
         assert all(r[c] is not None and not math.isnan(r[c]) for c in ("tqab", "pqab", "cqab", "prediction_score"))
         assert r["prediction_score"] == pytest.approx(r["tqab"] + r["pqab"] + r["cqab"], abs=1e-12)
         assert r["tqab"] == (2.0 if r["topology_class"] == "complementary_exposure" else 0.0)
-    extra = chain_drugs.union(spark.createDataFrame([("left", "NOT_IN_NETWORK", "up")], chain_drugs.schema))
+    extra = drugs.union(spark.createDataFrame([("amber", "NOT_IN_NETWORK", "up")], drugs.schema))
     t = {(r["drug_a"], r["drug_b"]): r["prediction_score"] for r in rows}
-    again = predictor(chain_edges, chain_disease, extra.repartition(3), chain_signature).predict().collect()
+    again = predictor(park, ill, extra.repartition(3), changes).predict().collect()
     assert {(r["drug_a"], r["drug_b"]): r["prediction_score"] for r in again} == pytest.approx(t)
     with pytest.raises(ValueError):
         p.predict(["nothing"])
     with pytest.raises(ValueError):
-        scoring.Predictor(chain_edges).predict()
+        scoring.Predictor(park).predict()
+
+
+def test_pairs_of_asked_drugs(spark, park, ill, drugs, changes):
+    p = predictor(park, ill, drugs, changes)
+    whole = {(r["drug_a"], r["drug_b"]): r["prediction_score"] for r in p.predict().collect()}
+    asked = spark.createDataFrame([("cedar",), ("birch",), ("unknown",)], "drug string")
+    got = {(r["drug_a"], r["drug_b"]): r["prediction_score"] for r in p.predict(asked=asked).collect()}
+    assert got == pytest.approx({k: v for k, v in whole.items() if {"cedar", "birch"} & set(k)}) and len(got) == 5
+
 
+def test_reversal(changes, drugs):
+    import pandas as pd
 
-def test_reversal_of_chain(chain_signature, chain_drugs):
-    got = {r["drug"]: r["c"] for r in correlation.reversal(chain_signature, chain_drugs).collect()}
-    assert got == pytest.approx({"left": 0.8660254037844387, "left_overlap": 0.8660254037844387, "right": 0.0, "far": -0.8660254037844387})
+    fold = {g: v for _, g, v in CHANGES}
+    want = {}
+    for d in {d for d, *_ in DRUGS}:
+        own = [(fold[g], 1.0 if way == "up" else -1.0) for n, g, way in DRUGS if n == d]
+        r = pd.DataFrame(own).rank()
+        want[d] = -float(r[0].corr(r[1])) if len(own) > 2 else 0.0
+    assert {r["drug"]: r["c"] for r in correlation.reversal(changes, drugs).collect()} == pytest.approx(want)
 
 
 def test_correlation_edges(spark):
