@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 BITS, FACTORS, WINDOW, OVERLAP = 18, 8, 40, 12
 MAX_LABELLED, THRESHOLD, SEED = 6_000, 0.5, 7
 
+#: Sentences whose scores a task remembers; repeated ones are hashed and scored once.
+CACHED = 200_000
+
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'»)\]]*\s+|\n+|</?\w+>")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){3,}\w(?!\w)")
 _INNER = re.compile(r"(?<=[^\W\d_])[.\-_'’](?=[^\W\d_])")
@@ -198,13 +201,15 @@ def score_documents(documents: DataFrame, labels: DataFrame, max_labelled: int =
     shared = documents.sparkSession.sparkContext.broadcast(machine)  # of fixed size: 2**BITS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, known = shared.value, {}
         for b in batches:
-            bags = [[terms(s) for s in sentences(t)] if t else [] for t in b.column(2).to_pylist()]
-            p = m.score([r for d in bags for r in d])
-            ends = np.cumsum([len(d) for d in bags])
-            score = [float(p[e - len(d) : e].max()) if d else 0.0 for d, e in zip(bags, ends)]
+            bags = [[" ".join(s) for s in sentences(t)] if t else [] for t in b.column(2).to_pylist()]
+            new = list({s for d in bags for s in d if s not in known})
+            known.update(zip(new, m.score([terms(s.split(" ")) for s in new]).tolist()))
+            score = [max(known[s] for s in d) if d else 0.0 for d in bags]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["doc_id", "source", "score"])
+            if len(known) > CACHED:
+                known.clear()
 
     return docs.mapInArrow(run, "doc_id bigint, source string, score double")
 

@@ -35,9 +35,6 @@ THRESHOLD = 0.9
 #: Longer words, whose deletions are too many, are found by pieces.
 LONG, PIECES = 64, 5
 
-#: Shorthand that shares no letters with what it stands for.
-SHORTHAND = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "1ry": "primary", "2ry": "secondary", "3ry": "tertiary"}
-
 #: Accented letters and what they are folded to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
@@ -47,9 +44,18 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), ACCENTED, PLAIN)
 
 
+#: A Roman numeral below ten.
+ROMAN = r"^(?=[iv])(ix|iv|v?i{0,3})$"
+
+
 def tokens(c: Column) -> Column:
-    """Runs of letters and digits, in order."""
-    return F.regexp_extract_all(c, F.lit(r"([\p{L}\p{Nd}]+)"), 1)
+    """Runs of letters and digits, in order; Roman numerals as digits, in values and entries alike."""
+
+    def plain(t: Column) -> Column:
+        small = F.when(t == "ix", 9).when(t == "iv", 4).otherwise(F.length(t) + F.when(t.startswith("v"), 4).otherwise(0))
+        return F.when(t.rlike(ROMAN), small.cast("string")).otherwise(t)
+
+    return F.transform(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{Nd}]+)"), 1), plain)
 
 
 def allowed(length: int) -> int:
@@ -117,9 +123,22 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([distance(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf(T.IntegerType())
-def _allowed(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: 0 if any(c.isdigit() for c in w) else allowed(len(w)))
+def _allowed(word: str) -> Column:
+    n = F.length(word)
+    return F.when(F.col(word).rlike(r"\d"), 0).when(n <= 3, 0).when(n <= 5, 1).otherwise(2)
+
+
+def repairs_within(pairs: DataFrame) -> DataFrame:
+    """(token, vocab, d) of ``pairs(token, vocab)`` within the distance allowed for the word.
+
+    A swap of neighbours is two plain edits, so the plain distance tells most pairs: beyond
+    twice the allowed one they are too far, and below two it is the distance itself.
+    """
+    p = pairs.withColumn("allowed", _allowed("vocab")).withColumn("plain", F.levenshtein("token", "vocab", 4))
+    same = p.where("plain between 0 and 1").withColumn("d", F.col("plain"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = p.where("plain between 2 and 2 * allowed").repartition(parts, "token", "vocab").withColumn("d", _distance("token", "vocab"))
+    return same.unionByName(rest).where("d = 0 or (d <= allowed and not token rlike '[0-9]')").select("token", "vocab", "d")
 
 
 def _spans(df: DataFrame, key: str, text: str, extra: list[str]) -> DataFrame:
@@ -140,7 +159,11 @@ def reference_names(ref: DataFrame, ref_id: str, name: str, synonyms: str) -> Da
 
 
 def map_values(values: DataFrame, names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(value, ref_id, score) for each distinct ``value``; ref_id 0 where no entry reaches ``threshold``."""
+    """(value, ref_id, score) for each distinct ``value``; ref_id 0 where no entry reaches ``threshold``.
+
+    The score is at most sqrt(dot / norm), so entries below ``threshold`` squared of their
+    norm are not scored; where none is, the score is NULL.
+    """
     scratch = Scratch(values.sparkSession, "canonical")
     # The entries: tokens of each name with their weights. Codes such as "ab-12" are one token, too.
     count = names.count()
@@ -163,17 +186,13 @@ def map_values(values: DataFrame, names: DataFrame, threshold: float = THRESHOLD
     keys = seen.select("token", F.explode(_token_keys("token")).alias("key"))
     vocab_keys = words.select("vocab", F.explode(_word_keys("vocab")).alias("key"))
     near = keys.join(vocab_keys, "key").select("token", "vocab").distinct()
-    near = near.withColumn("d", F.when(F.col("token") == F.col("vocab"), 0).otherwise(_distance("token", "vocab")))
-    near = near.where((F.col("d") == 0) | ((F.col("d") <= _allowed("vocab")) & ~F.col("token").rlike(r"\d")))
+    near = repairs_within(scratch.cut(near, "near"))
     repairs = near.select("token", "vocab", (1 - 0.03 * F.col("d")).alias("sim"))
     # An abbreviation stands for the one word that begins with it.
-    dotted = v_tok.where("span = 1 and dot and length(token) between 2 and 7").select("token").distinct()
+    dotted = v_tok.where("span = 1 and dot and length(token) >= 2").select("token").distinct()
     heads = n_tok.groupBy(F.col("token").alias("vocab")).agg(F.countDistinct("name_id").alias("names")).where((F.col("names") > 1) & (F.length("vocab") > 2) & ~F.col("vocab").rlike(r"\d"))
-    heads = heads.select("vocab", F.explode(F.sequence(F.lit(2), F.least(F.lit(7), F.length("vocab") - 1))).alias("n")).select("vocab", F.expr("substring(vocab, 1, n)").alias("token"))
+    heads = heads.select("vocab", F.explode(F.sequence(F.lit(2), F.length("vocab") - 1)).alias("n")).select("vocab", F.expr("substring(vocab, 1, n)").alias("token"))
     short = dotted.join(heads, "token").groupBy("token").agg(F.min("vocab").alias("vocab"), F.max("vocab").alias("last")).where("vocab = last").select("token", "vocab", F.lit(0.97).alias("sim"))
-    meant = F.create_map(*(F.lit(x) for pair in SHORTHAND.items() for x in pair))
-    spelled = seen.where(F.col("token").isin(*SHORTHAND)).select("token", meant[F.col("token")].alias("vocab"))
-    short = short.unionByName(spelled.join(words, "vocab").select("token", "vocab", F.lit(0.97).alias("sim")))
     repairs = scratch.cut(repairs.unionByName(short).groupBy("token", "vocab").agg(F.max("sim").alias("sim")), "repairs")
 
     # What each value's tokens weigh in the list, and what each entry gets of them.
@@ -185,7 +204,7 @@ def map_values(values: DataFrame, names: DataFrame, threshold: float = THRESHOLD
     best = hits.groupBy("value", "name_id", "etok").agg(F.max_by(F.struct("w", "sim", "pos", "span"), F.struct(F.col("sim"), -F.col("span"), -F.col("pos"))).alias("m"))
     best = scratch.cut(best, "best")
     got = best.groupBy("value", "name_id").agg(F.sum(F.col("m.w") * F.col("m.sim")).alias("dot"), F.sum("m.w").alias("matched"), F.collect_list("m").alias("ms"))
-    got = got.join(n_norm, "name_id").where("dot >= 0.5 * norm").join(known, "value", "left")
+    got = got.join(n_norm, "name_id").where(F.col("dot") >= threshold**2 * F.col("norm")).join(known, "value", "left")
     used = F.transform("ms", lambda m: m["pos"])
     also = F.transform("ms", lambda m: m["pos"] + m["span"] - 1)
     spare = F.aggregate(F.filter(F.coalesce("known", F.array().cast("array<struct<pos:int,w:double>>")), lambda k: ~F.array_contains(F.col("used"), k["pos"])), F.lit(0.0), lambda a, k: a + k["w"])

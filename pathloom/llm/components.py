@@ -20,40 +20,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.operators.components import min_label_components, reach_from_hub
+from pathloom.operators.components import MAX_LEVELS, connected
 from pathloom.storage import Scratch
 
 
-def connected_groups(links: DataFrame, a: str, b: str, max_levels: int = 24) -> DataFrame:
+def connected_groups(links: DataFrame, a: str, b: str, max_levels: int = MAX_LEVELS) -> DataFrame:
     """(group, member), one row per item, ``group`` being the smallest item of the group."""
-    spark = links.sparkSession
-    scratch = Scratch(spark, "groups")
+    scratch = Scratch(links.sparkSession, "groups")
     ends = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> '' and b <> ''")
-    edges = scratch.cut(ends.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    loops = edges.where("lo = hi").select(F.col("lo").alias("group"), F.col("lo").alias("member"))
-    edges = edges.where("lo < hi")
-
-    peeled, complete = reach_from_hub(edges, scratch, max_levels)
-    deep = not complete
-    if not deep:
-        rest = edges.join(peeled.withColumnRenamed("node", "lo"), "lo", "left_anti")
-        root = None
-    else:  # contract what was reached into its smallest member
-        root = peeled.agg(F.min("node").alias("root"))
-        hit = peeled.withColumn("in", F.lit(True))
-        rest = edges.join(hit.withColumnsRenamed({"node": "lo", "in": "a_in"}), "lo", "left").join(hit.withColumnsRenamed({"node": "hi", "in": "b_in"}), "hi", "left")
-        rest = rest.where("a_in is null or b_in is null").crossJoin(F.broadcast(root))  # root is one row
-        rest = rest.select(F.when(F.col("a_in"), F.col("root")).otherwise(F.col("lo")).alias("x"), F.when(F.col("b_in"), F.col("root")).otherwise(F.col("hi")).alias("y"))
-        rest = rest.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct()
-    small = min_label_components(rest, scratch)
-    giant = peeled.crossJoin(F.broadcast(peeled.agg(F.min("node").alias("group")))).select("group", F.col("node").alias("member"))
-    if deep:  # the contracted vertex stands for all of the peeled part
-        home = small.join(root, small.member == root.root).select(F.col("group").alias("home"))
-        giant = peeled.crossJoin(root).join(home, how="left").select(F.coalesce("home", "root").alias("group"), F.col("node").alias("member"))
-        small = small.join(root, small.member == root.root, "left_anti")
-    known = giant.unionByName(small)
-    lone = loops.join(known, "member", "left_anti").select("group", "member")
-    return known.unionByName(lone)
+    pairs = scratch.cut(ends.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "pairs")
+    known = connected(pairs.where("lo < hi"), scratch, max_levels)
+    lone = pairs.where("lo = hi").select(F.col("lo").alias("group"), F.col("lo").alias("member"))
+    return known.unionByName(lone.join(known, "member", "left_anti").select("group", "member"))
 
 
 def protein_key(column: str):

@@ -1,15 +1,16 @@
 """Passages of held-out evaluation items inside a corpus.
 
 Items are cut into all their runs of ``words`` consecutive words (a shorter item
-is one run); one Aho-Corasick automaton holds every run and is built once per
-Python worker. Each document is scanned once, over its words in lower case with
-single spaces between them, and hits are mapped back to offsets in the original
-text. Words are runs of letters and digits, so case, punctuation, mark-up, line
-prefixes, spacing and line breaks make no difference.
-
-The items are a held-out set of bounded size: they are refused beyond
-``max_pattern_bytes`` of patterns, in which case they are to be scanned in
-several blocks of items (``item_blocks``), each with its own pass. Documents are
+is one run); one Aho-Corasick automaton over word numbers, one node a word, holds every
+run. Each document is scanned once, word by word, and hits are mapped back to offsets in
+the original text. Words are runs of letters and digits, in lower case, so case,
+punctuation, mark-up, line prefixes, spacing and line breaks make no difference; a word
+that no item has takes the automaton back to its start.
+
+The items are written to the shared folder, and each Python worker builds its automaton
+from there: neither the driver nor a broadcast holds them. Items of more than
+``max_words`` words in all are cut into blocks of that size; each block has an
+automaton of its own and scans the corpus once, all blocks in one job. Documents are
 never collected or shuffled. NULL and empty texts hold nothing; an item without
 a word is no pattern; repeated items each get their own rows.
 """
@@ -17,116 +18,110 @@ a word is no pattern; repeated items each get their own rows.
 from __future__ import annotations
 
 import re
-import uuid
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from urllib.parse import urlparse
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.storage import Scratch, measured
+
 WORD = re.compile(r"[^\W_]+")
-_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
-
-
-def spaced(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
-    """Words in lower case as ``" w1 w2 "``, where each begins in it, and where it stands in ``text``."""
-    out, begins, spans, at = [], [], [], 1
-    for m in WORD.finditer(text):
-        w = m.group().lower()
-        begins.append(at)
-        spans.append(m.span())
-        out.append(w)
-        at += len(w) + 1
-    return f" {' '.join(out)} ", begins, spans
-
-
-def passages(items: Sequence[tuple[int, str]], words: int) -> dict[str, list[tuple[int, int]]]:
-    """Pattern -> (item, number of words): all runs of ``words`` words of each item, or the whole of a shorter one."""
-    out: dict[str, list[tuple[int, int]]] = {}
-    for item, text in items:
-        w = [m.group().lower() for m in WORD.finditer(text or "")]
-        if w:
-            n = min(words, len(w))
-            for i in range(len(w) - n + 1):
-                hits = out.setdefault(f" {' '.join(w[i : i + n])} ", [])
-                if (item, n) not in hits:
-                    hits.append((item, n))
-    return out
 
+#: Words of items in one automaton; a node for each of up to 12 words that follow one takes some 700 bytes an item word.
+MAX_WORDS = 300_000
+
+_AUTOMATA: dict[tuple, "Automaton"] = {}
 
-def _automaton(patterns: Broadcast, key: str) -> ahocorasick.Automaton:
+
+class Automaton:
+    """All runs of ``words`` words of some items, over numbered words."""
+
+    def __init__(self, items: Sequence[tuple[int, str]], words: int):
+        self.numbers: dict[str, int] = {}
+        runs: dict[tuple[int, ...], list[int]] = {}
+        for item, text in items:
+            w = [self.numbers.setdefault(m.group().lower(), len(self.numbers) + 1) for m in WORD.finditer(text or "")]
+            n = min(words, len(w))
+            for i in range(len(w) - n + 1 if w else 0):
+                hits = runs.setdefault(tuple(w[i : i + n]), [])
+                if item not in hits:
+                    hits.append(item)
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for run, hits in runs.items():
+            self.tree.add_word(run, (len(run), hits))
+        self.size = len(runs)
+        if runs:
+            self.tree.make_automaton()
+
+    def scan(self, doc: int, text: str) -> list[tuple[int, int, int, int]]:
+        """(doc, item, begin, end) of the stretches of ``text`` that hold a passage of an item."""
+        if not self.size:
+            return []
+        spans, line = [], []
+        for m in WORD.finditer(text):
+            spans.append(m.span())
+            line.append(self.numbers.get(m.group().lower(), 0))
+        if not any(line):
+            return []
+        stretches: dict[int, list[list[int]]] = {}
+        for last, (n, hits) in self.tree.iter(tuple(line)):
+            begin, end = spans[last - n + 1][0], spans[last][1]
+            for item in hits:
+                mine = stretches.setdefault(item, [])
+                if mine and begin <= mine[-1][1]:
+                    mine[-1][0] = min(mine[-1][0], begin)
+                    mine[-1][1] = max(mine[-1][1], end)
+                else:
+                    mine.append([begin, end])
+        return [(doc, item, b, e) for item, parts in sorted(stretches.items()) for b, e in parts]
+
+
+def _automaton(path: str, block: int, words: int) -> Automaton:
+    """The automaton of a block of the item table at ``path``, built once per Python worker."""
+    key = (path, block, words)
     if key not in _AUTOMATA:
-        a = ahocorasick.Automaton()
-        for p, hits in patterns.value.items():
-            a.add_word(p, (len(p), hits))
-        a.make_automaton()
+        fs, p = (pafs.LocalFileSystem(), urlparse(path).path) if urlparse(path).scheme in ("", "file") else pafs.FileSystem.from_uri(path)
+        rows = pq.read_table(p, filesystem=fs, filters=[("block", "=", block)]).select(["item_id", "text"]).to_pylist()
         _AUTOMATA.clear()
-        _AUTOMATA[key] = a
+        _AUTOMATA[key] = Automaton([(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: r["item_id"])], words)
     return _AUTOMATA[key]
 
 
-def item_blocks(items: list[tuple[int, str]], max_bytes: int, words: int) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of items whose patterns stay below ``max_bytes`` each."""
-    block, held = [], 0
-    for item, text in items:
-        size = (len(text or "") + 2) * words
-        if block and held + size > max_bytes:
-            yield block
-            block, held = [], 0
-        block.append((item, text))
-        held += size
-    if block:
-        yield block
-
-
-def leaked_passages(documents: DataFrame, items: DataFrame, words: int = 12, max_pattern_bytes: int = 64_000_000, max_blocks: int = 64) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, words: int = 12, max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, item_id, begin, end): stretches of a document's text that hold a passage of an item.
 
     Overlapping passages of one item are one stretch.
     """
-    spark = documents.sparkSession
-    # The held-out set itself is the bounded side: its size is checked before it is sent to the tasks.
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size * words > max_pattern_bytes * max_blocks:
-        raise ValueError(f"{size} characters of items are no held-out set; split them into several calls")
-    held_out = [(r[0], r[1]) for r in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id").collect()]
-    found = None
+    scratch = Scratch(documents.sparkSession, "items")
+    held_out = items.where("item_id is not null and text is not null").select("item_id", "text")
+    size = F.size(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{Nd}]+)"), 1))
+    held_out = scratch.cut(held_out, "items", words=F.sum(size))
+    n_blocks = max(1, -(-(measured(held_out).get("words") or 0) // max_words))
+    blocks = held_out.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).cast("int"))
+    path = scratch.cut(blocks, "blocks")._pathloom_path
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    for block in item_blocks(held_out, max_pattern_bytes, words):
-        part = docs.mapInArrow(_scanner(spark.sparkContext.broadcast(passages(block, words)), uuid.uuid4().hex), "doc_id bigint, item_id bigint, begin int, end int")
+    found = None
+    for block in range(n_blocks):
+        part = docs.mapInArrow(_scanner(path, block, words), "doc_id bigint, item_id bigint, begin int, end int")
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, begin int, end int")
+    return found
 
 
-def _scanner(patterns, key: str):
+def _scanner(path: str, block: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(patterns, key)
+        automaton = _automaton(path, block, words)
         for b in batches:
             rows: tuple[list, list, list, list] = ([], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for row in scan(doc, text, automaton):
+                for row in automaton.scan(doc, text):
                     for column, x in zip(rows, row):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "begin", "end"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "item_id", "begin", "end"])
 
     return run
-
-
-def scan(doc: int, text: str, automaton) -> list[tuple[int, int, int, int]]:
-    if not len(automaton):
-        return []
-    line, begins, spans = spaced(text)
-    stretches: dict[int, list[list[int]]] = {}
-    for last, (size, hits) in automaton.iter(line):
-        first = bisect_right(begins, last - size + 2) - 1
-        for item, n in hits:
-            begin, end = spans[first][0], spans[first + n - 1][1]
-            mine = stretches.setdefault(item, [])
-            if mine and begin <= mine[-1][1]:
-                mine[-1][1] = max(mine[-1][1], end)
-            else:
-                mine.append([begin, end])
-    return [(doc, item, b, e) for item, parts in sorted(stretches.items()) for b, e in parts]

@@ -66,15 +66,17 @@ def digest(node: Node) -> Column:
 
 
 def structure(node: Node) -> Column:
-    """The normalised record itself, with the children of unordered nodes in order."""
+    """The normalised record itself as text, the children of unordered nodes in order, whatever their kinds.
+
+    Leaves hold letters and digits only, so brackets and commas can't be part of one.
+    """
     if node.column:
         return F.col(node.column)
     parts = [structure(c) for c in node.children]
     if not node.unordered:
-        return F.struct(*(p.alias(f"c{i}") for i, p in enumerate(parts)))
-    if len(parts) == 2:
-        return F.struct(F.least(*parts).alias("c0"), F.greatest(*parts).alias("c1"))
-    return F.array_sort(F.array(*parts))
+        return F.concat(F.lit("("), F.concat_ws(",", *parts), F.lit(")"))
+    inner = F.concat_ws(",", F.array_sort(F.array(*parts))) if len(parts) != 2 else F.concat_ws(",", F.least(*parts), F.greatest(*parts))
+    return F.concat(F.lit("{"), inner, F.lit("}"))
 
 
 def fingerprints(df: DataFrame, tree: Node, record_id: str) -> DataFrame:

@@ -26,15 +26,20 @@ import base64
 import math
 import os
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.storage import Scratch
 
 BLOCK_TOKENS, BUCKET_BITS, SLOTS_PER_CHUNK, SEED = 512, 12, 1 << 16, 11
-PHI = (math.sqrt(5) - 1) / 2
+
+#: The golden ratio in 64 bits: multiples of it, modulo 2**64, are exact for any slot.
+PHI, ONE = (math.isqrt(5 << 128) - (1 << 64)) >> 1, 1 << 64
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _ENCODERS: dict[str, object] = {}
@@ -54,8 +59,10 @@ def _encoder(path: str):
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens) of whole texts; NULL texts have 0 tokens."""
 
+    documents.sparkSession.sparkContext.addFile(tokenizer)  # each executor gets its own copy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(SparkFiles.get(os.path.basename(tokenizer))).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
@@ -118,7 +125,8 @@ def schedule(spark, plan: list[dict], per_chunk: int = SLOTS_PER_CHUNK) -> DataF
     if not live:
         return spark.createDataFrame([], schema)
     total = sum(p["slots"] for p in live)
-    point = F.pmod((F.col("id") + 0.5) * PHI, F.lit(1.0))
+    whole = lambda x: F.lit(Decimal(x)).cast("decimal(20,0)")
+    point = ((F.col("id").cast("decimal(18,0)") * whole(PHI) + whole(PHI // 2)) % whole(ONE)).cast("double") / float(ONE)
     source, at = F.lit(live[-1]["source"]), 0.0
     edges = []
     for p in live:

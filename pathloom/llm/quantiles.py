@@ -10,13 +10,14 @@ probability ``1 - delta``. V travels with the sketch; with n <= 2k nothing was
 compacted and the answers are exact. A sketch holds at most 2k items per level,
 so neither a hot group nor many partial sketches need memory in proportion.
 
-``day_sketches`` sketches each partition before anything is shuffled and merges
-the partial sketches of a (group, day); ``merge_sketches`` merges days.
+``partial_sketches`` sketches each partition before anything is shuffled, with a bounded
+number of open sketches; ``merge_sketches`` merges in two levels, first the salted shares
+of a key, then those, so that no task gets all partial sketches of a hot key.
 Merging streams over sorted rows, one sketch in memory at a time.
 
 NULL and NaN values don't count. Groups without values give n = 0 and NULL
-percentiles where the caller lists them. The random start depends on the seed
-and the sketch's contents only.
+percentiles where the caller lists them. The random starts are drawn from the number of
+the partition and that of the sketch within it, so equal partitions draw their own.
 """
 
 from __future__ import annotations
@@ -27,23 +28,28 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 K = 1024
 DELTA = 0.01
 SEED = 20231
 
+#: Sketches a task holds open, values after which it hands them on, and shares of a key in the first level of merging.
+OPEN, HELD, SALTS = 20_000, 2_000_000, 16
+
 
 class Sketch:
     """Compactor hierarchy over doubles."""
 
-    __slots__ = ("levels", "n", "variance", "k")
+    __slots__ = ("levels", "n", "variance", "k", "seed", "coins")
 
-    def __init__(self, k: int = K):
+    def __init__(self, k: int = K, seed: Sequence[int] = ()):
         self.levels: list[list[np.ndarray]] = [[]]
-        self.n, self.variance, self.k = 0, 0.0, k
+        self.n, self.variance, self.k, self.seed, self.coins = 0, 0.0, k, tuple(seed), None
 
     def update(self, values: np.ndarray) -> None:
         self.n += len(values)
@@ -73,7 +79,9 @@ class Sketch:
                 a = np.sort(np.concatenate(self.levels[h]))
                 keep = a[len(a) - len(a) % 2 :]  # an odd one stays on its level
                 a = a[: len(a) - len(a) % 2]
-                start = np.random.default_rng((SEED, h, self.n, len(a))).integers(2)
+                if self.coins is None:
+                    self.coins = np.random.default_rng((SEED, *self.seed))
+                start = self.coins.integers(2)
                 self.levels[h + 1].append(a[start::2])
                 self.levels[h] = [keep] if len(keep) else []
                 self.variance += 4.0**h
@@ -108,7 +116,7 @@ def _sketch_partitions(keys: Sequence[str], arrow: Sequence[pa.DataType], value:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[tuple, Sketch] = {}
-        held = 0
+        held, begun, part_id = 0, 0, TaskContext.get().partitionId() if TaskContext.get() else 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for part in _chunks(list(open_.items()), 5_000):
@@ -130,9 +138,15 @@ def _sketch_partitions(keys: Sequence[str], arrow: Sequence[pa.DataType], value:
             values = df[value].to_numpy()[order]
             cuts = np.flatnonzero(np.diff(code[order])) + 1
             for c, part in zip(code[order][np.r_[0, cuts]] if len(code) else [], np.split(values, cuts)):
-                open_.setdefault(uniques[c], Sketch(k)).update(part)
+                if uniques[c] not in open_:
+                    if len(open_) >= OPEN:  # bounds a task's memory; sketches merge later
+                        yield from flush()
+                        held = 0
+                    begun += 1
+                    open_[uniques[c]] = Sketch(k, (0, part_id, begun))
+                open_[uniques[c]].update(part)
             held += len(values)
-            if held > 2_000_000:  # bounds a task's memory; sketches merge later
+            if held > HELD:
                 yield from flush()
                 held = 0
         yield from flush()
@@ -145,25 +159,35 @@ def _chunks(rows: list, size: int) -> Iterator[list]:
         yield rows[i : i + size]
 
 
+def partial_sketches(values: DataFrame, keys: Sequence[str], value: str, k: int = K) -> DataFrame:
+    """(keys, n, variance, sizes, items): sketches of each partition, several per key; NULL is a key like any other."""
+    df = values.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
+    schema = T.StructType([*(df.schema[c] for c in keys), *_STATE])
+    arrow = [f.type for f in to_arrow_schema(T.StructType([df.schema[c] for c in keys]))]
+    return df.mapInArrow(_sketch_partitions(keys, arrow, value, k), schema)
+
+
 def day_sketches(values: DataFrame, group: str, day: str, value: str, k: int = K) -> DataFrame:
     """(group, day, n, variance, sizes, items): one sketch per group and day; values without a day have one of their own, of day NULL."""
-    df = values.select(F.col(group), F.col(day), F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(group).isNotNull())
-    schema = T.StructType([df.schema[group], df.schema[day], *_STATE])
-    partial = df.mapInArrow(_sketch_partitions([group, day], [pa.string(), pa.date32()], value, k), schema)
-    return merge_sketches(partial, [group, day], k)
+    return merge_sketches(partial_sketches(values.where(F.col(group).isNotNull()), [group, day], value, k), [group, day], k)
 
 
-def merge_sketches(sketches: DataFrame, keys: Sequence[str], k: int = K) -> DataFrame:
-    """Merge all sketches with equal ``keys`` into one."""
+def merge_sketches(sketches: DataFrame, keys: Sequence[str], k: int = K, salts: int = SALTS) -> DataFrame:
+    """Merge all sketches with equal ``keys`` into one, in two levels."""
     schema = T.StructType([*(sketches.schema[c] for c in keys), *_STATE])
-    run = _merge_sorted(len(keys), k, lambda s: s.state())
+    if salts > 1:
+        salted = T.StructType([*schema.fields[: len(keys)], T.StructField("_salt", T.IntegerType()), *_STATE])
+        parts = sketches.withColumn("_salt", F.pmod(F.xxhash64("n", "items"), F.lit(salts)).cast("int"))
+        run = _merge_sorted(len(keys) + 1, k, lambda s: s.state(), 1)
+        sketches = _sorted(parts, [*keys, "_salt"]).mapInArrow(_to_batches(run, salted), salted)
+    run = _merge_sorted(len(keys), k, lambda s: s.state(), 2)
     return _sorted(sketches, keys).mapInArrow(_to_batches(run, schema), schema)
 
 
 def percentiles(sketches: DataFrame, keys: Sequence[str], ps: dict[str, float], k: int = K, delta: float = DELTA) -> DataFrame:
     """Percentiles per ``keys`` over all their sketches: (keys, n_values, one column per entry of ``ps``, rank_error)."""
     schema = T.StructType([*(sketches.schema[c] for c in keys), T.StructField("n_values", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ps), T.StructField("rank_error", T.DoubleType())])
-    run = _merge_sorted(len(keys), k, lambda s: (s.n, *s.quantiles(list(ps.values())), s.rank_error(delta)))
+    run = _merge_sorted(len(keys), k, lambda s: (s.n, *s.quantiles(list(ps.values())), s.rank_error(delta)), 3)
     return _sorted(sketches, keys).mapInArrow(_to_batches(run, schema), schema)
 
 
@@ -172,16 +196,18 @@ def _sorted(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sketches.select(*keys, *state).repartition(*keys).sortWithinPartitions(*keys, "n", "items")
 
 
-def _merge_sorted(n_keys: int, k: int, finish):
+def _merge_sorted(n_keys: int, k: int, finish, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        key, sketch = None, Sketch(k)
+        key, sketch, begun = None, Sketch(k), 0
+        part_id = TaskContext.get().partitionId() if TaskContext.get() else 0
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
             for row in zip(*cols):
                 if row[:n_keys] != key:
                     if key is not None:
                         yield (*key, *finish(sketch))
-                    key, sketch = row[:n_keys], Sketch(k)
+                    begun += 1
+                    key, sketch = row[:n_keys], Sketch(k, (level, part_id, begun))
                 sketch.merge(*row[n_keys:])
         if key is not None:
             yield (*key, *finish(sketch))
@@ -190,8 +216,6 @@ def _merge_sorted(n_keys: int, k: int, finish):
 
 
 def _to_batches(rows, schema: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,20 +234,25 @@ def _to_batches(rows, schema: T.StructType):
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
+def _compounds(metadata: DataFrame) -> DataFrame:
+    """(sig_id, pert_iname): of rows with equal sig_id the one with the highest row_id holds."""
+    m = metadata.where("sig_id is not null").groupBy("sig_id").agg(F.max_by("pert_iname", "row_id").alias("pert_iname"))
+    return m.where("pert_iname is not null")
+
+
 def compound_sketches(values: DataFrame, metadata: DataFrame) -> DataFrame:
     """Sketches of fold_change per pert_iname, as written, and day of measured_at.
 
-    Of metadata rows with equal sig_id the one with the highest row_id holds.
+    Values are sketched per sig_id and day where they lie; only sketches meet the metadata.
     """
-    holds = metadata.where("sig_id is not null").groupBy("sig_id").agg(F.max_by("pert_iname", "row_id").alias("pert_iname"))
     v = values.select("sig_id", F.to_date("measured_at").alias("day"), F.col("fold_change").cast("double").alias("value"))
-    v = v.where("value is not null and not isnan(value)")
-    return day_sketches(v.join(holds, "sig_id"), "pert_iname", "day", "value")
+    partial = partial_sketches(v.where("sig_id is not null"), ["sig_id", "day"], "value")
+    return merge_sketches(partial.join(_compounds(metadata), "sig_id").drop("sig_id"), ["pert_iname", "day"])
 
 
 def compound_percentiles(values: DataFrame, metadata: DataFrame) -> DataFrame:
     """(pert_iname, n_values, p05, p25, median, p75, p95, p99, rank_error) for each pert_iname that holds for a sig_id."""
     found = percentiles(compound_sketches(values, metadata), ["pert_iname"], PERCENTILES)
-    names = metadata.where("sig_id is not null").groupBy("sig_id").agg(F.max_by("pert_iname", "row_id").alias("pert_iname")).select("pert_iname").where("pert_iname is not null").distinct()
+    names = _compounds(metadata).select("pert_iname").distinct()
     out = names.join(found, "pert_iname", "left")
     return out.select("pert_iname", F.coalesce("n_values", F.lit(0)).alias("n_values"), *PERCENTILES, F.coalesce("rank_error", F.lit(0.0)).alias("rank_error"))

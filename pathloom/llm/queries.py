@@ -18,13 +18,19 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def p2_records(spark: SparkSession, sf: str) -> DataFrame:
     """One row per record with the number of its copies."""
     out = merkle.collapse(table(spark, sf, "interactions"), merkle.interaction_tree(), "interaction_id")
-    return out.select("kept_id", F.col("record.c0.c0").alias("protein_lo"), F.col("record.c0.c1").alias("protein_hi"), F.col("record.c1").alias("source_key"), "n_copies")
+    part = F.split(F.translate("record", "(){}", ""), ",")
+    return out.select("kept_id", part[0].alias("protein_lo"), part[1].alias("protein_hi"), part[2].alias("source_key"), "n_copies")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n.top_pairs(table(spark, sf, "predictions")).select("run_id", "disease", "drug_lo", "drug_hi")
 
 
+def p3_skips(spark: SparkSession, sf: str) -> DataFrame:
+    """How many row groups of the clustered table were skipped and read for ``p3_found``."""
+    return top_n.top_pairs_skips(table(spark, sf, "predictions"))
+
+
 def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.compound_percentiles(table(spark, sf, "lincs_values"), table(spark, sf, "lincs_metadata"))
 
@@ -76,7 +82,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.source_rates(p9_scores(spark, sf))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p3_found, p4_percentiles, p4_daily, p5_found, p6_found, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_skips, p4_percentiles, p4_daily, p5_found, p6_found, p7_found, p7_passages, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 _KEY = "lower(regexp_replace({}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g'))"
 _PROTEIN = "upper(regexp_replace({}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g'))"
@@ -94,7 +100,24 @@ select run_id, disease, drug_lo, drug_hi from (
     and drug_a is not null and drug_b is not null and drug_a <> drug_b group by all))
 where rk <= 10"""
 
+_VALUES = """latest as (select sig_id, max(row_id) row_id from lincs_metadata where sig_id is not null group by sig_id),
+names as (select m.sig_id, m.pert_iname from lincs_metadata m join latest l on l.sig_id = m.sig_id and l.row_id = m.row_id where m.pert_iname is not null),
+v as (select n.pert_iname, l.measured_at::date as day, l.fold_change x from lincs_values l join names n on n.sig_id = l.sig_id where l.fold_change is not null and not isnan(l.fold_change))"""
+
+_PERCENTILES = ", ".join(f"quantile_disc(x, {p}) as {c}" for c, p in quantiles.PERCENTILES.items())
+
+_GROUPS = f"""with recursive ends as materialized (select {_PROTEIN.format('protein_a')} a, {_PROTEIN.format('protein_b')} b from interactions),
+adj as materialized (select distinct a src, b dst from ends where a <> '' and b <> '' and a <> b union select distinct b, a from ends where a <> '' and b <> '' and a <> b),
+comp(node, label) using key (node) as (
+ select src, min(src) from adj group by src union
+ select a.dst, min(c.label) from comp c join adj a on a.src = c.node join recurring.comp r on r.node = a.dst where c.label < r.label group by a.dst)
+select label as group_protein, node as protein from comp where label < node"""
+
+#: Up to 2,048 values a sketch holds them all, so that at small scales the percentiles are exact and their stated error is 0.
 ORACLE: dict[str, str] = {
+    "p4_percentiles": f"with {_VALUES} select n.pert_iname, count(v.x) as n_values, {_PERCENTILES}, 0.0::double as rank_error from (select distinct pert_iname from names) n left join v using (pert_iname) group by n.pert_iname",
+    "p4_daily": f"with {_VALUES} select pert_iname, day, count(*) as n_values, {_PERCENTILES}, 0.0::double as rank_error from v group by pert_iname, day",
+    "p5_found": _GROUPS,
     "p2_found": f"with r as ({_RECORDS}) select kept_id, id as copy_id from (select id, min(id) over (partition by lo, hi, s) kept_id from r) where id > kept_id",
     "p2_records": f"with r as ({_RECORDS}) select min(id) as kept_id, lo as protein_lo, hi as protein_hi, s as source_key, count(*) as n_copies from r group by lo, hi, s",
     "p3_found": _TOP,

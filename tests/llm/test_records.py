@@ -31,6 +31,11 @@ def test_merkle_hot_group_and_nested_trees(spark):
     t = spark.createDataFrame([(1, "x", "y", "z", "w"), (2, "w", "y", "z", "x"), (3, "x", "z", "y", "w")], "id long, a string, b string, c string, d string")
     digests = {r["id"]: r["g"] for r in t.select("id", merkle.digest(tree).alias("g")).collect()}
     assert digests[1] == digests[2] != digests[3]
+    assert [tuple(r) for r in merkle.copies(t, tree, "id").collect()] == [(1, 2)]
+    assert sorted((r["kept_id"], r["n_copies"], r["record"]) for r in merkle.collapse(t, tree, "id").collect()) == [(1, 2, "{(y,z),w,x}"), (3, 1, "{(z,y),w,x}")]
+    pair = merkle.ordered(merkle.unordered(merkle.leaf("a"), merkle.unordered(merkle.leaf("b"), merkle.leaf("c"))), merkle.leaf("d"))
+    u = spark.createDataFrame([(1, "x", "y", "z", "w"), (2, "X", "Z", "Y", "w!"), (3, "y", "x", "z", "w")], "id long, a string, b string, c string, d string")
+    assert [tuple(r) for r in merkle.copies(u, pair, "id").collect()] == [(1, 2)]
 
 
 def test_merkle_collision_never_merges(spark, monkeypatch):
@@ -65,15 +70,27 @@ def test_top_skips_row_groups(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     top_n.cluster_scores(df, ["g"], ["item"], "s", path, rows_per_group=500)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    read = skipped = 0
-    for f in spark.read.parquet(path).inputFiles():
-        _, r, k = top_n.read_top(f, ["g"], ["item"], 10)
-        read, skipped = read + r, skipped + k
-    assert skipped > read > 0
+    r = top_n.skip_report(spark, path, ["g"], ["item"], 10).first()
+    assert (r["n_row_groups"], r["n_read"]) == (40, 1) and r["skipped_by_footer"] + r["skipped_in_file"] == 39
     got = [r["item"] for r in top_n.top_n(spark, path, ["g"], ["item"], 10).orderBy("rank").collect()]
     assert got == [r["item"] for r in df.orderBy(F.desc("s"), "item").limit(10).collect()]
 
 
+def test_top_skips_among_many_groups(spark):
+    """Groups of all sizes in one file: what is read must hold each group's best, and hot groups are mostly skipped."""
+    rng = random.Random(9)
+    rows = [(g, f"i{k:05d}", float(rng.randrange(40))) for g, n in (("a", 1500), ("b", 3), ("c", 900), ("d", 1), ("e", 700)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, item string, s double")
+    path = Scratch(spark, "t").path()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    top_n.cluster_scores(df, ["g"], ["item"], "s", path, rows_per_group=100)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = {(r["g"], r["item"]) for r in top_n.top_n(spark, path, ["g"], ["item"], 10).collect()}
+    want = {(g, i) for g in "abcde" for _, i in sorted((-s, i) for h, i, s in rows if h == g)[:10]}
+    r = top_n.skip_report(spark, path, ["g"], ["item"], 10).first()
+    assert got == want and r["n_read"] + r["skipped_by_footer"] + r["skipped_in_file"] == r["n_row_groups"] and r["n_read"] < 12
+
+
 def rank_gap(values, answer, p):
     """Distance of p from the ranks that ``answer`` covers in ``values``."""
     v = np.sort(values)
@@ -103,7 +120,24 @@ def test_sketch_bounds_and_merges():
     assert quantiles.Sketch().quantiles([0.5]) == [None]
 
 
-def test_percentiles_against_exact(spark):
+def test_equal_partitions_draw_their_own_coins():
+    v = np.arange(5_000.0)
+    states = []
+    for part in range(8):
+        s = quantiles.Sketch(k=64, seed=(0, part, 1))
+        s.update(v)
+        states.append(s.state()[3])
+    assert len(set(states)) > 1
+
+
+@pytest.mark.parametrize("k, open_", [(1024, 20_000), (64, 20_000), (64, 2)])
+def test_percentiles_against_exact(spark, monkeypatch, k, open_):
+    """With sketches of all values, with small ones, and with more keys than a task may hold open."""
+    monkeypatch.setattr(quantiles.day_sketches, "__defaults__", (k,))
+    monkeypatch.setattr(quantiles.partial_sketches, "__defaults__", (k,))
+    monkeypatch.setattr(quantiles.merge_sketches, "__defaults__", (k, quantiles.SALTS))
+    monkeypatch.setattr(quantiles.percentiles, "__defaults__", (k, quantiles.DELTA))
+    monkeypatch.setattr(quantiles, "OPEN", open_)
     rng = np.random.default_rng(4)
     n = 30_000
     df = pd.DataFrame({"sig_id": [f"s{i}" for i in rng.integers(0, 12, n)], "fold_change": rng.normal(size=n), "measured_at": pd.Timestamp("2023-01-01") + pd.to_timedelta(rng.integers(0, 40, n), "D")})
@@ -198,6 +232,21 @@ def test_values_without_a_day_count(spark):
     assert sorted((str(r["day"]), r["n_values"]) for r in days) == [("2024-01-01", 15), ("2024-01-02", 15), ("None", 60)]
 
 
+def test_repairs_are_all_pairs_within_the_distance(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(2, 9))) for _ in range(60)] + ["ab1", "ab2"]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "token string, vocab string").distinct()
+    got = {(r["token"], r["vocab"]): r["d"] for r in canonical.repairs_within(pairs).collect()}
+    digit = lambda w: any(c.isdigit() for c in w)
+    want = {(a, b): d for a in words for b in words if (d := canonical.distance(a, b)) == 0 or (d <= canonical.allowed(len(b)) and not digit(a) and not digit(b))}
+    assert got == want
+
+
+def test_roman_numerals_are_numbers(spark):
+    t = spark.createDataFrame([("type ii, class xiv vi ix iiii mix x v",)], "t string").select(canonical.tokens(F.col("t"))).first()[0]
+    assert t == ["type", "2", "class", "xiv", "6", "9", "iiii", "mix", "x", "5"]
+
+
 def test_long_words_share_a_key():
     rng = np.random.default_rng(8)
     for _ in range(3_000):

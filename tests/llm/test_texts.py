@@ -42,10 +42,8 @@ def test_passages_in_blocks(spark):
     items = spark.createDataFrame([(k, " ".join(WORDS[k : k + 14])) for k in range(0, 200, 20)], "item_id long, text string")
     docs = spark.createDataFrame([(k, "start " + " ".join(WORDS[k : k + 13]) + " end") for k in range(0, 200, 20)], "doc_id long, text string")
     one = contamination.leaked_passages(docs, items).select("doc_id", "item_id").collect()
-    many = contamination.leaked_passages(docs, items, max_pattern_bytes=2_000).select("doc_id", "item_id").collect()
+    many = contamination.leaked_passages(docs, items, max_words=30).select("doc_id", "item_id").collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many)) == [(k, k) for k in range(0, 200, 20)]
-    with pytest.raises(ValueError):
-        contamination.leaked_passages(docs, items, max_pattern_bytes=2, max_blocks=1)
     assert contamination.leaked_passages(docs, items.where("false")).count() == 0
 
 
