@@ -38,7 +38,7 @@ def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 def p4_daily(spark: SparkSession, sf: str) -> DataFrame:
     """The same percentiles for each day alone."""
     s = quantiles.compound_sketches(table(spark, sf, "lincs_values"), table(spark, sf, "lincs_metadata"))
-    return quantiles.percentiles(s, ["pert_iname", "day"], quantiles.PERCENTILES)
+    return quantiles.percentiles(s, ["pert_iname", "day"], quantiles.PERCENTILES).withColumn("day", F.col("day").cast("string"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +116,7 @@ select label as group_protein, node as protein from comp where label < node"""
 #: Up to 2,048 values a sketch holds them all, so that at small scales the percentiles are exact and their stated error is 0.
 ORACLE: dict[str, str] = {
     "p4_percentiles": f"with {_VALUES} select n.pert_iname, count(v.x) as n_values, {_PERCENTILES}, 0.0::double as rank_error from (select distinct pert_iname from names) n left join v using (pert_iname) group by n.pert_iname",
-    "p4_daily": f"with {_VALUES} select pert_iname, day, count(*) as n_values, {_PERCENTILES}, 0.0::double as rank_error from v group by pert_iname, day",
+    "p4_daily": f"with {_VALUES} select pert_iname, day::varchar as day, count(*) as n_values, {_PERCENTILES}, 0.0::double as rank_error from v group by pert_iname, day",
     "p5_found": _GROUPS,
     "p2_found": f"with r as ({_RECORDS}) select kept_id, id as copy_id from (select id, min(id) over (partition by lo, hi, s) kept_id from r) where id > kept_id",
     "p2_records": f"with r as ({_RECORDS}) select min(id) as kept_id, lo as protein_lo, hi as protein_hi, s as source_key, count(*) as n_copies from r group by lo, hi, s",
