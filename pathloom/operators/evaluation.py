@@ -63,20 +63,43 @@ def areas(scored: DataFrame, keys: Sequence[str], score: str = "score", label: s
     return g.select(*keys, "n", "n_positive", F.when(both, F.try_divide("wins", F.col("n_positive").cast("double") * F.col("n_negative"))).alias("auc_roc"), F.when(both, F.try_divide("ap", F.col("n_positive").cast("double"))).alias("auc_pr"))
 
 
+def _corners(t: DataFrame, keys: Sequence[str], ranges: int = 64) -> DataFrame:
+    """Thresholds at which a ROC curve turns, and the last ones: the counts of the next lower threshold differ.
+
+    The next threshold of the last one in a range of scores is the first of the next range,
+    so no task orders a whole key.
+    """
+    cuts = t.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
+    d = t.crossJoin(cuts).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")  # one row of cuts
+    step = F.struct("tp", "fp")
+    firsts = d.groupBy(*keys, "range").agg(F.max_by(step, "score").alias("first"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("range"))
+    firsts = firsts.select(*keys, "range", F.lead("first").over(down).alias("after"))
+    within = Window.partitionBy(*keys, "range").orderBy(F.desc("score"))
+    d = d.withColumn("next", F.lead(step).over(within)).join(firsts, [*keys, "range"])
+    return d.where(~F.coalesce(F.coalesce("next", "after") == step, F.lit(False))).drop("range", "next", "after")
+
+
 def roc_curve(scored: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
-    """(keys, threshold, fpr, tpr) for each distinct score; collinear points are kept, (0, 0) is implied."""
-    t = thresholds(scored, keys, score, label)
+    """(keys, threshold, fpr, tpr) from (0, 0) at threshold infinity; points on a straight line between others are left out."""
+    t = Scratch(scored.sparkSession, "roc").cut(thresholds(scored, keys, score, label), "thresholds")
     n = t.groupBy(*keys).agg(F.sum("tp").alias("p"), F.sum("fp").alias("q"))
-    j = t.join(n, list(keys)) if keys else t.crossJoin(n)  # one row of totals
-    return j.select(*keys, F.col("score").alias("threshold"), F.try_divide("c_fp", "q").alias("fpr"), F.try_divide("c_tp", "p").alias("tpr"))
+    c = _corners(t, keys)
+    j = c.join(n, list(keys)) if keys else c.crossJoin(n)  # one row of totals
+    out = j.select(*keys, F.col("score").alias("threshold"), F.try_divide("c_fp", "q").alias("fpr"), F.try_divide("c_tp", "p").alias("tpr"))
+    zero = F.lit(0.0)
+    start = n.select(*keys, F.lit(float("inf")).alias("threshold"), F.when(F.col("q") > 0, zero).alias("fpr"), F.when(F.col("p") > 0, zero).alias("tpr"))
+    return out.unionByName(start)
 
 
 def pr_curve(scored: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
-    """(keys, threshold, precision, recall) for each distinct score; (1, 0) is implied."""
+    """(keys, threshold, precision, recall) for each distinct score, and (1, 0) without a threshold."""
     t = thresholds(scored, keys, score, label)
     n = t.groupBy(*keys).agg(F.sum("tp").alias("p"))
     j = t.join(n, list(keys)) if keys else t.crossJoin(n)  # one row of totals
-    return j.select(*keys, F.col("score").alias("threshold"), (F.col("c_tp") / (F.col("c_tp") + F.col("c_fp"))).alias("precision"), F.try_divide("c_tp", "p").alias("recall"))
+    out = j.select(*keys, F.col("score").alias("threshold"), (F.col("c_tp") / (F.col("c_tp") + F.col("c_fp"))).alias("precision"), F.try_divide("c_tp", "p").alias("recall"))
+    end = n.select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.when(F.col("p") > 0, 0.0).alias("recall"))
+    return out.unionByName(end)
 
 
 def label_pairs(predictions: DataFrame, known: DataFrame) -> DataFrame:

@@ -17,16 +17,18 @@ def require_columns(df: DataFrame, columns: Sequence[str], what: str) -> None:
         raise KeyError(f"{what} lacks {missing}; it has {df.columns}")
 
 
-def histogram(df: DataFrame, value: str, bins: int, log: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+def histogram(df: DataFrame, value: str, bins: int, log: bool = False, keys: Sequence[str] = (), least: float | None = None) -> DataFrame:
     """(keys, bin, lo, hi, n): equal bins (in log10 with ``log``) from least to largest value, the last one closed.
 
-    A single distinct value v gives bins over [v - 0.5, v + 0.5]. NULL, NaN and, with
+    ``least`` takes the place of the least value, and must not be above it. A single distinct value v gives bins over [v - 0.5, v + 0.5]. NULL, NaN and, with
     ``log``, values below or at 0 are left out. Empty bins are not listed.
     """
     ok = df.where(valid(value)).select(*keys, F.col(value).cast("double").alias("v"))
     if log:
         ok = ok.where("v > 0").withColumn("v", F.log10("v"))
     span = ok.groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    if least is not None:
+        span = span.withColumn("a", F.log10(F.lit(least)) if log else F.lit(least))
     flat = F.col("a") == F.col("b")
     span = span.select(*keys, F.when(flat, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(flat, F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
     j = ok.join(span, list(keys)) if keys else ok.crossJoin(span)  # one row of bounds
@@ -37,6 +39,19 @@ def histogram(df: DataFrame, value: str, bins: int, log: bool = False, keys: Seq
     return g.select(*keys, "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), "n")
 
 
+def degree_histogram(degrees: DataFrame, log: bool = True) -> DataFrame:
+    """(bin, lo, hi, n) of ``degrees(gene, degree)``: 49 bins in log10 from degree 1, or 50 equal ones, isolated nodes included.
+
+    No nodes at all are refused, and with ``log`` none but isolated ones, too.
+    """
+    r = degrees.agg(F.count("*").alias("n"), F.max("degree").alias("top")).first()
+    if not r["n"]:
+        raise ValueError("a graph without nodes has no degrees")
+    if log and not r["top"]:
+        raise ValueError("isolated nodes only: nothing can stand on a logarithmic axis")
+    return histogram(degrees, "degree", 49, log=True, least=1.0) if log else histogram(degrees, "degree", 50)
+
+
 def score_histograms(predictions: DataFrame, bins: int = 30) -> DataFrame:
     """Histograms of T, P and C; a missing component is tolerated, all three missing are not."""
     have = [c for c in COMPONENTS if c in predictions.columns]
@@ -64,5 +79,10 @@ def stacked_top(predictions: DataFrame, k: int = 20) -> DataFrame:
 
 
 def auc_comparison(evaluation: DataFrame) -> DataFrame:
-    """(disease, metric, value) of both areas; diseases without one keep a NULL."""
+    """(disease, metric, value) of both areas; diseases without one keep a NULL. No rows and missing metrics are refused."""
+    if missing := [m for m in ("auc_roc", "auc_pr") if m not in evaluation.columns]:
+        some = [r[0] for r in evaluation.select("disease").orderBy("disease").limit(5).collect()]
+        raise KeyError(f"no {missing} for {some}")
+    if evaluation.isEmpty():
+        raise ValueError("no results to compare")
     return evaluation.select("disease", "auc_roc", "auc_pr").unpivot(["disease"], ["auc_roc", "auc_pr"], "metric", "value")

@@ -20,11 +20,19 @@ def _check(scope: str) -> None:
         raise ValueError(f"unknown from_type {scope!r}; one of {SCOPES}")
 
 
-def to_symbols(ids: DataFrame, id_map: DataFrame, from_type: str = "auto") -> DataFrame:
-    """``ids(pos, id)`` with ``symbol``, position kept; unmapped ids have a NULL symbol."""
+def to_symbols(ids: DataFrame, id_map: DataFrame, from_type: str = "auto", hgnc: DataFrame | None = None) -> DataFrame:
+    """``ids(pos, id)`` with ``symbol``, position kept; unmapped ids have a NULL symbol.
+
+    For the scopes auto and symbol an id that no row of ``id_map`` answers and that is a
+    symbol of ``hgnc(symbol)`` stands for itself.
+    """
     _check(from_type)
-    m = id_map.where(F.col("from_type") == from_type).groupBy("id").agg(F.max("symbol").alias("symbol"))
-    return ids.join(m, "id", "left").select("pos", "id", "symbol")
+    m = id_map.where(F.col("from_type") == from_type).groupBy("id").agg(F.max("symbol").alias("symbol"), F.lit(True).alias("_asked"))
+    out = ids.join(m, "id", "left")
+    if hgnc is not None and from_type in ("auto", "symbol"):
+        own = hgnc.select(F.col("symbol").alias("id"), F.col("symbol").alias("_own")).where("id is not null").distinct()
+        out = out.join(own, "id", "left").withColumn("symbol", F.when(F.col("_asked").isNull(), F.col("_own")).otherwise(F.col("symbol")))
+    return out.select("pos", "id", "symbol")
 
 
 def first_hits(hits: DataFrame) -> DataFrame:
@@ -54,7 +62,16 @@ def batch_convert(ids: DataFrame, hits: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(last, "id")
 
 
-def to_entrez(symbols: DataFrame, hgnc: DataFrame) -> DataFrame:
-    """``symbols(pos, symbol)`` with ``entrez_id``; of repeated symbols in ``hgnc(row, symbol, entrez_id)`` the last row holds."""
-    h = hgnc.groupBy("symbol").agg(F.max_by("entrez_id", "row").alias("entrez_id"))
-    return symbols.join(h, "symbol", "left").select("pos", "symbol", F.col("entrez_id").try_cast("bigint").alias("entrez_id"))
+def to_entrez(symbols: DataFrame, hgnc: DataFrame, lookup: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``symbols(pos, symbol)`` with ``entrez_id``; of repeated symbols in ``hgnc(row, symbol, entrez_id)`` the last row holds.
+
+    Symbols without an id there go to ``lookup`` in one batch, (symbol) to hits (symbol,
+    hit_rank, entrez_id); the first hit with an id wins.
+    """
+    h = hgnc.groupBy("symbol").agg(F.max_by("entrez_id", "row").try_cast("bigint").alias("entrez_id"))
+    out = symbols.join(h, "symbol", "left")
+    if lookup is not None:
+        missing = out.where("entrez_id is null and symbol is not null").select("symbol").distinct()
+        hits = lookup(missing).groupBy("symbol").agg(F.min_by("entrez_id", F.when(F.col("entrez_id").isNotNull(), F.col("hit_rank"))).try_cast("bigint").alias("_found"))
+        out = out.join(hits, "symbol", "left").withColumn("entrez_id", F.coalesce("entrez_id", "_found"))
+    return out.select("pos", "symbol", "entrez_id")

@@ -9,12 +9,12 @@ from pathloom.sources.tables import table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return field_changes(ingest(table(spark, sf, "lincs_meta_raw"), LINCS_TARGETS, provenance=True))
+    return field_changes(ingest(table(spark, sf, "lincs_meta_raw"), LINCS_TARGETS), LINCS_TARGETS)
 
 
 def p1_table(spark: SparkSession, sf: str) -> DataFrame:
     """All files in one consistent table; what fits no column stays in ``_rescued``."""
-    return replay(ingest(table(spark, sf, "lincs_meta_raw"), LINCS_TARGETS), LINCS_PROMOTED)
+    return replay(ingest(table(spark, sf, "lincs_meta_raw"), LINCS_TARGETS), LINCS_PROMOTED, LINCS_TARGETS)
 
 
 QUERIES = {"p1_found": p1_found, "p1_table": p1_table}

@@ -429,14 +429,18 @@ def evaluate(spark, sf):
     return evaluation.report(e)
 
 
-@query(f"with {_EVAL} select disease, score as threshold, {r6('cfp / q::double')} as fpr, {r6('ctp / p::double')} as tpr from cu where p > 0 and q > 0")
+@query(
+    f"""with {_EVAL}, nx as (select *, lead(tp) over w ntp, lead(fp) over w nfp from cu where p > 0 and q > 0 window w as (partition by disease order by score desc))
+select disease, score as threshold, {r6('cfp / q::double')} as fpr, {r6('ctp / p::double')} as tpr from nx where ntp is null or ntp <> tp or nfp <> fp
+union all select distinct disease, 'inf'::double, 0.0::double, 0.0::double from cu where p > 0 and q > 0"""
+)
 def roc_curve(spark, sf):
     s = evaluation.label_pairs(domain.predictions(spark, sf), domain.known(spark, sf))
     r = evaluation.roc_curve(s, ["disease"], "prediction_score")
     return r.where("fpr is not null and tpr is not null").select("disease", "threshold", tidy(F.col("fpr")).alias("fpr"), tidy(F.col("tpr")).alias("tpr"))
 
 
-@query(f"with {_EVAL} select disease, score as threshold, {r6('ctp / (ctp + cfp)::double')} as precision, {r6('ctp / p::double')} as recall from cu where p > 0")
+@query(f"with {_EVAL} select disease, score as threshold, {r6('ctp / (ctp + cfp)::double')} as precision, {r6('ctp / p::double')} as recall from cu where p > 0 union all select distinct disease, null::double, 1.0::double, 0.0::double from cu where p > 0")
 def pr_curve(spark, sf):
     s = evaluation.label_pairs(domain.predictions(spark, sf), domain.known(spark, sf))
     r = evaluation.pr_curve(s, ["disease"], "prediction_score")
@@ -588,14 +592,23 @@ def _tidy_bins(h: DataFrame) -> DataFrame:
     return h.withColumns({"lo": tidy(F.col("lo")), "hi": tidy(F.col("hi"))})
 
 
-@query(f"with {ENDS}, dg as (select src, count(*) degree from adj group by src), {_hist_sql('dg', 'degree', 49, True)}")
+def _all_degrees(spark, sf) -> DataFrame:
+    """Degrees of all genes of the interaction table, those without an edge included."""
+    ends = table(spark, sf, "interactions").select(F.explode(F.array(symbol_key("protein_a"), symbol_key("protein_b"))).alias("gene"))
+    return graph.degrees(domain.edges(spark, sf)).join(ends.where("gene is not null").distinct(), "gene", "right").fillna(0, ["degree"])
+
+
+_DEGREES = "dg as (select g.gene, count(adj.src) degree from (select a gene from ends where a is not null union select b from ends where b is not null) g left join adj on adj.src = g.gene group by g.gene)"
+
+
+@query(f"with {ENDS}, {_DEGREES}, lg as (select degree from dg where degree > 0), {_hist_sql('lg', 'degree', 49, True).replace('select min(v) a', 'select 0.0::double a')}")
 def degree_hist_log(spark, sf):
-    return _tidy_bins(figures.histogram(graph.degrees(domain.edges(spark, sf)), "degree", 49, log=True))
+    return _tidy_bins(figures.degree_histogram(_all_degrees(spark, sf)))
 
 
-@query(f"with {ENDS}, dg as (select src, count(*) degree from adj group by src), {_hist_sql('dg', 'degree', 50, False)}")
+@query(f"with {ENDS}, {_DEGREES}, {_hist_sql('dg', 'degree', 50, False)}")
 def degree_hist_linear(spark, sf):
-    return _tidy_bins(figures.histogram(graph.degrees(domain.edges(spark, sf)), "degree", 50))
+    return _tidy_bins(figures.degree_histogram(_all_degrees(spark, sf), log=False))
 
 
 @query(

@@ -6,13 +6,16 @@ ids such as 672 must stay strings; numbers are cast where they are numbers.
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+log = logging.getLogger(__name__)
+
 INTERACTIONS = T.StructType([T.StructField(c, T.StringType()) for c in ("protein_a", "protein_b", "source", "interaction_type")])
 
 #: Names that a metadata file may give these columns, in order of preference.
@@ -28,6 +31,12 @@ def detect_column(df: DataFrame, candidates: Sequence[str], what: str) -> str:
     raise KeyError(f"no column for {what}: tried {list(candidates)}, found {df.columns}")
 
 
+def file_order() -> Column:
+    """Where a row stands in its files: file, split of the file, row within the split."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return F.struct(at.alias("split"), F.monotonically_increasing_id().alias("row"))
+
+
 def _delimited(spark: SparkSession, path: str, sep: str = "\t", comment: str | None = None) -> DataFrame:
     r = spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
     return (r.option("comment", comment) if comment else r).csv(path)
@@ -53,11 +62,15 @@ def read_corum(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_phosphosite(spark: SparkSession, path: str, skip: int = 3) -> DataFrame:
-    """Human kinase and substrate pairs; the first ``skip`` lines are a notice."""
-    lines = spark.read.text(path).rdd.zipWithIndex().filter(lambda r: r[1] >= skip).map(lambda r: r[0][0])  # line numbers need the RDD
-    df = spark.read.option("header", True).option("sep", "\t").csv(lines)
-    df = df.where((F.col("KIN_ORGANISM") == "human") & (F.col("SUB_ORGANISM") == "human")).select(F.col("KINASE").alias("protein_a"), F.col("SUBSTRATE").alias("protein_b"))
-    return _with_constants(df, "PhosphoSitePlus", "phosphorylation").distinct()
+    """Human kinase and substrate pairs; the first ``skip`` lines are a notice, the next one the header."""
+    lines = spark.read.text(path)
+    head = [r[0] for r in lines.limit(skip + 1).collect()]
+    if len(head) <= skip:
+        return spark.createDataFrame([], INTERACTIONS)
+    header = head[skip].split("\t")
+    cell = lambda name: F.get(F.split("value", "\t"), header.index(name))
+    body = lines.where(~F.col("value").isin(head)).where((cell("KIN_ORGANISM") == "human") & (cell("SUB_ORGANISM") == "human"))
+    return _with_constants(body.select(cell("KINASE").alias("protein_a"), cell("SUBSTRATE").alias("protein_b")), "PhosphoSitePlus", "phosphorylation").distinct()
 
 
 def read_kegg_rpair(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +82,9 @@ INTERACTION_READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"hur
 
 
 def read_interactions(spark: SparkSession, files: dict[str, str]) -> dict[str, DataFrame]:
-    """Source name -> table; unknown sources are skipped."""
+    """Source name -> table; unknown sources are skipped with a warning."""
+    if unknown := [s for s in files if s.lower() not in INTERACTION_READERS]:
+        log.warning("no reader for %s; known sources: %s", unknown, sorted(INTERACTION_READERS))
     return {s: INTERACTION_READERS[s.lower()](spark, p) for s, p in files.items() if s.lower() in INTERACTION_READERS}
 
 
@@ -91,7 +106,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, sig_id, pert_iname), columns detected by name, ``row_id`` in file order."""
     df = _delimited(spark, path)
     s, c = detect_column(df, SIGNATURE_ID_NAMES, "signature id"), detect_column(df, COMPOUND_NAMES, "compound name")
-    return df.select(F.monotonically_increasing_id().alias("row_id"), F.col(s).alias("sig_id"), F.col(c).alias("pert_iname"))
+    return df.select(file_order().alias("row_id"), F.col(s).alias("sig_id"), F.col(c).alias("pert_iname"))
 
 
 def read_lincs(spark: SparkSession, signatures: str, metadata: str, top_pct: float = 0.05, method: str = "median") -> DataFrame:
@@ -111,9 +126,9 @@ def read_lincs(spark: SparkSession, signatures: str, metadata: str, top_pct: flo
 
 def read_hgnc(spark: SparkSession, path: str) -> DataFrame:
     """(row, symbol, entrez_id); a missing file gives an empty table."""
-    if not os.path.exists(path.removeprefix("file://")) and "://" not in path:
+    if "://" not in path and not os.path.exists(path):
         return spark.createDataFrame([], "row bigint, symbol string, entrez_id bigint")
-    return _delimited(spark, path).select(F.monotonically_increasing_id().alias("row"), "symbol", F.col("entrez_id").try_cast("bigint").alias("entrez_id"))
+    return _delimited(spark, path).select(file_order().alias("row"), "symbol", F.col("entrez_id").try_cast("bigint").alias("entrez_id"))
 
 
 def read_known_pairs(spark: SparkSession, path: str, disease: str | None = None) -> DataFrame:
@@ -160,3 +175,34 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     else:
         raise ValueError(f"unknown graph format of {path!r}")
     return pairs.select(F.least("a", "b").alias("gene_a"), F.greatest("a", "b").alias("gene_b"))
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_predictions`` wrote; nothing there gives an empty table with a warning."""
+    from pyspark.errors import AnalysisException
+
+    schema = "drug_a string, drug_b string, tqab double, pqab double, cqab double, prediction_score double, topology_class string, pqa double, pqb double, cqa double, cqb double, disease string"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        log.warning("no predictions at %s", path)
+        return spark.createDataFrame([], schema)
+
+
+def read_symbol_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(id, from_type, symbol) of a JSON object of symbols by id, one object a line; NULL means looked up and not found.
+
+    A missing or unreadable cache gives an empty table with a warning.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
+        log.warning("no symbol cache at %s", path)
+        return spark.createDataFrame([], "id string, from_type string, symbol string")
+    o = lines.where("trim(value) <> ''").select(F.from_json("value", "map<string,string>").alias("o"))
+    if not o.where("o is null").isEmpty():
+        log.warning("the symbol cache at %s is corrupt and ignored", path)
+        o = o.where("false")
+    return o.select(F.explode("o").alias("id", "symbol")).select("id", F.lit("auto").alias("from_type"), "symbol")

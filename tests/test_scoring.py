@@ -181,6 +181,42 @@ def test_histogram_and_stack(spark):
         figures.stacked_top(p.drop("tqab"))
 
 
+def test_curves_have_ends_and_corners(spark):
+    rows = [("a", 5.0, 1), ("a", 4.0, 1), ("a", 3.0, 1), ("a", 2.0, 0), ("a", 1.0, 0), ("a", 0.5, 1), ("one", 1.0, 1)]
+    df = spark.createDataFrame(rows, "k string, score double, label int")
+    r = sorted((x["threshold"], x["fpr"], x["tpr"]) for x in evaluation.roc_curve(df, ["k"]).where("k = 'a'").collect())
+    assert r == [(0.5, 1.0, 1.0), (1.0, 1.0, 0.75), (3.0, 0.0, 0.75), (float("inf"), 0.0, 0.0)]
+    p = [(x["threshold"], x["precision"], x["recall"]) for x in evaluation.pr_curve(df, ["k"]).where("k = 'a'").orderBy("threshold").collect()]
+    assert p[0] == (None, 1.0, 0.0) and p[-1] == (5.0, 1.0, 0.25) and len(p) == 7
+
+
+def test_degree_histogram_and_comparison(spark):
+    d = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1), ("d", 100)], "gene string, degree long")
+    log = sorted(map(tuple, figures.degree_histogram(d).collect()))
+    assert [(r[0], r[3]) for r in log] == [(0, 2), (48, 1)] and log[0][1] == pytest.approx(1.0)
+    assert sum(r["n"] for r in figures.degree_histogram(d, log=False).collect()) == 4
+    with pytest.raises(ValueError):
+        figures.degree_histogram(d.where("false"), log=False)
+    with pytest.raises(ValueError):
+        figures.degree_histogram(d.where("degree = 0"))
+    e = spark.createDataFrame([("asthma", 0.5)], "disease string, auc_roc double")
+    with pytest.raises(KeyError, match="auc_pr.*asthma"):
+        figures.auc_comparison(e)
+    with pytest.raises(ValueError):
+        figures.auc_comparison(e.withColumn("auc_pr", F.lit(1.0)).where("false"))
+
+
+def test_entrez_and_shortcut(spark):
+    s = spark.createDataFrame([(0, "TP53"), (1, "NEW"), (2, "LOST"), (3, None)], "pos int, symbol string")
+    h = spark.createDataFrame([(0, "TP53", 1), (1, "TP53", 7157)], "row int, symbol string, entrez_id long")
+    hits = spark.createDataFrame([("NEW", 0, None), ("NEW", 1, 9), ("NEW", 2, 8)], "symbol string, hit_rank int, entrez_id long")
+    got = {r["pos"]: r["entrez_id"] for r in idmap.to_entrez(s, h, lambda m: m.join(hits, "symbol")).collect()}
+    assert got == {0: 7157, 1: 9, 2: None, 3: None}
+    ids, m = s.withColumnRenamed("symbol", "id"), spark.createDataFrame([("NEW", "auto", None)], "id string, from_type string, symbol string")
+    got = {r["pos"]: r["symbol"] for r in idmap.to_symbols(ids, m, hgnc=h).collect()}
+    assert got == {0: "TP53", 1: None, 2: None, 3: None}
+
+
 def test_idmap(spark):
     m = spark.createDataFrame([("672", "auto", "BRCA1"), ("X", "auto", None)], "id string, from_type string, symbol string")
     ids = spark.createDataFrame([(0, "672"), (1, "X"), (2, "AMBIG"), (3, "672")], "pos int, id string")

@@ -1,7 +1,7 @@
 import pytest
 
 from pathloom.config import Config, load_config, merge_configs, save_config
-from pathloom.operators.graph import simple_edges, union_sources
+from pathloom.operators.graph import last_by, simple_edges, union_sources
 from pathloom.sources import formats, sinks
 
 
@@ -49,16 +49,37 @@ def test_other_files(spark, tmp_path):
 
 def test_graph_round_trip(spark, tmp_path):
     e = spark.createDataFrame([("A", "B"), ("B", "C")], "gene_a string, gene_b string")
-    for kind in ("parquet", "edgelist"):
+    for kind in ("parquet", "edgelist", "graphml"):
         sinks.write_graph(e, str(tmp_path / f"g.{kind}"))
         assert sorted(map(tuple, formats.read_graph(spark, str(tmp_path / f"g.{kind}")).collect())) == [("A", "B"), ("B", "C")]
-    xml = write(tmp_path, "g.graphml", '<graphml><graph><edge source="B" target="A"/><edge source="B" target="C"><data key="d">1</data></edge></graph></graphml>')
+    xml = write(tmp_path, "h.graphml", '<graphml><graph><edge source="B" target="A"/><edge source="B" target="C"><data key="d">1</data></edge></graph></graphml>')
     assert sorted(map(tuple, formats.read_graph(spark, xml).collect())) == [("A", "B"), ("B", "C")]
     for bad in (lambda: formats.read_graph(spark, "g.txt"), lambda: sinks.write_graph(e, "g.txt")):
         with pytest.raises(ValueError):
             bad()
 
 
+def test_rows_of_files_in_order(spark, tmp_path):
+    """The last row holds over the order of files and of rows in them, however many tasks read them."""
+    d = tmp_path / "meta.tsv"
+    d.mkdir()
+    for k in range(6):
+        (d / f"part-{k}.tsv").write_text("sig_id\tpert_iname\n" + "".join(f"s{i}\tname{k}\n" for i in range(50 + k)))
+    rows = formats.read_metadata(spark, str(d))
+    last = {r["sig_id"]: r["pert_iname"] for r in last_by(rows, "sig_id", "row_id").collect()}
+    assert all(last[f"s{i}"] == "name5" for i in range(55)) and len(last) == 55
+
+
+def test_symbol_cache_and_predictions(spark, tmp_path):
+    m = spark.createDataFrame([("672", "auto", "BRCA1"), ('a"b', "auto", None), ("[x]", "auto", "X")], "id string, from_type string, symbol string")
+    sinks.write_symbol_cache(m, str(tmp_path / "cache.json"))
+    assert sorted(map(tuple, formats.read_symbol_cache(spark, str(tmp_path / "cache.json")).collect())) == sorted(map(tuple, m.collect()))
+    assert formats.read_symbol_cache(spark, str(tmp_path / "none.json")).count() == 0
+    assert formats.read_symbol_cache(spark, write(tmp_path, "bad.json", "{not json")).count() == 0
+    assert formats.read_predictions(spark, str(tmp_path / "none")).count() == 0
+    assert formats.read_phosphosite(spark, write(tmp_path, "short.txt", "n1\nn2\n")).count() == 0
+
+
 def test_config(tmp_path):
     pytest.importorskip("yaml")
     with pytest.raises(FileNotFoundError):
