@@ -6,7 +6,8 @@ deletions, substitutions, swaps of neighbours), through the strings that remain
 when up to two letters are deleted from either, or for words over ``LONG`` letters through one of five pieces,
 so the join is an equi-join and finds every pair within the distance. Split and glued words are repaired through
 joined neighbours on either side, and an abbreviation with a full stop through
-the one word that it begins. Corrected tokens are combined by soft TF-IDF:
+the one word that it begins; contractions that keep a word's ending are learnt from the
+values in which nothing else is missing. Corrected tokens are combined by soft TF-IDF:
 
     score = sum(idf^2 * sim) / sqrt(sum of idf^2 of the entry * sum of idf^2 of the value)
 
@@ -158,6 +159,30 @@ def reference_names(ref: DataFrame, ref_id: str, name: str, synonyms: str) -> Da
     return alt.select(F.xxhash64("ref_id", "text").alias("name_id"), "ref_id", "text")
 
 
+def contractions(v_tok: DataFrame, repairs: DataFrame, vocab: DataFrame, n_tok: DataFrame) -> DataFrame:
+    """(token, vocab, sim): contractions such as "2ry" for "secondary", learnt from the values.
+
+    A token without a repair may stand for a longer word with its last two letters. It does
+    if there are values in which this very word is all that an entry lacks, and no other
+    word is at least a quarter as often.
+    """
+    last = lambda c: F.substring(c, -2, 2)
+    odd = v_tok.where("span = 1 and length(token) > 2").select("token").distinct().join(repairs, "token", "left_anti")
+    words = n_tok.select(F.col("token").alias("word")).distinct().where("not word rlike '[0-9]'")
+    maybe = odd.join(words, last("token") == last("word")).where("length(word) > length(token) and token rlike '[a-z]'")
+    asked = v_tok.where("span = 1").join(maybe, "token").select("value", "token", "word")
+    wanted = asked.join(n_tok.select(F.col("token").alias("word"), "name_id", F.col("etok").alias("lacks")), "word")
+    got = v_tok.join(asked.select("value").distinct(), "value", "left_semi").join(repairs, "token").join(vocab, "vocab")
+    got = got.groupBy("value", "name_id").agg(F.collect_set("etok").alias("got"))  # an entry's tokens
+    sizes = n_tok.groupBy("name_id").agg(F.count("*").alias("size")).where("size > 1")
+    full = wanted.join(got, ["value", "name_id"]).join(sizes, "name_id").where("size(got) = size - 1 and not array_contains(got, lacks)")
+    most = full.groupBy("token", "value").agg(F.max("size").alias("size"))  # the longest entry is the one meant
+    full = full.join(most, ["token", "value", "size"], "left_semi")
+    votes = full.groupBy("token", "word").agg(F.countDistinct("value").alias("n"))
+    best = votes.groupBy("token").agg(F.max_by("word", "n").alias("vocab"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    return best.where("5 * n > 4 * all").select("token", "vocab", F.lit(0.97).alias("sim"))
+
+
 def map_values(values: DataFrame, names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(value, ref_id, score) for each distinct ``value``; ref_id 0 where no entry reaches ``threshold``.
 
@@ -194,6 +219,8 @@ def map_values(values: DataFrame, names: DataFrame, threshold: float = THRESHOLD
     heads = heads.select("vocab", F.explode(F.sequence(F.lit(2), F.length("vocab") - 1)).alias("n")).select("vocab", F.expr("substring(vocab, 1, n)").alias("token"))
     short = dotted.join(heads, "token").groupBy("token").agg(F.min("vocab").alias("vocab"), F.max("vocab").alias("last")).where("vocab = last").select("token", "vocab", F.lit(0.97).alias("sim"))
     repairs = scratch.cut(repairs.unionByName(short).groupBy("token", "vocab").agg(F.max("sim").alias("sim")), "repairs")
+    learnt = scratch.cut(contractions(v_tok, repairs, vocab, n_tok), "contractions")
+    repairs = repairs.unionByName(learnt)
 
     # What each value's tokens weigh in the list, and what each entry gets of them.
     weight = vocab.groupBy("vocab", "name_id").agg(F.sum("w").alias("w")).groupBy("vocab").agg(F.max("w").alias("w"))

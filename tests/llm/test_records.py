@@ -242,6 +242,16 @@ def test_repairs_are_all_pairs_within_the_distance(spark):
     assert got == want
 
 
+def test_contractions_are_learnt(spark):
+    """"2ry" is all that stands between a value and an entry; "zry" would do for two words as often, "sully" for none."""
+    names = ["secondary orbinal tumor", "secondary halvic fever", "binary tumor", "canary tumor", "asthma", "orbinal fever"]
+    ref = spark.createDataFrame([(i, n, None) for i, n in enumerate(names, 1)], "disease_id int, disease string, synonyms string")
+    values = ["2ry orbinal tumor", "2ry halvic fever", "2ry halvic fever.", "zry tumor", "sully asthma", "orbinal 2ry tumor"]
+    df = spark.createDataFrame(list(enumerate(values)), "record_id long, disease_name string")
+    got = {r["record_id"]: r["ref_id"] for r in canonical.map_column(df, "record_id", "disease_name", ref, "disease_id", "disease").collect()}
+    assert got == {0: 1, 1: 2, 2: 2, 3: 0, 4: 5, 5: 1}
+
+
 def test_roman_numerals_are_numbers(spark):
     t = spark.createDataFrame([("type ii, class xiv vi ix iiii mix x v",)], "t string").select(canonical.tokens(F.col("t"))).first()[0]
     assert t == ["type", "2", "class", "xiv", "6", "9", "iiii", "mix", "x", "5"]
