@@ -17,11 +17,17 @@ from pathloom.functions.columns import hi, lo, valid
 from pathloom.storage import Scratch
 
 
-def cumulative(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], ranges: int = 64) -> DataFrame:
+def _ranges(df: DataFrame) -> int:
+    """Ranges of scores: as many as the tasks of a shuffle, 64 at least."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def cumulative(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
     """Add running sums ``c_<value>`` per ``keys`` in descending ``order``, inclusive.
 
     Rows are cut into ranges of ``order`` by its percentiles, so no task orders a whole key.
     """
+    ranges = _ranges(df)
     cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
     d = df.crossJoin(cuts).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(order)))).drop("cuts")  # one row of cuts
     sums = d.groupBy(*keys, "range").agg(*(F.sum(v).alias(f"s_{v}") for v in values))
@@ -63,12 +69,13 @@ def areas(scored: DataFrame, keys: Sequence[str], score: str = "score", label: s
     return g.select(*keys, "n", "n_positive", F.when(both, F.try_divide("wins", F.col("n_positive").cast("double") * F.col("n_negative"))).alias("auc_roc"), F.when(both, F.try_divide("ap", F.col("n_positive").cast("double"))).alias("auc_pr"))
 
 
-def _corners(t: DataFrame, keys: Sequence[str], ranges: int = 64) -> DataFrame:
+def _corners(t: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Thresholds at which a ROC curve turns, and the last ones: the counts of the next lower threshold differ.
 
     The next threshold of the last one in a range of scores is the first of the next range,
     so no task orders a whole key.
     """
+    ranges = _ranges(t)
     cuts = t.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10_000).alias("cuts"))
     d = t.crossJoin(cuts).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")  # one row of cuts
     step = F.struct("tp", "fp")

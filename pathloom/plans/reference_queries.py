@@ -45,14 +45,19 @@ deg as materialized (select src gene, count(*) degree from nadj group by src)"""
 DISEASES = f"""reports as materialized (select {NAME.format('disease_name')} disease, {SYMBOL.format('gene_symbol')} gene, lower(trim(direction)) direction
  from creeds_signatures where lower(trim(direction)) in ('up', 'down') and {NAME.format('disease_name')} <> ''),
 dm as materialized (select distinct disease, gene from reports where gene is not null),
-dsig as materialized (select disease, gene, sum(case when direction = 'up' then 1.0::double else -1.0::double end) fold_change from reports where gene is not null group by disease, gene having sum(case when direction = 'up' then 1 else -1 end) <> 0)"""
-DRUGS = f"""meta as materialized (select sig_id, pert_iname from (select *, row_number() over (partition by sig_id order by row_id desc) rn from lincs_metadata where sig_id is not null) where rn = 1 and pert_iname is not null),
-vals as materialized (select {NAME.format('m.pert_iname')} compound, {SYMBOL.format('v.gene')} gene, v.fold_change from lincs_values v join meta m on m.sig_id = v.sig_id where {NAME.format('m.pert_iname')} <> ''),
-prof as materialized (select compound, gene, median(fold_change) fold_change from vals where fold_change is not null and not isnan(fold_change) and gene is not null group by compound, gene),
+dsig as materialized (select disease, gene, sum(case when direction = 'up' then 1.0::double else -1.0::double end) fold_change from reports
+ where gene is not null group by disease, gene having sum(case when direction = 'up' then 1 else -1 end) <> 0)"""
+DRUGS = f"""meta as materialized (select sig_id, pert_iname from (select *, row_number() over (partition by sig_id order by row_id desc) rn from lincs_metadata
+ where sig_id is not null) where rn = 1 and pert_iname is not null),
+vals as materialized (select {NAME.format('m.pert_iname')} compound, {SYMBOL.format('v.gene')} gene, v.fold_change from lincs_values v
+ join meta m on m.sig_id = v.sig_id where {NAME.format('m.pert_iname')} <> ''),
+prof as materialized (select compound, gene, median(fold_change) fold_change from vals
+ where fold_change is not null and not isnan(fold_change) and gene is not null group by compound, gene),
 ranks as materialized (select compound drug, gene, greatest(1, (count(*) over (partition by compound) * 0.05::double)::bigint_floor) n,
   row_number() over (partition by compound order by fold_change desc, gene) t, row_number() over (partition by compound order by fold_change, gene) l from prof),
 xg as materialized (select drug, gene, 'up' direction from ranks where t <= n union all select drug, gene, 'down' from ranks where l <= n),
-xm as materialized (select distinct drug, gene from xg)""".replace("(count(*) over (partition by compound) * 0.05::double)::bigint_floor", "floor(count(*) over (partition by compound) * 0.05::double)::bigint")
+xm as materialized (select distinct drug, gene
+ from xg)""".replace("(count(*) over (partition by compound) * 0.05::double)::bigint_floor", "floor(count(*) over (partition by compound) * 0.05::double)::bigint")
 #: Query rows of searches: names in the rows whose id is divisible by ``domain.EVERY``.
 ASKED_DRUGS = f"asked as materialized (select distinct {NAME.format('pert_iname')} drug from lincs_metadata where row_id % {domain.EVERY} = 0 and {NAME.format('pert_iname')} <> '')"
 ASKED_DISEASES = f"asked as materialized (select distinct {NAME.format('disease_name')} disease from creeds_signatures where record_id % {domain.EVERY} = 0 and {NAME.format('disease_name')} <> '')"
@@ -64,7 +69,8 @@ def bfs_sql(name: str, key: str, sources: str) -> str:
     """Recursive search keyed by ``key`` from ``sources(key, gene)``."""
     return f"""{name}({key}, node, hops) using key ({key}, node) as (
  select distinct {key}, gene, 0 from {sources} union
- select b.{key}, a.dst, min(b.hops + 1) from {name} b join nadj a on a.src = b.node left join recurring.{name} r on r.{key} = b.{key} and r.node = a.dst where r.hops is null group by b.{key}, a.dst)"""
+ select b.{key}, a.dst, min(b.hops + 1) from {name} b join nadj a on a.src = b.node left join recurring.{name} r on r.{key} = b.{key} and r.node = a.dst
+ where r.hops is null group by b.{key}, a.dst)"""
 
 
 def r6(expr: str) -> str:
@@ -80,8 +86,10 @@ def scan_edges(spark, sf):
 
 
 @query(
-    f"""with {ENDS}, per as (select least(a, b) gene_a, greatest(a, b) gene_b, source, min(seq) seq, count(*) n, arg_min(interaction_type, seq) t from ends where a is not null and b is not null and a <> b group by all)
-select gene_a, gene_b, coalesce(string_agg(source, '|' order by seq), '') as sources, sum(n)::bigint as n_rows, arg_min(t, seq) as interaction_type from per group by gene_a, gene_b"""
+    f"""with {ENDS}, per as (select least(a, b) gene_a, greatest(a, b) gene_b, source, min(seq) seq, count(*) n, arg_min(interaction_type, seq) t from ends
+ where a is not null and b is not null and a <> b group by all)
+select gene_a, gene_b, coalesce(string_agg(source, '|' order by seq), '') as sources, sum(n)::bigint as n_rows, arg_min(t, seq) as interaction_type from per
+ group by gene_a, gene_b"""
 )
 def edge_merge(spark, sf):
     e = graph.merge_edges(domain.ends(spark, sf))
@@ -119,7 +127,8 @@ tri as (select e.gene_a, e.gene_b, a.dst g from edges e join adj a on a.src = e.
 per as (select g gene, count(*) t from tri group by g),
 cl as (select d.k, case when d.k < 2 then 0.0::double else 2.0::double * coalesce(per.t, 0) / (d.k * (d.k - 1)) end c from d left join per using (gene)),
 b as (select count(*) n, (sum(k) / 2)::bigint m, avg(c) cl from cl)
-select n as n_nodes, m as n_edges, {r6('2.0::double * m / (n * (n - 1))')} as density, {r6('2.0::double * m / n')} as avg_degree, (select count(distinct label) from comp) as n_components, {r6('cl')} as avg_clustering, null::int as diameter from b"""
+select n as n_nodes, m as n_edges, {r6('2.0::double * m / (n * (n - 1))')} as density, {r6('2.0::double * m / n')} as avg_degree, (select count(distinct label)
+ from comp) as n_components, {r6('cl')} as avg_clustering, null::int as diameter from b"""
 )
 def graph_stats(spark, sf):
     """Of the whole graph, which falls into several components and so has no diameter."""
@@ -130,10 +139,12 @@ def _tidy_stats(s: DataFrame) -> DataFrame:
     return s.withColumns({c: tidy(F.col(c)) for c in ("density", "avg_degree", "avg_clustering")})
 
 
-_MEMBERS = f"select distinct complex_id, gene from (select complex_id, {SYMBOL.format('protein_a')} gene from interactions union all select complex_id, {SYMBOL.format('protein_b')} from interactions) where complex_id is not null and gene is not null"
+_MEMBERS = f"""select distinct complex_id, gene from (select complex_id, {SYMBOL.format('protein_a')} gene from interactions union all
+ select complex_id, {SYMBOL.format('protein_b')} from interactions) where complex_id is not null and gene is not null"""
 
 
-@query(f"with m as materialized ({_MEMBERS}) select a.complex_id, a.gene as protein_a, b.gene as protein_b from m a join m b on a.complex_id = b.complex_id and a.gene < b.gene")
+@query(f"""with m as materialized ({_MEMBERS}) select a.complex_id, a.gene as protein_a, b.gene as protein_b from m a
+ join m b on a.complex_id = b.complex_id and a.gene < b.gene""")
 def complex_pairs(spark, sf):
     i = table(spark, sf, "interactions").where("complex_id is not null")
     m = i.select("complex_id", F.explode(F.array(symbol_key("protein_a"), symbol_key("protein_b"))).alias("gene")).where("gene is not null").distinct()
@@ -148,7 +159,8 @@ def metadata_join(spark, sf):
     return profiles.join_metadata(table(spark, sf, "lincs_values"), table(spark, sf, "lincs_metadata")).select("value_id", "compound")
 
 
-@query("select sig_id, count(*) as n_values from lincs_values where sig_id is null or sig_id not in (select sig_id from lincs_metadata where sig_id is not null) group by sig_id")
+@query("""select sig_id, count(*) as n_values from lincs_values where sig_id is null or sig_id not in (select sig_id from lincs_metadata
+ where sig_id is not null) group by sig_id""")
 def unmatched_signatures(spark, sf):
     return profiles.unmatched(table(spark, sf, "lincs_values"), table(spark, sf, "lincs_metadata"))
 
@@ -158,7 +170,8 @@ def median_profile(spark, sf):
     return profiles.profiles(domain.compound_values(spark, sf), "median").select("compound", "gene", tidy(F.col("fold_change")).alias("fold_change"))
 
 
-@query(f"with {DRUGS} select compound, gene, {r6('avg(fold_change)')} as fold_change from vals where fold_change is not null and not isnan(fold_change) and gene is not null group by compound, gene")
+@query(f"""with {DRUGS} select compound, gene, {r6('avg(fold_change)')} as fold_change from vals
+ where fold_change is not null and not isnan(fold_change) and gene is not null group by compound, gene""")
 def mean_profile(spark, sf):
     return profiles.profiles(domain.compound_values(spark, sf), "mean").select("compound", "gene", tidy(F.col("fold_change")).alias("fold_change"))
 
@@ -188,7 +201,8 @@ def bfs_module_dist(spark, sf):
 
 
 _PROX = f"""{NET}, {DISEASES}, {DRUGS}, {QG}, {XG}, {bfs_sql('bx', 'drug', 'x')}, {bfs_sql('bq', 'disease', 'q')},
-qx as materialized (select q.disease, b.drug, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from q join bx b on b.node = q.gene join (select disease, count(*) n from q group by disease) n on n.disease = q.disease group by q.disease, b.drug)"""
+qx as materialized (select q.disease, b.drug, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from q
+ join bx b on b.node = q.gene join (select disease, count(*) n from q group by disease) n on n.disease = q.disease group by q.disease, b.drug)"""
 
 
 @query(f"with recursive {_PROX} select disease as source, drug as target, {r6('d')} as d from qx")
@@ -199,7 +213,8 @@ def avg_shortest_path(spark, sf):
 
 
 @query(
-    f"""with recursive {_PROX}, xq as (select x.drug, b.disease, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from x join bq b on b.node = x.gene join (select drug, count(*) n from x group by drug) n on n.drug = x.drug group by x.drug, b.disease)
+    f"""with recursive {_PROX}, xq as (select x.drug, b.disease, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from x
+ join bq b on b.node = x.gene join (select drug, count(*) n from x group by drug) n on n.drug = x.drug group by x.drug, b.disease)
 select disease, drug, {r6('qx.d')} as d_qx, {r6('xq.d')} as d_xq from qx join xq using (disease, drug)"""
 )
 def module_proximity(spark, sf):
@@ -209,12 +224,18 @@ def module_proximity(spark, sf):
     return a.join(b, ["disease", "drug"])
 
 
-_SEP = f"""{NET}, {DRUGS}, {ASKED_DRUGS}, {XG}, drugs as materialized (select distinct drug from xm), xgenes as materialized (select distinct gene s, gene from x), {bfs_sql('bx', 'drug', 'x')}, {bfs_sql('bg', 's', 'xgenes')},
+_SEP = f"""{NET}, {DRUGS}, {ASKED_DRUGS}, {XG}, drugs as materialized (select distinct drug from xm), xgenes as materialized (select distinct gene s, gene
+ from x), {bfs_sql('bx', 'drug', 'x')}, {bfs_sql('bg', 's', 'xgenes')},
 n as materialized (select drug, count(*) n from x group by drug),
-ab as materialized (select x.drug a, b.drug b, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from x join bx b on b.node = x.gene join n on n.drug = x.drug group by x.drug, b.drug),
-own as materialized (select drug, case when count(*) > 1 then avg(d) else 0.0::double end d from (select x.drug, x.gene, coalesce(min(g.hops) filter (where y.gene is not null), 1000.0::double) d from x left join x y on y.drug = x.drug and y.gene <> x.gene left join bg g on g.s = x.gene and g.node = y.gene group by x.drug, x.gene) group by drug),
+ab as materialized (select x.drug a, b.drug b, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from x
+ join bx b on b.node = x.gene join n on n.drug = x.drug group by x.drug, b.drug),
+own as materialized (select drug, case when count(*) > 1 then avg(d) else 0.0::double end d
+ from (select x.drug, x.gene, coalesce(min(g.hops) filter (where y.gene is not null), 1000.0::double) d from x left
+ join x y on y.drug = x.drug and y.gene <> x.gene left join bg g on g.s = x.gene and g.node = y.gene group by x.drug, x.gene) group by drug),
 sep as materialized (select p.drug drug_a, r.drug drug_b, (coalesce(u.d, 1000.0::double) + coalesce(v.d, 1000.0::double)) / 2 - (coalesce(oa.d, 1000.0::double) + coalesce(ob.d, 1000.0::double)) / 2 s
- from drugs p join drugs r on p.drug < r.drug and (p.drug in (select drug from asked) or r.drug in (select drug from asked)) left join ab u on u.a = p.drug and u.b = r.drug left join ab v on v.a = r.drug and v.b = p.drug left join own oa on oa.drug = p.drug left join own ob on ob.drug = r.drug)"""
+ from drugs p join drugs r on p.drug < r.drug and (p.drug in (select drug from asked) or r.drug in (select drug from asked)) left
+ join ab u on u.a = p.drug and u.b = r.drug left join ab v on v.a = r.drug and v.b = p.drug left join own oa on oa.drug = p.drug left
+ join own ob on ob.drug = r.drug)"""
 
 
 @query(f"with recursive {_SEP} select drug_a as module_a, drug_b as module_b, {r6('s')} as s_ab from sep")
@@ -225,20 +246,25 @@ def separation(spark, sf):
     return distances.separations(domain.network(spark, sf), x.withColumnRenamed("drug", "module"), p).select("module_a", "module_b", tidy(F.col("s_ab")).alias("s_ab"))
 
 
-@query(f"with recursive {NET}, {DRUGS}, {XG}, {ASKED_DRUGS}, sgenes as materialized (select distinct gene s, gene from x where drug in (select drug from asked)), {bfs_sql('bg', 's', 'sgenes')} select s as gene_a, node as gene_b, hops from bg where node in (select gene from x)")
+@query(f"""with recursive {NET}, {DRUGS}, {XG}, {ASKED_DRUGS}, sgenes as materialized (select distinct gene s, gene from x where drug in (select drug
+ from asked)), {bfs_sql('bg', 's', 'sgenes')} select s as gene_a, node as gene_b, hops from bg where node in (select gene from x)""")
 def pairwise_dist(spark, sf):
     """Genes of the drugs asked for against the genes of all drugs."""
     x = domain.drug_modules(spark, sf)
     return distances.pairwise_distances(domain.network(spark, sf), x.join(domain.asked_drugs(spark, sf), "drug", "left_semi"), x)
 
 
-@query(f"with recursive {NET}, every as materialized (select gene s, gene from deg), {bfs_sql('b', 's', 'every')} select s as gene, max(hops) as eccentricity from b group by s")
+@query(f"""with recursive {NET}, every as materialized (select gene s, gene from deg), {bfs_sql('b', 's', 'every')} select s as gene, max(hops) as eccentricity
+ from b group by s""")
 def eccentricity(spark, sf):
     return distances.eccentricity(domain.network(spark, sf))
 
 
-_STATS = """d as (select gene, degree k from deg), tri as (select e.gene_a, e.gene_b, a.dst g from net e join nadj a on a.src = e.gene_a join nadj b on b.src = e.gene_b and b.dst = a.dst),
-per as (select g gene, count(*) t from tri group by g), cl as (select d.k, case when d.k < 2 then 0.0::double else 2.0::double * coalesce(per.t, 0) / (d.k * (d.k - 1)) end c from d left join per using (gene)),
+_STATS = """d as (select gene, degree k from deg), tri as (select e.gene_a, e.gene_b, a.dst g from net e join nadj a on a.src = e.gene_a
+ join nadj b on b.src = e.gene_b and b.dst = a.dst),
+per as (select g gene, count(*) t from tri
+ group by g), cl as (select d.k, case when d.k < 2 then 0.0::double else 2.0::double * coalesce(per.t, 0) / (d.k * (d.k - 1)) end c from d left
+ join per using (gene)),
 st as (select count(*) n, (sum(k) / 2)::bigint m, avg(c) cl from cl)"""
 
 
@@ -255,8 +281,10 @@ def network_stats(spark, sf):
 _BINS = """cuts as materialized (select quantile_cont(degree, [i / 20.0::double for i in range(21)]) c from deg),
 bins as materialized (select gene, degree, coalesce((select min(i) from range(20) r(i) where degree >= c[i + 1] and degree < c[i + 2]), 19) bin from deg, cuts)"""
 _SEEDS = "seeds as materialized (select drug, ('0x' || substr(sha256('42:' || string_agg(gene, '|' order by gene)), 1, 8))::ubigint::bigint module_seed from x group by drug)"
-_NULLS = f"""{_BINS}, {_SEEDS}, idx as materialized (select bin, gene pick, row_number() over (partition by bin order by gene) - 1 i, count(*) over (partition by bin) size from bins),
-nul as materialized (select distinct x.drug, d.draw, p.pick gene from x join seeds s on s.drug = x.drug join bins b on b.gene = x.gene join (select bin, any_value(size) size from idx group by bin) z on z.bin = b.bin cross join (select unnest(range({domain.DRAWS})) draw) d
+_NULLS = f"""{_BINS}, {_SEEDS}, idx as materialized (select bin, gene pick, row_number() over (partition by bin
+ order by gene) - 1 i, count(*) over (partition by bin) size from bins),
+nul as materialized (select distinct x.drug, d.draw, p.pick gene from x join seeds s on s.drug = x.drug join bins b on b.gene = x.gene
+ join (select bin, any_value(size) size from idx group by bin) z on z.bin = b.bin cross join (select unnest(range({domain.DRAWS})) draw) d
  join idx p on p.bin = b.bin and p.i = ('0x' || substr(sha256(s.module_seed::varchar || ':' || x.gene || ':' || d.draw::varchar), 1, 8))::ubigint::bigint % z.size)"""
 
 
@@ -279,15 +307,20 @@ def null_modules(spark, sf):
 _Z = f"""{_PROX}, qgenes as materialized (select distinct gene s, gene from q), {bfs_sql('bg', 's', 'qgenes')}, {_NULLS},
 gi as materialized (select s, (row_number() over (order by s) - 1)::int i from qgenes),
 far as materialized (select max(hops) h from bg),
-lv as materialized (select b.node, bitstring_agg(1024 * l.h + gi.i, 0, 10239) bits from bg b join gi using (s) join (select unnest(range((select h from far)))::int h) l on b.hops <= l.h group by b.node),
+lv as materialized (select b.node, bitstring_agg(1024 * l.h + gi.i, 0, 10239) bits from bg b join gi using (s) join (select unnest(range((select h
+ from far)))::int h) l on b.hops <= l.h group by b.node),
 nb as materialized (select n.drug, n.draw, bit_or(lv.bits) bits from nul n join lv on lv.node = n.gene group by n.drug, n.draw),
-qb as materialized (select q.disease, bitstring_agg(1024 * l.h + gi.i, 0, 10239) bits, count(distinct q.gene) n from q join gi on gi.s = q.gene, (select unnest(range((select h from far)))::int h) l group by q.disease),
+qb as materialized (select q.disease, bitstring_agg(1024 * l.h + gi.i, 0, 10239) bits, count(distinct q.gene) n from q
+ join gi on gi.s = q.gene, (select unnest(range((select h from far)))::int h) l group by q.disease),
 nd as materialized (select q.disease, r.drug, r.draw, (far.h * q.n - bit_count(r.bits & q.bits)) / q.n::double d from nb r cross join qb q cross join far),
-z as materialized (select o.disease, o.drug, any_value(o.d) observed, avg(nd.d) null_mean, stddev_pop(nd.d) null_std, avg((round(nd.d, 9) <= round(o.d, 9))::int::double) p_value from qx o join nd on nd.disease = o.disease and nd.drug = o.drug group by o.disease, o.drug),
+z as materialized (select o.disease, o.drug, any_value(o.d) observed, avg(nd.d) null_mean, stddev_pop(nd.d) null_std, avg((round(nd.d, 9) <= round(o.d, 9))::int::double) p_value
+ from qx o join nd on nd.disease = o.disease and nd.drug = o.drug group by o.disease, o.drug),
 zz as materialized (select *, case when null_std < 1e-9 then 0.0::double else (observed - null_mean) / null_std end z from z)"""
 
 
-@query(f"with recursive {_Z} select disease, drug, {r6('observed')} as observed, {r6('null_mean')} as null_mean, {r6('null_std')} as null_std, {r6('round(z, 9)')} as z, {r6('p_value')} as p_value from zz")
+@query(f"""with recursive {_Z}
+ select disease, drug, {r6('observed')} as observed, {r6('null_mean')} as null_mean, {r6('null_std')} as null_std, {r6('round(z, 9)')} as z, {r6('p_value')} as p_value
+ from zz""")
 def null_zscore(spark, sf):
     z = scoring.proximity(domain.network(spark, sf), domain.disease_modules(spark, sf), domain.drug_modules(spark, sf), domain.DRAWS, domain.SEED)
     return z.select("disease", "drug", *(tidy(F.col(c)).alias(c) for c in ("observed", "null_mean", "null_std", "z", "p_value")))
@@ -315,7 +348,8 @@ def _correlation(spark, sf, method: str) -> DataFrame:
     return c.select("disease", "compound", "n_common", tidy(F.col("correlation")).alias("correlation"))
 
 
-@query(f"with {DISEASES}, {DRUGS}, {_PAIRS}, {_RANKED.format(k='compound', t='pr')} select disease, compound, count(*) as n_common, {r6(_corr('x', 'y'))} as correlation from rk group by disease, compound")
+@query(f"""with {DISEASES}, {DRUGS}, {_PAIRS}, {_RANKED.format(k='compound', t='pr')}
+ select disease, compound, count(*) as n_common, {r6(_corr('x', 'y'))} as correlation from rk group by disease, compound""")
 def spearman(spark, sf):
     return _correlation(spark, sf, "spearman")
 
@@ -335,18 +369,27 @@ def reversal(spark, sf):
 
 # ---- Scoring -------------------------------------------------------------------
 
-_PRED = f"""{_Z}, {ASKED_DRUGS}, drugs as materialized (select distinct drug from xm), xgenes as materialized (select distinct gene s, gene from x), {bfs_sql('bs', 's', 'xgenes')},
+_PRED = f"""{_Z}, {ASKED_DRUGS}, drugs as materialized (select distinct drug from xm), xgenes as materialized (select distinct gene s, gene
+ from x), {bfs_sql('bs', 's', 'xgenes')},
 n as materialized (select drug, count(*) n from x group by drug),
-ab as materialized (select x.drug a, b.drug b, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from x join bx b on b.node = x.gene join n on n.drug = x.drug group by x.drug, b.drug),
-own as materialized (select drug, case when count(*) > 1 then avg(d) else 0.0::double end d from (select x.drug, x.gene, coalesce(min(g.hops) filter (where y.gene is not null), 1000.0::double) d from x left join x y on y.drug = x.drug and y.gene <> x.gene left join bs g on g.s = x.gene and g.node = y.gene group by x.drug, x.gene) group by drug),
+ab as materialized (select x.drug a, b.drug b, (sum(b.hops) + 1000.0::double * (any_value(n.n) - count(*))) / any_value(n.n) d from x
+ join bx b on b.node = x.gene join n on n.drug = x.drug group by x.drug, b.drug),
+own as materialized (select drug, case when count(*) > 1 then avg(d) else 0.0::double end d
+ from (select x.drug, x.gene, coalesce(min(g.hops) filter (where y.gene is not null), 1000.0::double) d from x left
+ join x y on y.drug = x.drug and y.gene <> x.gene left join bs g on g.s = x.gene and g.node = y.gene group by x.drug, x.gene) group by drug),
 sep as materialized (select p.drug drug_a, r.drug drug_b, (coalesce(u.d, 1000.0::double) + coalesce(v.d, 1000.0::double)) / 2 - (coalesce(oa.d, 1000.0::double) + coalesce(ob.d, 1000.0::double)) / 2 s
- from drugs p join drugs r on p.drug < r.drug and (p.drug in (select drug from asked) or r.drug in (select drug from asked)) left join ab u on u.a = p.drug and u.b = r.drug left join ab v on v.a = r.drug and v.b = p.drug left join own oa on oa.drug = p.drug left join own ob on ob.drug = r.drug),
+ from drugs p join drugs r on p.drug < r.drug and (p.drug in (select drug from asked) or r.drug in (select drug from asked)) left
+ join ab u on u.a = p.drug and u.b = r.drug left join ab v on v.a = r.drug and v.b = p.drug left join own oa on oa.drug = p.drug left
+ join own ob on ob.drug = r.drug),
 {_REV},
 parts as materialized (select d.disease, s.drug_a, s.drug_b, round(coalesce(za.z, 0.0), 9) pqa, round(coalesce(zb.z, 0.0), 9) pqb, coalesce(ca.c, 0.0) cqa, coalesce(cb.c, 0.0) cqb, round(s.s, 9) s
- from (select distinct disease from dm) d cross join sep s left join zz za on za.disease = d.disease and za.drug = s.drug_a left join zz zb on zb.disease = d.disease and zb.drug = s.drug_b
+ from (select distinct disease from dm) d cross join sep s left join zz za on za.disease = d.disease and za.drug = s.drug_a left
+ join zz zb on zb.disease = d.disease and zb.drug = s.drug_b
  left join rv ca on ca.disease = d.disease and ca.drug = s.drug_a left join rv cb on cb.disease = d.disease and cb.drug = s.drug_b),
-cls as materialized (select *, case when pqa < 0 and pqb < 0 then (case when s >= 0 then 'complementary_exposure' else 'overlapping_exposure' end) when pqa < 0 or pqb < 0 then (case when s >= 0 then 'single_exposure' else 'indirect_exposure' end) when s >= 0 then 'independent_action' else 'non_exposure' end topology_class from parts),
-pred as materialized (select disease, drug_a, drug_b, case when topology_class = 'complementary_exposure' then 2.0::double else 0.0::double end tqab, -(pqa + pqb) / 2 pqab, (cqa + cqb) / 2 cqab, topology_class, pqa, pqb, cqa, cqb from cls)"""
+cls as materialized (select *, case when pqa < 0 and pqb < 0 then (case when s >= 0 then 'complementary_exposure' else 'overlapping_exposure' end) when pqa < 0 or pqb < 0 then (case when s >= 0 then 'single_exposure' else 'indirect_exposure' end) when s >= 0 then 'independent_action' else 'non_exposure' end topology_class
+ from parts),
+pred as materialized (select disease, drug_a, drug_b, case when topology_class = 'complementary_exposure' then 2.0::double else 0.0::double end tqab, -(pqa + pqb) / 2 pqab, (cqa + cqb) / 2 cqab, topology_class, pqa, pqb, cqa, cqb
+ from cls)"""
 
 
 def _predicted(spark, sf, asked: DataFrame | None) -> DataFrame:
@@ -362,7 +405,9 @@ def _tidy_scores(p: DataFrame, digits: int) -> DataFrame:
     return p.select("disease", "drug_a", "drug_b", "topology_class", *(tidy(F.col(c), digits).alias(c) for c in _SCORES))
 
 
-@query(f"with recursive {_PRED} select disease, drug_a, drug_b, topology_class, {', '.join(f'round({e}, 4) + 0.0 as {c}' for c, e in (('tqab', 'tqab'), ('pqab', 'pqab'), ('cqab', 'cqab'), ('prediction_score', '(tqab + pqab + cqab)'), ('pqa', 'pqa'), ('pqb', 'pqb'), ('cqa', 'cqa'), ('cqb', 'cqb')))} from pred")
+@query(f"""with recursive {_PRED}
+ select disease, drug_a, drug_b, topology_class, {', '.join(f'round({e}, 4) + 0.0 as {c}' for c, e in (('tqab', 'tqab'), ('pqab', 'pqab'), ('cqab', 'cqab'), ('prediction_score', '(tqab + pqab + cqab)'), ('pqa', 'pqa'), ('pqb', 'pqb'), ('cqa', 'cqa'), ('cqb', 'cqb')))}
+ from pred""")
 def predict_all(spark, sf):
     """Drugs named in metadata rows whose id is divisible by 50 with every other drug, for every disease."""
     return _tidy_scores(_predicted(spark, sf, domain.asked_drugs(spark, sf)), 4)
@@ -378,7 +423,8 @@ def topology_classes(spark, sf):
     return _predicted(spark, sf, domain.asked_drugs(spark, sf)).groupBy("disease", "topology_class").agg(F.count("*").alias("n_pairs"))
 
 
-@query("select prediction_id, prediction_score from predictions where prediction_score is not null and not isnan(prediction_score) order by prediction_score desc, prediction_id limit 20")
+@query("""select prediction_id, prediction_score from predictions where prediction_score is not null and not isnan(prediction_score)
+ order by prediction_score desc, prediction_id limit 20""")
 def predict_topk(spark, sf):
     p = table(spark, sf, "predictions").where("prediction_score is not null and not isnan(prediction_score)")
     return p.orderBy(F.desc("prediction_score"), "prediction_id").limit(20).select("prediction_id", "prediction_score")
@@ -389,7 +435,8 @@ _EXACT = "2 * sum(round(prediction_score * 1e9)::hugeint) + 1000 * count(*)"
 
 
 @query(
-    f"""with g as (select disease, {_EXACT} v, 2000::hugeint * count(*) m, median(prediction_score) md, max(prediction_score) mx from predictions where prediction_score is not null and not isnan(prediction_score) group by disease)
+    f"""with g as (select disease, {_EXACT} v, 2000::hugeint * count(*) m, median(prediction_score) md, max(prediction_score) mx from predictions
+ where prediction_score is not null and not isnan(prediction_score) group by disease)
 select disease, ((v - ((v % m) + m) % m) // m)::double / 1e6 as mean_score, {r6('md')} as median_score, {r6('mx')} as max_score from g"""
 )
 def score_aggregate(spark, sf):
@@ -401,11 +448,13 @@ def score_aggregate(spark, sf):
 
 # ---- Evaluation ------------------------------------------------------------------
 
-_EVAL = """pp as materialized (select run_id, disease, least(drug_a, drug_b) drug_a, greatest(drug_a, drug_b) drug_b, max(prediction_score) score from predictions where disease is not null and prediction_score is not null and not isnan(prediction_score) group by 1, 2, 3, 4),
+_EVAL = """pp as materialized (select run_id, disease, least(drug_a, drug_b) drug_a, greatest(drug_a, drug_b) drug_b, max(prediction_score) score
+ from predictions where disease is not null and prediction_score is not null and not isnan(prediction_score) group by 1, 2, 3, 4),
 kn as materialized (select distinct least(drug_a, drug_b) lo, greatest(drug_a, drug_b) hi from predictions where topology_class = 'complementary_exposure'),
 lab as materialized (select pp.*, (kn.lo is not null)::int as y from pp left join kn on kn.lo = pp.drug_a and kn.hi = pp.drug_b),
 th as materialized (select disease, score, sum(y)::bigint tp, sum(1 - y)::bigint fp from lab group by disease, score),
-cu as materialized (select *, sum(tp) over w ctp, sum(fp) over w cfp, sum(tp) over (partition by disease) p, sum(fp) over (partition by disease) q from th window w as (partition by disease order by score desc))"""
+cu as materialized (select *, sum(tp) over w ctp, sum(fp) over w cfp, sum(tp) over (partition by disease) p, sum(fp) over (partition by disease) q from th
+ window w as (partition by disease order by score desc))"""
 
 
 @query(f"with {_EVAL} select lo as drug_lo, hi as drug_hi from kn")
@@ -419,7 +468,8 @@ def labels_join(spark, sf):
 
 
 _AREAS = f"""{_EVAL}, ar as (select disease, sum(tp + fp)::bigint n_predictions, sum(tp)::bigint n_positive, (select count(*) from kn) n_known_synergies,
- case when any_value(p) > 0 and any_value(q) > 0 then sum(fp * (ctp - tp / 2.0::double)) / (any_value(p)::double * any_value(q)) end auc_roc, case when any_value(p) > 0 and any_value(q) > 0 then sum(tp * ctp / (ctp + cfp)::double) / any_value(p)::double end auc_pr from cu group by disease)"""
+ case when any_value(p) > 0 and any_value(q) > 0 then sum(fp * (ctp - tp / 2.0::double)) / (any_value(p)::double * any_value(q)) end auc_roc, case when any_value(p) > 0 and any_value(q) > 0 then sum(tp * ctp / (ctp + cfp)::double) / any_value(p)::double end auc_pr
+ from cu group by disease)"""
 
 
 @query(f"with {_AREAS} select disease, n_predictions, n_positive, n_known_synergies, {r6('auc_roc')} as auc_roc, {r6('auc_pr')} as auc_pr from ar")
@@ -440,7 +490,8 @@ def roc_curve(spark, sf):
     return r.where("fpr is not null and tpr is not null").select("disease", "threshold", tidy(F.col("fpr")).alias("fpr"), tidy(F.col("tpr")).alias("tpr"))
 
 
-@query(f"with {_EVAL} select disease, score as threshold, {r6('ctp / (ctp + cfp)::double')} as precision, {r6('ctp / p::double')} as recall from cu where p > 0 union all select distinct disease, null::double, 1.0::double, 0.0::double from cu where p > 0")
+@query(f"""with {_EVAL} select disease, score as threshold, {r6('ctp / (ctp + cfp)::double')} as precision, {r6('ctp / p::double')} as recall from cu
+ where p > 0 union all select distinct disease, null::double, 1.0::double, 0.0::double from cu where p > 0""")
 def pr_curve(spark, sf):
     s = evaluation.label_pairs(domain.predictions(spark, sf), domain.known(spark, sf))
     r = evaluation.pr_curve(s, ["disease"], "prediction_score")
@@ -493,10 +544,13 @@ def _vector_similarity(spark, sf, method: str) -> DataFrame:
     return s.select("i", "j", tidy(F.col("sim")).alias("sim"))
 
 
-_BITS = f"""f as materialized (select vec_id mol, list_transform(embedding, lambda v: (v > 0)::int) bits from embeddings where embedding is not null and vec_id is not null),
-m as materialized (select mol, unnest(range(len(bits))) pos, unnest(bits) bit from f), c as materialized (select mol, sum(bit)::bigint n from m group by mol), s as materialized (select mol, pos from m where bit = 1),
+_BITS = f"""f as materialized (select vec_id mol, list_transform(embedding, lambda v: (v > 0)::int) bits from embeddings
+ where embedding is not null and vec_id is not null),
+m as materialized (select mol, unnest(range(len(bits))) pos, unnest(bits) bit from f), c as materialized (select mol, sum(bit)::bigint n from m
+ group by mol), s as materialized (select mol, pos from m where bit = 1),
 k as materialized (select a.mol q, b.mol o, count(*) k from s a join s b on a.pos = b.pos and a.mol % {domain.EVERY} = 0 and a.mol <> b.mol group by 1, 2),
-pr as materialized (select least(a.mol, b.mol) i, greatest(a.mol, b.mol) j, a.n x, b.n y, coalesce(k.k, 0) k from c a join c b on a.mol % {domain.EVERY} = 0 and a.mol <> b.mol and (a.mol < b.mol or b.mol % {domain.EVERY} <> 0) left join k on k.q = a.mol and k.o = b.mol)"""
+pr as materialized (select least(a.mol, b.mol) i, greatest(a.mol, b.mol) j, a.n x, b.n y, coalesce(k.k, 0) k from c a
+ join c b on a.mol % {domain.EVERY} = 0 and a.mol <> b.mol and (a.mol < b.mol or b.mol % {domain.EVERY} <> 0) left join k on k.q = a.mol and k.o = b.mol)"""
 
 
 @query(f"with {_BITS} select i, j, {r6('case when x + y - k = 0 then 0.0::double else k / (x + y - k)::double end')} as sim from pr")
@@ -533,7 +587,8 @@ it(step, disease, gene, s) as (
   select p.step, p.disease, w.dst gene, 0.5::double * sum(p.s * w.x) s from it p join w on w.src = p.gene group by p.step, p.disease, w.dst union all
   select t.step, f.disease, f.gene, 0.5::double * f.s from f0 f, (select max(step) step from it) t where t.step is not null)
  where step < {STEPS} group by step, disease, gene),
-mv as (select n.step - 1 as step, n.disease, sqrt(sum(pow(n.s - coalesce(o.s, 0.0), 2))) d from it n left join it o on o.step = n.step - 1 and o.disease = n.disease and o.gene = n.gene where n.step > 0 group by n.step, n.disease),
+mv as (select n.step - 1 as step, n.disease, sqrt(sum(pow(n.s - coalesce(o.s, 0.0), 2))) d from it n left
+ join it o on o.step = n.step - 1 and o.disease = n.disease and o.gene = n.gene where n.step > 0 group by n.step, n.disease),
 rest as (select disease, min(step) step from mv where d < 1e-6 group by disease),
 wk as materialized (select it.disease, it.gene, it.s from it join rest using (disease, step))"""
 
@@ -573,7 +628,8 @@ def rwr_converged(spark, sf):
     return s.groupBy("module").agg(F.count("*").alias("n_genes"), tidy(F.sum("score")).alias("mass"))
 
 
-@query(f"with recursive {_walk_sql('1.0::double / d.degree')} select disease as module, gene, rk::int as rank from (select disease, gene, row_number() over (partition by disease order by round(s, 9) desc, gene) rk from wk) where rk <= 100")
+@query(f"""with recursive {_walk_sql('1.0::double / d.degree')} select disease as module, gene, rk::int as rank
+ from (select disease, gene, row_number() over (partition by disease order by round(s, 9) desc, gene) rk from wk) where rk <= 100""")
 def rwr_topk(spark, sf):
     return propagation.top_genes(_walk(spark, sf, "column"), 100).select("module", "gene", "rank")
 
@@ -598,7 +654,8 @@ def _all_degrees(spark, sf) -> DataFrame:
     return graph.degrees(domain.edges(spark, sf)).join(ends.where("gene is not null").distinct(), "gene", "right").fillna(0, ["degree"])
 
 
-_DEGREES = "dg as (select g.gene, count(adj.src) degree from (select a gene from ends where a is not null union select b from ends where b is not null) g left join adj on adj.src = g.gene group by g.gene)"
+_DEGREES = """dg as (select g.gene, count(adj.src) degree from (select a gene from ends where a is not null union select b from ends where b is not null) g left
+ join adj on adj.src = g.gene group by g.gene)"""
 
 
 @query(f"with {ENDS}, {_DEGREES}, lg as (select degree from dg where degree > 0), {_hist_sql('lg', 'degree', 49, True).replace('select min(v) a', 'select 0.0::double a')}")
@@ -612,8 +669,10 @@ def degree_hist_linear(spark, sf):
 
 
 @query(
-    f"""with u as (select 'tqab' component, tqab v from predictions union all select 'pqab', pqab from predictions union all select 'cqab', cqab from predictions), o as (select * from u where v is not null and not isnan(v)),
-s as (select component, case when min(v) = max(v) then min(v) - 0.5 else min(v) end a, case when min(v) = max(v) then max(v) + 0.5 else max(v) end b from o group by component),
+    f"""with u as (select 'tqab' component, tqab v from predictions union all select 'pqab', pqab from predictions union all select 'cqab', cqab
+ from predictions), o as (select * from u where v is not null and not isnan(v)),
+s as (select component, case when min(v) = max(v) then min(v) - 0.5 else min(v) end a, case when min(v) = max(v) then max(v) + 0.5 else max(v) end b from o
+ group by component),
 g as (select component, least(floor((v - a) / ((b - a) / 30)), 29)::int bin, any_value(a) a, any_value(b) b, count(*) n from o join s using (component) group by 1, 2)
 select component, bin, {r6('a + bin * (b - a) / 30')} as lo, {r6('a + (bin + 1) * (b - a) / 30')} as hi, n from g"""
 )
@@ -622,7 +681,9 @@ def score_hist(spark, sf):
 
 
 @query(
-    f"""with t as (select *, row_number() over (order by prediction_score desc, disease nulls first, drug_a, drug_b, prediction_id) rk from predictions where prediction_score is not null and not isnan(prediction_score)), p as (select rk::int "rank", drug_a || '-' || drug_b as label, prediction_score as total, coalesce(tqab, 0.0) t, coalesce(pqab, 0.0) p, coalesce(cqab, 0.0) c from t where rk <= 20)
+    f"""with t as (select *, row_number() over (order by prediction_score desc, disease nulls first, drug_a, drug_b, prediction_id) rk from predictions
+ where prediction_score is not null and not isnan(prediction_score)), p as (select rk::int "rank", drug_a || '-' || drug_b as label, prediction_score as total, coalesce(tqab, 0.0) t, coalesce(pqab, 0.0) p, coalesce(cqab, 0.0) c
+ from t where rk <= 20)
 select rank, label, 'tqab' as component, 0.0::double as base, {r6('t')} as width, {r6('total')} as total from p union all
 select rank, label, 'pqab', {r6('case when p >= 0 then greatest(t, 0) else least(t, 0) end')}, {r6('p')}, {r6('total')} from p union all
 select rank, label, 'cqab', {r6('case when c >= 0 then greatest(t, 0) + greatest(p, 0) else least(t, 0) + least(p, 0) end')}, {r6('c')}, {r6('total')} from p"""
@@ -642,7 +703,8 @@ def _id_map(spark, sf) -> DataFrame:
     return ids.select("id", F.lit("auto").alias("from_type"), symbol_key("id").alias("symbol"))
 
 
-_IDS = f"idm as materialized (select id, {SYMBOL.format('id')} symbol from (select distinct protein_a id from interactions union select protein_b from interactions) where id is not null)"
+_IDS = f"""idm as materialized (select id, {SYMBOL.format('id')} symbol from (select distinct protein_a id from interactions union select protein_b
+ from interactions) where id is not null)"""
 
 
 @query(f"with {_IDS} select c.record_id as pos, c.gene_symbol as id, m.symbol from creeds_signatures c left join idm m on m.id = c.gene_symbol")
@@ -657,7 +719,8 @@ def harmonize(spark, sf):
     return idmap.harmonize(ids, _id_map(spark, sf))
 
 
-@query(f"with {_IDS}, g as (select distinct gene id from lincs_values where gene is not null) select g.id, m.symbol from g join idm m on m.id = g.id where m.symbol is not null")
+@query(f"""with {_IDS}, g as (select distinct gene id from lincs_values where gene is not null) select g.id, m.symbol from g join idm m on m.id = g.id
+ where m.symbol is not null""")
 def id_convert(spark, sf):
     ids = table(spark, sf, "lincs_values").select(F.col("gene").alias("id")).where("id is not null")
     return idmap.batch_convert(ids, _id_map(spark, sf).withColumn("hit_rank", F.lit(0)))

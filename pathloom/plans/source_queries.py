@@ -56,7 +56,8 @@ def source_huri(spark, sf):
     return formats.read_huri(spark, _huri(spark, sf))
 
 
-_SUBUNITS = f"m as materialized (select distinct complex_id, gene from (select complex_id, {SYMBOL.format('protein_a')} gene from interactions union all select complex_id, {SYMBOL.format('protein_b')} from interactions) where complex_id is not null and gene is not null)"
+_SUBUNITS = f"""m as materialized (select distinct complex_id, gene from (select complex_id, {SYMBOL.format('protein_a')} gene from interactions union all
+ select complex_id, {SYMBOL.format('protein_b')} from interactions) where complex_id is not null and gene is not null)"""
 
 
 def _corum(spark, sf) -> str:
@@ -66,7 +67,8 @@ def _corum(spark, sf) -> str:
     return _write(c.select(F.col("complex_id").alias("ComplexID"), kind.alias("Organism"), "subunits(Gene name)"), "corum.tsv")
 
 
-@query(f"with {_SUBUNITS} select x.gene as protein_a, y.gene as protein_b, 'CORUM' as source, 'complex' as interaction_type, x.complex_id from m x join m y on x.complex_id = y.complex_id and x.gene < y.gene where right(x.complex_id, 1) not in ('0', '2', '4', '6', '8')")
+@query(f"""with {_SUBUNITS} select x.gene as protein_a, y.gene as protein_b, 'CORUM' as source, 'complex' as interaction_type, x.complex_id from m x
+ join m y on x.complex_id = y.complex_id and x.gene < y.gene where right(x.complex_id, 1) not in ('0', '2', '4', '6', '8')""")
 def source_corum(spark, sf):
     """Complexes whose id ends in an even digit are called mouse."""
     return formats.read_corum(spark, _corum(spark, sf))
@@ -84,7 +86,8 @@ def _phosphosite(spark, sf) -> str:
     return path
 
 
-@query(f"with {ENDS} select distinct a as protein_a, b as protein_b, 'PhosphoSitePlus' as source, 'phosphorylation' as interaction_type from ends where a is not null and b is not null and seq % 3 <> 0 and seq % 5 <> 0")
+@query(f"""with {ENDS} select distinct a as protein_a, b as protein_b, 'PhosphoSitePlus' as source, 'phosphorylation' as interaction_type from ends
+ where a is not null and b is not null and seq % 3 <> 0 and seq % 5 <> 0""")
 def source_phosphosite(spark, sf):
     return formats.read_phosphosite(spark, _phosphosite(spark, sf))
 
@@ -102,7 +105,8 @@ def source_union(spark, sf):
     return graph.per_source_counts(graph.union_sources(found))
 
 
-@query(f"with recursive {NET}, {_IDS} select n.gene_a, n.gene_b, count(*) as n_rows from net n join ends e on least(e.a, e.b) = n.gene_a and greatest(e.a, e.b) = n.gene_b where e.a <> e.b group by n.gene_a, n.gene_b")
+@query(f"""with recursive {NET}, {_IDS} select n.gene_a, n.gene_b, count(*) as n_rows from net n
+ join ends e on least(e.a, e.b) = n.gene_a and greatest(e.a, e.b) = n.gene_b where e.a <> e.b group by n.gene_a, n.gene_b""")
 def build_network(spark, sf):
     """Sources, identifiers as given, the lookup table, merged edges, largest component."""
     i = table(spark, sf, "interactions")
@@ -110,7 +114,8 @@ def build_network(spark, sf):
     return graph.build_graph(parts, _id_map(spark, sf)).select("gene_a", "gene_b", "n_rows")
 
 
-@query(f"with {ENDS} select least(a, b) as gene_a, greatest(a, b) as gene_b, (row_number() over (partition by least(a, b), greatest(a, b) order by seq) - 1)::int as pos, source from ends where a is not null and b is not null and a <> b")
+@query(f"""with {ENDS} select least(a, b) as gene_a, greatest(a, b) as gene_b, (row_number() over (partition by least(a, b), greatest(a, b)
+ order by seq) - 1)::int as pos, source from ends where a is not null and b is not null and a <> b""")
 def edge_sources(spark, sf):
     return graph.edge_sources(domain.ends(spark, sf))
 
@@ -131,7 +136,8 @@ def _graph_file(spark, sf, kind: str) -> DataFrame:
     return formats.read_graph(spark, path)
 
 
-@query(f"with {ENDS}, s as (select least(a, b) gene_a, greatest(a, b) gene_b, source, min(seq) seq from ends where a is not null and b is not null and a <> b group by all) select gene_a, gene_b, coalesce(string_agg(source, '|' order by seq), '') as sources from s group by gene_a, gene_b")
+@query(f"""with {ENDS}, s as (select least(a, b) gene_a, greatest(a, b) gene_b, source, min(seq) seq from ends where a is not null and b is not null and a <> b
+ group by all) select gene_a, gene_b, coalesce(string_agg(source, '|' order by seq), '') as sources from s group by gene_a, gene_b""")
 def graph_parquet(spark, sf):
     return _graph_file(spark, sf, "parquet").select("gene_a", "gene_b", F.array_join("sources", "|").alias("sources"))
 
@@ -149,7 +155,8 @@ def graph_graphml(spark, sf):
 # ---- Signature files -------------------------------------------------------------
 
 
-@query(f"select {NAME.format('disease_name')} as disease, {SYMBOL.format('gene_symbol')} as gene, lower(trim(direction)) as direction from creeds_signatures where lower(trim(direction)) in ('up', 'down') and {NAME.format('disease_name')} <> '' and {SYMBOL.format('gene_symbol')} is not null")
+@query(f"""select {NAME.format('disease_name')} as disease, {SYMBOL.format('gene_symbol')} as gene, lower(trim(direction)) as direction from creeds_signatures
+ where lower(trim(direction)) in ('up', 'down') and {NAME.format('disease_name')} <> '' and {SYMBOL.format('gene_symbol')} is not null""")
 def source_creeds(spark, sf):
     c = table(spark, sf, "creeds_signatures")
     name = F.nullif(name_key("disease_name"), F.lit(""))
@@ -157,7 +164,8 @@ def source_creeds(spark, sf):
     return formats.read_creeds(spark, path)
 
 
-@query(f"select sig_id, arg_max(nullif({NAME.format('pert_iname')}, ''), row_id) filter (where true) as pert_iname from (select sig_id, row_id, pert_iname from lincs_metadata m where sig_id is not null and row_id = (select max(row_id) from lincs_metadata x where x.sig_id = m.sig_id)) group by sig_id")
+@query(f"""select sig_id, arg_max(nullif({NAME.format('pert_iname')}, ''), row_id) filter (where true) as pert_iname from (select sig_id, row_id, pert_iname
+ from lincs_metadata m where sig_id is not null and row_id = (select max(row_id) from lincs_metadata x where x.sig_id = m.sig_id)) group by sig_id""")
 def source_metadata(spark, sf):
     """Columns under other names; of repeated signatures the last row of the file holds."""
     m = table(spark, sf, "lincs_metadata").orderBy("row_id")
@@ -171,7 +179,8 @@ _CELLS = f"cells as materialized (select m.cell_id, {SYMBOL.format('v.gene')} ge
 
 @query(
     f"""with {_CELLS}, c as (select lower(cell_id) compound, gene, fold_change from cells where gene is not null),
-rk as (select compound, gene, greatest(1, floor(count(*) over (partition by compound) * 0.05::double)::bigint) n, row_number() over (partition by compound order by fold_change desc, gene) t, row_number() over (partition by compound order by fold_change, gene) l from c)
+rk as (select compound, gene, greatest(1, floor(count(*) over (partition by compound) * 0.05::double)::bigint) n, row_number() over (partition by compound
+ order by fold_change desc, gene) t, row_number() over (partition by compound order by fold_change, gene) l from c)
 select compound, gene, 'up' as direction from rk where t <= n union all select compound, gene, 'down' from rk where l <= n"""
 )
 def source_lincs(spark, sf):
@@ -191,7 +200,8 @@ def _pairs(spark, sf) -> DataFrame:
     return table(spark, sf, "predictions").where("topology_class = 'complementary_exposure'").select("drug_a", "drug_b", "disease")
 
 
-@query("select distinct least(trim(drug_a), trim(drug_b)) as drug_lo, greatest(trim(drug_a), trim(drug_b)) as drug_hi from predictions where topology_class = 'complementary_exposure' and drug_a is not null and drug_b is not null")
+@query("""select distinct least(trim(drug_a), trim(drug_b)) as drug_lo, greatest(trim(drug_a), trim(drug_b)) as drug_hi from predictions
+ where topology_class = 'complementary_exposure' and drug_a is not null and drug_b is not null""")
 def source_known_pairs(spark, sf):
     return formats.read_known_pairs(spark, _write(_pairs(spark, sf), "known.csv", ","))
 
@@ -199,14 +209,16 @@ def source_known_pairs(spark, sf):
 _FIRST = "(select min(disease) from predictions where topology_class = 'complementary_exposure')"
 
 
-@query(f"select distinct least(trim(drug_a), trim(drug_b)) as drug_lo, greatest(trim(drug_a), trim(drug_b)) as drug_hi from predictions where topology_class = 'complementary_exposure' and drug_a is not null and drug_b is not null and lower(disease) = lower({_FIRST})")
+@query(f"""select distinct least(trim(drug_a), trim(drug_b)) as drug_lo, greatest(trim(drug_a), trim(drug_b)) as drug_hi from predictions
+ where topology_class = 'complementary_exposure' and drug_a is not null and drug_b is not null and lower(disease) = lower({_FIRST})""")
 def source_known_pairs_of(spark, sf):
     """Of the first disease, whatever the case of its name."""
     first = _pairs(spark, sf).agg(F.min("disease")).first()[0] or ""
     return formats.read_known_pairs(spark, _write(_pairs(spark, sf), "known.csv", ","), first.upper())
 
 
-@query("select drug_a, drug_b, disease, prediction_score::varchar::double as synergy_score from predictions where prediction_score is not null and not isnan(prediction_score) and drug_a is not null and drug_b is not null")
+@query("""select drug_a, drug_b, disease, prediction_score::varchar::double as synergy_score from predictions
+ where prediction_score is not null and not isnan(prediction_score) and drug_a is not null and drug_b is not null""")
 def source_drugcombdb(spark, sf):
     p = table(spark, sf, "predictions").where("prediction_score is not null and not isnan(prediction_score) and drug_a is not null and drug_b is not null")
     p = p.select(F.col("drug_a").alias("Drug1"), F.col("drug_b").alias("Drug2"), F.col("disease").alias("Disease"), F.col("prediction_score").alias("Synergy_Score"))
@@ -227,7 +239,8 @@ def drug_module_file(spark, sf):
     return formats.read_drug_modules(spark, path)
 
 
-@query(f"with recursive {NET}, {DISEASES}, {DRUGS} select 'disease' as kind, disease as module, gene from dm where gene in (select gene from deg) union all select 'drug', drug, gene from xm where gene in (select gene from deg)")
+@query(f"""with recursive {NET}, {DISEASES}, {DRUGS} select 'disease' as kind, disease as module, gene from dm where gene in (select gene from deg) union all
+ select 'drug', drug, gene from xm where gene in (select gene from deg)""")
 def network_modules(spark, sf):
     """Modules as the scores use them: within the network, empty ones gone, susceptibility genes (none) added."""
     from pathloom.operators.distances import in_network
@@ -249,7 +262,9 @@ def prediction_file(spark, sf):
     return formats.read_predictions(spark, path).select(*_COLUMNS)
 
 
-@query(f"with {_AREAS} select disease, n_predictions::varchar as n_predictions, n_positive::varchar as n_positive, n_known_synergies::varchar as n_known_synergies, {r6('auc_roc')} as auc_roc, {r6('auc_pr')} as auc_pr from ar")
+@query(f"""with {_AREAS}
+ select disease, n_predictions::varchar as n_predictions, n_positive::varchar as n_positive, n_known_synergies::varchar as n_known_synergies, {r6('auc_roc')} as auc_roc, {r6('auc_pr')} as auc_pr
+ from ar""")
 def report_file(spark, sf):
     path = _path(spark, "report.csv")
     sinks.write_report(evaluation.evaluate(domain.predictions(spark, sf), domain.known(spark, sf)), path)
@@ -257,7 +272,9 @@ def report_file(spark, sf):
     return r.withColumns({c: tidy(F.col(c)) for c in ("auc_roc", "auc_pr")})
 
 
-@query("select prediction_id, rank from (select prediction_id, row_number() over (order by prediction_score desc, disease nulls first, drug_a nulls first, drug_b nulls first, prediction_id)::int as rank from predictions where prediction_score is not null and not isnan(prediction_score)) where rank <= 50")
+@query("""select prediction_id, rank
+ from (select prediction_id, row_number() over (order by prediction_score desc, disease nulls first, drug_a nulls first, drug_b nulls first, prediction_id)::int as rank
+ from predictions where prediction_score is not null and not isnan(prediction_score)) where rank <= 50""")
 def ranked_pairs(spark, sf):
     """The fifty first rows of the ranking."""
     p = table(spark, sf, "predictions").where("prediction_score is not null and not isnan(prediction_score)")
@@ -304,7 +321,9 @@ def id_resolve(spark, sf):
     return idmap.resolve(ids, _id_map(spark, sf), lookup)
 
 
-@query(f"with {_IDS}, hg as (select distinct {SYMBOL.format('gene')} symbol from lincs_values) select c.record_id as pos, c.gene_symbol as id, case when m.id is not null then m.symbol else h.symbol end as symbol from creeds_signatures c left join idm m on m.id = c.gene_symbol left join hg h on h.symbol = c.gene_symbol")
+@query(f"""with {_IDS}, hg as (select distinct {SYMBOL.format('gene')} symbol from lincs_values)
+ select c.record_id as pos, c.gene_symbol as id, case when m.id is not null then m.symbol else h.symbol end as symbol from creeds_signatures c left
+ join idm m on m.id = c.gene_symbol left join hg h on h.symbol = c.gene_symbol""")
 def id_shortcut(spark, sf):
     """An identifier that nothing was looked up for but is a symbol of the HGNC table stands for itself."""
     ids = table(spark, sf, "creeds_signatures").select(F.col("record_id").alias("pos"), F.col("gene_symbol").alias("id"))
@@ -313,9 +332,11 @@ def id_shortcut(spark, sf):
 
 
 @query(
-    f"""with {ENDS}, h as (select a symbol, max(seq) entrez_id from ends where a is not null group by a), w as (select {SYMBOL.format('gene')} symbol, min(value_id) entrez_id from lincs_values group by 1),
+    f"""with {ENDS}, h as (select a symbol, max(seq) entrez_id from ends where a is not null
+ group by a), w as (select {SYMBOL.format('gene')} symbol, min(value_id) entrez_id from lincs_values group by 1),
 s as (select record_id pos, {SYMBOL.format('gene_symbol')} symbol from creeds_signatures)
-select s.pos, s.symbol, coalesce(h.entrez_id, w.entrez_id) as entrez_id from s left join h on h.symbol = s.symbol left join w on w.symbol = s.symbol and w.symbol is not null"""
+select s.pos, s.symbol, coalesce(h.entrez_id, w.entrez_id) as entrez_id from s left join h on h.symbol = s.symbol left
+ join w on w.symbol = s.symbol and w.symbol is not null"""
 )
 def to_entrez(spark, sf):
     """Through an HGNC file, of which the last row of a symbol holds; the rest is looked up in one batch."""

@@ -1,6 +1,7 @@
 import glob
 import math
 import os
+import sys
 
 import duckdb
 import pytest
@@ -10,6 +11,9 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 ORACLE = sorted(n for n in entry.oracle_sql() if not n[:2] in {f"p{i}" for i in range(2, 10)})
 
+#: Minutes in all; the operators behind them are held to brute force elsewhere. Run with PATHLOOM_SLOW=1.
+SLOW = {"separation", "predict_all", "topology_classes", "null_zscore", "module_proximity", "rwr_row", "rwr_symmetric", "rwr_converged", "rwr_topk", "connectivity", "build_network", "network_stats"}
+
 
 def rows(df):
     def cell(v):
@@ -29,6 +33,14 @@ def duck():
     return con
 
 
+def test_missing_library_leaves_the_rest(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("pathloom.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "pathloom.llm.queries", None)  # as if it could not be imported
+    q = entry.queries()
+    assert "predict_all" in q and "p1_found" in q and "p2_found" not in q
+
+
 def test_registry():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and {"p1_found", "predict_all"} <= set(q)
@@ -37,4 +49,6 @@ def test_registry():
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 @pytest.mark.parametrize("name", ORACLE)
 def test_query_equals_sql(spark, duck, name):
+    if name in SLOW and not os.environ.get("PATHLOOM_SLOW"):
+        pytest.skip("slow")
     assert rows(entry.queries()[name](spark, DATA).toPandas()) == rows(duck.execute(entry.oracle_sql()[name]).df())
