@@ -113,11 +113,18 @@ comp(node, label) using key (node) as (
  select a.dst, min(c.label) from comp c join adj a on a.src = c.node join recurring.comp r on r.node = a.dst where c.label < r.label group by a.dst)
 select label as group_protein, node as protein from comp where label < node"""
 
+_LEAKS = """with items as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from benchmark where item_id is not null and text is not null),
+runs as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') g from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) i from (select *, least(12, len(w)) n from items where len(w) > 0))),
+words as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where doc_id is not null and text is not null),
+grams as (select doc_id, n, array_to_string(w[i:i + n - 1], ' ') g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from words, (select distinct n from runs)))
+select distinct doc_id, item_id from grams join runs using (n, g)"""
+
 #: Up to 2,048 values a sketch holds them all, so that at small scales the percentiles are exact and their stated error is 0.
 ORACLE: dict[str, str] = {
     "p4_percentiles": f"with {_VALUES} select n.pert_iname, count(v.x) as n_values, {_PERCENTILES}, 0.0::double as rank_error from (select distinct pert_iname from names) n left join v using (pert_iname) group by n.pert_iname",
     "p4_daily": f"with {_VALUES} select pert_iname, day::varchar as day, count(*) as n_values, {_PERCENTILES}, 0.0::double as rank_error from v group by pert_iname, day",
     "p5_found": _GROUPS,
+    "p7_found": _LEAKS,
     "p2_found": f"with r as ({_RECORDS}) select kept_id, id as copy_id from (select id, min(id) over (partition by lo, hi, s) kept_id from r) where id > kept_id",
     "p2_records": f"with r as ({_RECORDS}) select min(id) as kept_id, lo as protein_lo, hi as protein_hi, s as source_key, count(*) as n_copies from r group by lo, hi, s",
     "p3_found": _TOP,
