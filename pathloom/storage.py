@@ -15,7 +15,11 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +90,13 @@ def sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if rows(table) <= BROADCAST_ROWS else table.hint("merge")
 
 
+def read_shared(path: str, **options) -> pa.Table:
+    """A table of ``cut``, whose size the caller has checked, as a task reads it from the shared folder."""
+    local = urlparse(path).scheme in ("", "file")
+    fs, p = (pafs.LocalFileSystem(), urlparse(path).path) if local else pafs.FileSystem.from_uri(path)
+    return pq.read_table(p, filesystem=fs, **options)
+
+
 def _file_system(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

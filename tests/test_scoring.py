@@ -169,6 +169,24 @@ def test_walk_on_path(spark):
         propagation.operator(e, "diagonal")
 
 
+def test_both_ways_of_walking_agree(spark, monkeypatch, park):
+    fixed = 3
+    genes = sorted({g for p in PARK for g in p})
+    seeds = [(f"m{i:02d}", genes[(i * k) % len(genes)], float(k)) for i in range(41) for k in (1, 2, 5)] + [(None, "K0", 1.0), ("none", "nowhere", 1.0), ("m03", None, 1.0)]
+    seeds = spark.createDataFrame(seeds, "module string, gene string, weight double")
+    e = park.withColumn("weight", F.length("gene_a") * 0.5).union(spark.createDataFrame([("K0", None, 3.0), (None, "K1", 1.0), ("Q1", "Q2", None)], "gene_a string, gene_b string, weight double"))
+    got = []
+    for sent in (1_000_000, 0):
+        monkeypatch.setattr(propagation, "SENT_EDGES", sent)
+        got.append({(r["module"], r["gene"]): r["score"] for r in propagation.walk(e, seeds, fixed=fixed).collect()})
+    assert got[0].keys() == got[1].keys() and len({m for m, _ in got[0]}) == 41
+    assert all(got[0][k] == pytest.approx(got[1][k], rel=1e-9) for k in got[0])
+    empty = propagation.walk(e, seeds.limit(0), fixed=fixed)
+    assert empty.columns == ["module", "gene", "score"] and empty.count() == 0
+    monkeypatch.setattr(propagation, "SENT_EDGES", 1_000_000)
+    assert propagation.walk(e.limit(0), seeds, fixed=fixed).count() == 0
+
+
 def test_histogram_and_stack(spark):
     d = spark.createDataFrame([(float(i),) for i in (0, 1, 2, 10)] + [(float("nan"),), (None,)], "v double")
     h = {r["bin"]: r["n"] for r in figures.histogram(d, "v", 5).collect()}
