@@ -121,6 +121,8 @@ def largest_component(edges: DataFrame) -> DataFrame:
         first = measured(peeled).get("least")
         if top and (-top["count"], top["group"]) < (-rows(peeled), first):
             genes = others.where(F.col("group") == top["group"]).select(F.col("member").alias("node"))
+    if sorted(edges.columns) == ["gene_a", "gene_b"]:
+        edges = e.select(F.col("lo").alias("gene_a"), F.col("hi").alias("gene_b")).select(*edges.columns)  # as written, not made again
     return edges.join(genes.withColumnRenamed("node", "gene_a"), "gene_a", "left_semi")
 
 
