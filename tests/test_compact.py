@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from conftest import hops
 
-from pathloom.operators import compact, distances
+from pathloom.operators import compact, distances, graph
 
 
 def frame(spark, pairs):
@@ -48,3 +48,17 @@ def test_sweep(tmp_path, monkeypatch, few, step):
     assert g.sweep(f, np.add, np.empty_like(f)) == pytest.approx(a.astype(float) @ f)
     triangles = np.diag(np.linalg.matrix_power(a.astype(np.int64), 3)) // 2
     assert (sum(g.triangles(p, 3) for p in range(3)) == triangles).all()
+
+
+@pytest.mark.parametrize("ways", [1, 50])
+def test_stats_equal_those_of_the_joins(spark, monkeypatch, ways):
+    rng = random.Random(ways)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(250 if ways > 1 else 30)}
+    e = frame(spark, {(f"g{a:02d}", f"g{b:02d}") for a, b in pairs})
+    monkeypatch.setattr(compact, "WAYS", ways)
+    got = graph.graph_stats(e)
+    empty = graph.graph_stats(e.limit(0))
+    monkeypatch.setattr(compact, "MOST_EDGES", -1)
+    want = graph.graph_stats(e)
+    assert got.dtypes == want.dtypes and got.first().asDict() == pytest.approx(want.first().asDict())
+    assert empty.fillna(0).first() == graph.graph_stats(e.limit(0)).fillna(0).first()  # an empty sum is NULL there
