@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from conftest import hops
 
-from pathloom.operators import compact, distances, graph
+from pathloom.operators import compact, distances, graph, propagation
 
 
 def frame(spark, pairs):
@@ -62,3 +62,26 @@ def test_stats_equal_those_of_the_joins(spark, monkeypatch, ways):
     want = graph.graph_stats(e)
     assert got.dtypes == want.dtypes and got.first().asDict() == pytest.approx(want.first().asDict())
     assert empty.fillna(0).first() == graph.graph_stats(e.limit(0)).fillna(0).first()  # an empty sum is NULL there
+
+
+@pytest.mark.parametrize("mode", propagation.MODES)
+def test_walks_over_a_graph_in_a_task(spark, monkeypatch, park, mode):
+    genes = sorted({g for e in park.collect() for g in e})
+    seeds = [(f"m{i:02d}", genes[(i * k) % len(genes)], float(k)) for i in range(41) for k in (1, 2, 5)] + [("none", "nowhere", 1.0), ("m03", None, 1.0)]
+    seeds = spark.createDataFrame(seeds, "module string, gene string, weight double")
+    rows = lambda d: {tuple(r)[:-1]: r["score"] for r in d.collect()}
+    monkeypatch.setattr(compact, "CELLS", 7 * len(genes))
+    monkeypatch.setattr(propagation, "SENT_EDGES", 0)  # the joins would split the graph
+    got, first, mass = rows(propagation.walk(park, seeds, mode)), propagation.walk_best(park, seeds, 5, 9, mode), propagation.walk_mass(park, seeds, mode)
+    first = {(r["module"], r["gene"], r["rank"]) for r in propagation.top_genes(first, 5).collect()}
+    mass = {r["module"]: (r["n_genes"], r["mass"]) for r in mass.collect()}
+    assert propagation.walk(park, seeds.limit(0), mode).count() == 0 == propagation.walk(park.limit(0), seeds, mode).count()
+    monkeypatch.setattr(propagation, "SENT_EDGES", 1_000_000)
+    monkeypatch.setattr(compact, "MOST_EDGES", -1)
+    whole = propagation.walk(park, seeds, mode).localCheckpoint()
+    want = rows(whole)
+    assert got.keys() == want.keys() and len({m for m, _ in got}) == 41
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    at = lambda m: [s for (k, _), s in want.items() if k == m]
+    assert mass == {m: (len(at(m)), pytest.approx(sum(at(m)))) for m in {m for m, _ in want}}
+    assert len(first) == 41 * 5 and all(sorted(at(m))[-r] == pytest.approx(want[m, g], rel=1e-9) for m, g, r in first)
