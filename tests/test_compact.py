@@ -85,3 +85,17 @@ def test_walks_over_a_graph_in_a_task(spark, monkeypatch, park, mode):
     at = lambda m: [s for (k, _), s in want.items() if k == m]
     assert mass == {m: (len(at(m)), pytest.approx(sum(at(m)))) for m in {m for m, _ in want}}
     assert len(first) == 41 * 5 and all(sorted(at(m))[-r] == pytest.approx(want[m, g], rel=1e-9) for m, g, r in first)
+
+
+def test_keys_spread_over_tasks(spark, park):
+    """Also when the rows come from a join on the key, whose few partitions Spark would merge."""
+    import pyarrow as pa
+
+    def where(graph, t):
+        from pyspark import TaskContext
+
+        yield pa.RecordBatch.from_pydict({"task": [TaskContext.get().partitionId()] * len(t), "module": t["module"].to_pylist()})
+
+    seeds = spark.createDataFrame([(f"m{i % 40}", e["gene_a"]) for i, e in enumerate(park.collect() * 20)], "module string, gene string")
+    got = compact.compact(park).keyed(propagation.seed_vectors(park, seeds), "module", 4, where, "task long, module string").distinct().collect()
+    assert len(got) == 40 and len({r["task"] for r in got}) == 4
