@@ -29,3 +29,32 @@ def test_separations_in_tasks(spark, monkeypatch, cells):
         got = rows(distances.separations(e, m, pairs))
     monkeypatch.setattr(nearest, "MOST_CELLS", 0)
     assert got == pytest.approx(rows(distances.separations(e, m, pairs))) and len(got) == 4 * (len(names) + 1)
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 7])
+def test_both_ways_in_tasks(spark, monkeypatch, cells):
+    monkeypatch.setattr(nearest, "CELLS", cells)
+    e, m = graph_and_modules(spark, 30, 2)
+    q, x = m.withColumnRenamed("module", "disease"), m.where("module > 'm100' or module is null or module = 'far'").withColumnRenamed("module", "drug")
+    one = lambda d: {(r["source"], r["target"]): r["d"] for r in d.collect()}
+    source, target = q.withColumnRenamed("disease", "source"), x.withColumnRenamed("drug", "target")
+    with monkeypatch.context() as c:
+        c.setattr(distances, "search", None)  # nothing is joined
+        got = {(r["disease"], r["drug"]): (r["d_qx"], r["d_xq"]) for r in distances.both_ways(e, q, x, 6).collect()}
+        there = one(distances.module_distances(e, source, target, digits=6))
+        back = one(distances.module_distances(e, x.withColumnRenamed("drug", "source"), q.withColumnRenamed("disease", "target"), digits=6))
+    assert got == {(a, b): (there[a, b], back[b, a]) for a, b in there}
+    monkeypatch.setattr(compact, "MOST_EDGES", -1)
+    assert there == pytest.approx(one(distances.module_distances(e, source, target, digits=6))) and ("far", "far") in there
+
+
+def test_search_in_tasks(spark, monkeypatch):
+    e, m = graph_and_modules(spark, 30, 3)
+    rows = lambda d: {(r["module"], r["node"], r["hops"]) for r in d.collect()}
+    with monkeypatch.context() as c:
+        c.setattr(distances, "search", None)
+        found = distances.bfs(e, m)
+        got = rows(found)
+    monkeypatch.setattr(compact, "MOST_EDGES", -1)
+    want = distances.bfs(e, m)
+    assert got == rows(want) and [c for c, t in found.dtypes] == ["module", "node", "hops"]
