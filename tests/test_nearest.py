@@ -58,3 +58,11 @@ def test_search_in_tasks(spark, monkeypatch):
     monkeypatch.setattr(compact, "MOST_EDGES", -1)
     want = distances.bfs(e, m)
     assert got == rows(want) and [c for c, t in found.dtypes] == ["module", "node", "hops"]
+
+
+def test_rows_of_a_node_come_together(spark):
+    e, m = graph_and_modules(spark, 60, 4)
+    got = distances.bfs(e, m).collect()
+    runs = 1 + sum(a["node"] != b["node"] for a, b in zip(got, got[1:]))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert runs <= tasks * (len({r["node"] for r in got}) + 1) < len(got) / 10
