@@ -28,6 +28,28 @@ def test_eccentricity_of_a_graph_in_a_task(spark, monkeypatch, pairs, cells):
     assert {r["gene"]: r["eccentricity"] for r in distances.eccentricity(frame(spark, pairs)).collect()} == want
 
 
+@pytest.mark.parametrize("pairs", [tree(90, 40, 1), tree(200, 1, 2), tree(150, 3, 3), {("a", "b")}, {(f"c{i:03d}", f"c{(i + 1) % 151:03d}") for i in range(151)}])
+def test_diameter_without_every_eccentricity(spark, monkeypatch, pairs):
+    monkeypatch.setattr(distances, "eccentricity", None)
+    assert graph.graph_stats(frame(spark, pairs)).first()["diameter"] == max(hops(pairs).values())
+
+
+def test_largest_component_is_told_apart_in_a_task(spark, monkeypatch):
+    rng = random.Random(5)
+    cases = [{tuple(sorted((f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}"))) for _ in range(n)} for n in (15, 30, 45)]
+    cases += [tree(80, 1, 2) | {("x", "y")}, {("b", "c"), ("x", "y")}, {("a", None), ("x", "y"), (None, "y")}, {("a", "a"), ("b", "b")}, set()]
+    cases = [spark.createDataFrame(sorted(c, key=str), "gene_a string, gene_b string").coalesce(1) for c in cases]
+    rows = lambda d: {(r["gene_a"], r["gene_b"]) for r in d.collect() if r["gene_b"]}
+    with monkeypatch.context() as m:
+        m.setattr(graph, "reach_from_hub", None)  # nothing is joined
+        got = [rows(graph.largest_component(c)) for c in cases]
+    kept = graph.largest_component(cases[1].selectExpr("1 as n", "gene_b", "gene_a"))
+    assert kept.columns == ["n", "gene_b", "gene_a"] and rows(kept) == got[1]
+    monkeypatch.setattr(compact, "MOST_EDGES", -1)
+    # A row that lacks an end joins nothing, so the join has nothing to say on that case.
+    assert got[5] == {("x", "y")} and [g for i, g in enumerate(got) if i != 5] == [rows(graph.largest_component(c)) for i, c in enumerate(cases) if i != 5]
+
+
 @pytest.mark.parametrize("few, step", [(64, 2048), (1, 3)])
 def test_sweep(tmp_path, monkeypatch, few, step):
     import pyarrow as pa
